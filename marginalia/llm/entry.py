@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from marginalia.llm.byte_bpe import op9_byte_bpe
 from marginalia.llm.decontaminate import op5_benchmark_decontamination
+from marginalia.llm.minhash import op10_minhash
 from marginalia.llm.pii import op1_pii
+from marginalia.llm.quality_rules import op3_quality_rules
 from marginalia.llm.secrets import op4_secret_scans
 from marginalia.llm.token_file import op6_token_files
 
@@ -12,7 +14,10 @@ from marginalia.llm.token_file import op6_token_files
 def queries():
     return {
         f.__name__: f
-        for f in (op1_pii, op4_secret_scans, op5_benchmark_decontamination, op6_token_files, op9_byte_bpe)
+        for f in (
+            op1_pii, op3_quality_rules, op4_secret_scans, op5_benchmark_decontamination, op6_token_files, op9_byte_bpe,
+            op10_minhash,
+        )
     }
 
 
