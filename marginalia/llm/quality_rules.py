@@ -61,8 +61,14 @@ def counts(docs: DataFrame) -> DataFrame:
     eight = _doubled(_doubled(_doubled(one, 1), 2), 4)
     docs = docs.withColumn("windows", F.slice(eight, F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
 
-    def left(drop):
-        return F.length(F.regexp_replace("text", drop, "")).cast("long")
+    # letters and digits don't matter to counts of marks: a run of them becomes one letter first
+    docs = docs.withColumn("marks", F.regexp_replace("text", r"[\p{L}\p{N}]+", "a"))
+
+    def left(drop, of="marks"):
+        return F.length(F.regexp_replace(of, drop, "")).cast("long")
+
+    def within(runs):
+        return (F.length("marks") - left(runs)).cast("long")
 
     return docs.select(
         "doc_id",
@@ -74,11 +80,11 @@ def counts(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         left(r"[^!?]+").alias("n_shouts"),
-        left(r"[^A-Z]+").alias("n_capitals"),
+        left(r"[^A-Z]+", "text").alias("n_capitals"),
         left(r"[^.]+").alias("n_stops"),
-        left(r"[\p{L}\p{N}\s]+").alias("n_marks"),
-        (F.length("text") - left(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)")).cast("long").alias("n_bare_marks"),
-        (F.length("text") - left(r"[!-/:-@\[-`{-~]{2,}")).cast("long").alias("n_run_marks"),
+        left(r"[a\s]+").alias("n_marks"),
+        within(r"(?<!\S)[^a\s]+(?!\S)").alias("n_bare_marks"),
+        within(r"[!-/:-@\[-`{-~]{2,}").alias("n_run_marks"),
     )
 
 
