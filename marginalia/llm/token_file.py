@@ -18,7 +18,7 @@ manifest (a table that Spark commits), so a lost executor leaves unused files at
 parts follow from the manifest's counts. Readers take one part each and verify every checksum.
 
 Encoding is by the tokenizers library, part by part between single blanks, which its pattern never
-crosses; each distinct part is encoded once per worker and kept in a cache of at most `CACHE` parts.
+crosses; each distinct part is encoded once per worker and kept in a cache of two halves of about `CACHE` parts.
 
 Defined cases: null and empty texts are records with the end id alone; rows of equal doc_id are written side by
 side in the order of their texts' hashes; a null doc_id comes first; an empty table gives an empty manifest.
@@ -27,8 +27,10 @@ side in the order of their texts' hashes; a null doc_id comes first; an empty ta
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,11 @@ MAGIC = b"MGTOKEN1"
 MASK = 0xA282EAD8
 NO_ID = -(2**63)
 END_ID = 1
-CACHE = 700_000
+CACHE = 600_000
 
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u4")])
-_STOPS = (".", ",", "!", "?", ";", ":")
+_STOPS = frozenset(".,!?;:")
+_LETTERS = frozenset(string.ascii_letters)
 
 
 def masked_crc(data: bytes) -> int:
@@ -71,29 +74,49 @@ class PartEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.most = most
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     def _fill(self, parts: set[str]) -> None:
         """Parts that aren't known yet. A stop after an ASCII letter is a token of its own, and case is dropped."""
-        cache, roots = self.cache, {}
+        cache, old = self.cache, self.old
+        roots, new = [], set()
         for part in parts:
-            body, tail = (part[:-1], part[-1]) if part[-1] in _STOPS and part[-2:-1].isascii() and part[-2:-1].isalpha() else (part, "")
-            roots[part] = (body.lower() if body.isascii() else body, tail)
-        new = list({x for root in roots.values() for x in root if x not in cache})
+            if part in old:
+                cache[part] = old[part]
+                continue
+            body, tail = part, ""
+            if part[-1] in _STOPS and part[-2:-1] in _LETTERS:
+                body, tail = part[:-1], part[-1]
+                if tail not in cache:
+                    new.add(tail)
+            if body.isascii():
+                body = body.lower()
+            if body in old:
+                cache[body] = old[body]
+            elif body not in cache:
+                new.add(body)
+            if tail or body != part:
+                roots.append((part, body, tail))
+        new = list(new)
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[part] = np.array(found.ids, self.dtype).tobytes()
-        for part, (body, tail) in roots.items():
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(found), self.dtype).tobytes()
+            ends = list(accumulate(len(x) * self.dtype.itemsize for x in found))
+            cache.update(zip(some, (ids[s:e] for s, e in zip([0, *ends], ends))))
+        for part, body, tail in roots:
             cache[part] = cache[body] + cache[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lists = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {"": b""}
-        new = {p for x in lists for p in x if p not in self.cache}
-        if new:
+        if len(self.cache) > self.most:  # the older half goes
+            self.cache, self.old = {"": b""}, self.cache
+        seen: set[str] = set()
+        for x in lists:
+            seen.update(x)
+        if new := seen.difference(self.cache):
             self._fill(new)
         get = self.cache.__getitem__
         return [b"".join((*map(get, x), self.end)) for x in lists]
