@@ -36,6 +36,8 @@ SIMILARITY = 80
 BANDS, ROWS = 32, 4
 #: Documents and shingles of a block; a cell holds two blocks at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 1_500_000
+#: Members of clusters up to which their ids are broadcast to the scan of texts.
+BROADCAST_ROWS = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -207,7 +209,10 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, similarity: int,
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs_total"), F.sum("n").alias("shingles_total"))
     sizes = sizes.withColumn("blocks", _blocks(F.col("docs_total"), F.col("shingles_total"), block_docs, block_shingles))
     # two blocks fit into a cell
-    texts = written(docs.join(members.join(sizes.where("docs_total > 1"), "cluster"), "doc_id").select("doc_id", "text", "n", "cluster", "blocks"), "texts")
+    wanted = members.join(sizes.where("docs_total > 1"), "cluster")
+    if members.count() <= BROADCAST_ROWS:  # some 40 bytes each; else both sides are shuffled
+        wanted = F.broadcast(wanted)
+    texts = written(docs.join(wanted, "doc_id").select("doc_id", "text", "n", "cluster", "blocks"), "texts")
     schema, verify = "a long, b long", _verify(n, similarity)
     links = (
         texts.where("blocks <= 2").select("doc_id", "text", "cluster", F.lit(False).alias("main"))
