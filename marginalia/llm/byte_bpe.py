@@ -207,7 +207,7 @@ _SIDE_BY_SIDE = regex.compile(r"\s\s")
 _STOPS = (".", ",", "!", "?", ";", ":")
 
 
-def _encode(replay, digests: bool):
+def _encode(replay, digests: bool, arrays: bool):
     def run(batches):
         own: MergeReplay = replay.value
         for part, texts in text_blocks(batches, BLOCK):
@@ -219,7 +219,7 @@ def _encode(replay, digests: bool):
                 docs = [little[e - k : e] for e, k in zip(ends.tolist(), lengths.tolist())]
                 out["ids_sha256"] = pa.array([hashlib.sha256(d).hexdigest() for d in docs], pa.string())
                 out["decoded_sha256"] = pa.array([hashlib.sha256(own.decode(d)).hexdigest() for d in docs], pa.string())
-            else:
+            if arrays:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))
             yield record_batch(out)
 
@@ -239,7 +239,7 @@ def _broadcast(spark: SparkSession, ranks_path: str | None, pattern: str | None)
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) of every document."""
     replay = _broadcast(docs.sparkSession, ranks_path, pattern)
-    return id_text(docs).mapInArrow(_encode(replay, False), "doc_id long, n_tokens long, ids array<int>")
+    return id_text(docs).mapInArrow(_encode(replay, False, True), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -257,7 +257,13 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, pattern: str | Non
 def encode_digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded again."""
     replay = _broadcast(docs.sparkSession, ranks_path, pattern)
-    return id_text(docs).mapInArrow(_encode(replay, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_text(docs).mapInArrow(_encode(replay, True, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digests of the ids and of what they decode to, which must be that of the text."""
+    replay = _broadcast(docs.sparkSession, ranks_path, pattern)
+    return id_text(docs).mapInArrow(_encode(replay, True, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of (doc_id) up to which a set of documents is broadcast to filter others.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs, all columns, whose id isn't among lost (column lost_id). Rows without an id stay.
+
+    The ids are broadcast while their number is under `most`; beyond, both sides are shuffled.
+    """
+    lost = written(lost.select("lost_id").distinct(), "lost")
+    if lost.count() <= most:
+        lost = F.broadcast(lost)
+    return docs.join(lost, docs[id_col] == lost["lost_id"], "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,11 +19,12 @@ import re
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import id_text, ragged, record_batch, table, text_blocks, written
+from marginalia.llm.common import id_text, record_batch, table, text_blocks, written
 
 WINDOW = 10
 MAX_INDEX_BYTES = 32 << 20
@@ -64,6 +65,12 @@ class WindowIndex:
             order = np.argsort(hashes, kind="stable")
             self.tables.append((size, hashes[order], rows[order], [owners[i] for i in order]))
 
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers of all texts, 0 for words that no item has; number of words of each)."""
+        lists = [words(t) for t in texts]
+        lengths = np.array([len(x) for x in lists], dtype=np.int64)
+        return np.concatenate([np.fromiter(map(self.vocab.get, x, repeat(0)), np.int64, len(x)) for x in lists] or [np.empty(0, np.int64)]), lengths
+
     def scan(self, ids: np.ndarray, lengths: np.ndarray):
         """ids: word numbers of all texts of a block, 0 for other words. Returns hit words, and (position, owners)."""
         hit = np.zeros(len(ids) + 1, dtype=np.int32)
@@ -94,12 +101,8 @@ def _scan(index):
 
     def run(batches):
         own: WindowIndex = index.value
-        get = own.vocab.get
         for part, texts in text_blocks(batches, 8 << 20):
-            lists = [words(t) for t in texts]
-            lengths = np.array([len(x) for x in lists], dtype=np.int64)
-            ids = np.concatenate([np.fromiter(map(get, x, repeat(0)), np.int64, len(x)) for x in lists])
-            del lists
+            ids, lengths = own.numbers(texts)
             hit, found = own.scan(ids, lengths)
             ends = np.cumsum(lengths)
             items: dict[int, set[str]] = {}
@@ -132,20 +135,45 @@ def _merge(flat: list[int]) -> list[int]:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """doc_id, text, n_words, spans (word ranges hit, flat start/end pairs), items (ids as strings) of every document."""
-    spark = docs.sparkSession
+    out = id_text(docs).select("doc_id", "text", F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = "doc_id long, text string, n_words long, spans array<int>, items array<string>"
+    for k, index in enumerate(indexes(benchmark, n, max_index_bytes)):
+        out = (written(out, "hits") if k else out).select("doc_id", "text", "spans", "items").mapInArrow(_scan(index), schema)
+    return out
+
+
+def indexes(benchmark: DataFrame, n: int = WINDOW, max_index_bytes: int = MAX_INDEX_BYTES):
+    """Broadcast window indexes of the slices of a benchmark, one after the other; one for a benchmark under the bound."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     # the index of a text takes about 40 times its bytes (n numbers and some objects a window)
     slices = -(-size * 40 // max_index_bytes) or 1
-    out = id_text(docs).select("doc_id", "text", F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = "doc_id long, text string, n_words long, spans array<int>, items array<string>"
     for k in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).collect()  # at most about max_index_bytes / 40
-        index = spark.sparkContext.broadcast(WindowIndex([(r.item, r.text) for r in rows], n))
-        out = out.select("doc_id", "text", "spans", "items").mapInArrow(_scan(index), schema)
-        if k + 1 < slices:
-            out = written(out, "hits")
-    return out
+        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).collect()  # about max_index_bytes / 40 at most
+        yield spark.sparkContext.broadcast(WindowIndex([(r.item, r.text) for r in rows], n))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no window of the benchmark."""
+    for k, index in enumerate(indexes(benchmark, n, max_index_bytes)):
+        docs = written(docs, "clean") if k else docs
+        docs = docs.where(~_holds(index)("text"))
+    return docs
+
+
+def _holds(index):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        out = []
+        for i in range(0, len(texts), 1_000):
+            ids, lengths = index.value.numbers([t or "" for t in texts[i : i + 1_000]])
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            hits = np.concatenate(([0], np.cumsum(index.value.scan(ids, lengths)[0])))
+            out += (hits[ends[1:]] > hits[ends[:-1]]).tolist()
+        return pd.Series(out, dtype="bool")
+
+    return holds
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document", n: int = WINDOW) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from marginalia.llm.byte_bpe import op9_byte_bpe
 from marginalia.llm.decontaminate import op5_benchmark_decontamination
 from marginalia.llm.minhash import op10_minhash
@@ -15,13 +16,14 @@ from marginalia.llm.toxicity import op2_toxicity
 
 
 def queries():
-    return {
+    own = {
         f.__name__: f
         for f in (
             op1_pii, op2_toxicity, op3_quality_rules, op4_secret_scans, op5_benchmark_decontamination, op6_token_files,
             op7_quality_classifier, op8_suffix_dedup, op9_byte_bpe, op10_minhash,
         )
     }
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

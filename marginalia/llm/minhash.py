@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import HashCache, id_text, lower_words, record_batch, table, text_blocks, written
+from marginalia.llm.common import HashCache, id_text, lower_words, record_batch, table, text_blocks, without, written
 from marginalia.llm.components import connected_components
 
 SIMILARITY = 80
@@ -285,8 +285,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, *
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its component; rows without a doc_id stay."""
-    lost = near_duplicates(docs, n, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["lost_id"], "left_anti")
+    return without(docs, near_duplicates(docs, n, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("lost_id")))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

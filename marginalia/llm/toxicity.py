@@ -27,6 +27,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -306,6 +307,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        own = [t or "" for t in texts]
+        # a batch may be long; scores are found some hundred texts at a time
+        return pd.Series([x for i in range(0, len(own), 1_000) for x in shared.value.scores(own[i : i + 1_000])], dtype="float64")
+
+    return docs.where(scored("text") < threshold)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: score and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
