@@ -13,7 +13,8 @@ word in some 18 begins one.
    PASSAGE words whose minimiser is a kept suffix (so it begins up to PASSAGE - PREFIX words before it) is sorted
    by its hash, and neighbours are compared again. Equal neighbours are a repeated window; the union of
    overlapping windows is the maximal match. The first of equal windows, by doc_id and place, is the original.
-   Runs of equal windows that cross the edge of a partition are joined by their count and first place.
+   Where a run of equal windows crosses the edge of a partition, the first row of each part (two for a partition at
+   most) is settled by a join.
 
 So the words found are exactly those within windows of PASSAGE words that occur twice or more in the corpus,
 overlaps within one text included. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased.
@@ -140,21 +141,30 @@ def _windows(passage: int, prefix: int):
     return run
 
 
-_REPEATS = "doc long, place long, copy boolean, edge long"
+_REPEATS = "doc long, place long, copy boolean, edge long, n long"
 
 
 def _repeats(batches):
-    """Windows with an equal neighbour, and whether they come after the first; rows of runs at an edge carry their key."""
+    """Windows with an equal neighbour, and whether they come after the first.
+
+    What comes after an equal window in its partition is settled. The first of the partition's first run and of its
+    last run are not: these two rows carry their key and the size of their run.
+    """
     rows = _whole(batches, 3)
     if rows is None:
         return
     key, doc, place = rows
-    run, edge = _runs(key)
+    run, _ = _runs(key)
     fresh = np.concatenate(([True], (run[1:] != run[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))
     copy = np.concatenate(([False], run[1:] == run[:-1]))
-    keep = fresh & (edge | (np.bincount(run, fresh)[run] > 1))
+    sizes = np.bincount(run, fresh).astype(np.int64)
+    edge = ~copy & ((run == 0) | (run == run[-1]))
+    keep = fresh & (edge | (sizes[run] > 1))
     for at in np.array_split(np.flatnonzero(keep), max(1, int(keep.sum()) // 100_000)):
-        yield record_batch({"doc": pa.array(doc[at]), "place": pa.array(place[at]), "copy": pa.array(copy[at]), "edge": pa.array(key[at], mask=~edge[at])})
+        yield record_batch({
+            "doc": pa.array(doc[at]), "place": pa.array(place[at]), "copy": pa.array(copy[at]),
+            "edge": pa.array(key[at], mask=~edge[at]), "n": pa.array(sizes[run[at]]),
+        })
 
 
 def _by_range(rows: DataFrame) -> DataFrame:
@@ -203,7 +213,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
     found = written(_by_range(windows).mapInArrow(_repeats, _REPEATS), "repeats")
     edges = found.where("edge is not null")
     at = F.struct("doc", "place")
-    runs = edges.groupBy("edge").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least != most")  # under two for a partition
+    runs = edges.groupBy("edge").agg(F.min(at).alias("least"), F.max(at).alias("most"), F.max("n").alias("times"))  # two for a partition at most
+    runs = runs.where("times > 1 or least != most").select("edge", "least")
     settled = edges.join(runs, "edge").select("doc", "place", (at != F.col("least")).alias("copy"))
     every = found.where("edge is null").select("doc", "place", "copy").union(settled)
     every = every.withColumn("no", F.shiftright("place", 32)).withColumn("place", F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))
