@@ -6,6 +6,7 @@ import corpus_pipeline
 from marginalia.llm.byte_bpe import op9_byte_bpe
 from marginalia.llm.decontaminate import op5_benchmark_decontamination
 from marginalia.llm.minhash import op10_minhash
+from marginalia.llm.oracle import ORACLE
 from marginalia.llm.pii import op1_pii
 from marginalia.llm.quality_model import op7_quality_classifier
 from marginalia.llm.quality_rules import op3_quality_rules
@@ -27,4 +28,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return ORACLE

@@ -1,0 +1,76 @@
+import base64
+import hashlib
+import json
+import random
+import re
+
+from marginalia.llm import secrets as S
+
+from tests.llm.conftest import SF
+
+
+def base(text):
+    found = []
+    word = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+    for m in re.finditer(rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_spans_of_random_strings():
+    rng = random.Random(6)
+    parts = ["password", "PassWd", "secret", "ToKen", "api_key", "APIKEY", "Key", "=", ":", " ", "'", '"', "abcdefgh", "AKIA", "ABCD1234EFGH", "0123456789abcdef", "f" * 16, "é", "-", "\n", "."]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert S.base_spans(text) == base(text), text
+
+
+def der(*parts):
+    def wrap(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8)) + body
+
+    return wrap(0x30, b"".join(wrap(t, b) for t, b in parts))
+
+
+def test_structure_confirms():
+    key = der((2, b"\0"), (2, bytes(range(1, 130))), (2, b"\1\0\1"))
+    b64 = base64.b64encode(key).decode()
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
+    token = f"{head}.{'QUJD' * 6}.{'c2ln' * 8}"
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4) + x for x in (b"none", b"none", b"")) + (1).to_bytes(4) + b"x" * 60
+    cases = [
+        (f"see {b64} there", "der", b64), (f"see {key.hex()} there", "der", key.hex()), (f"auth {token} end", "token", token),
+        (base64.b64encode(ssh).decode(), "openssh", base64.b64encode(ssh).decode()),
+    ]
+    for text, kind, span in cases:
+        spans = [((S.KINDS + S.MORE)[k], text[s:e]) for s, k, e in S.confirmed_spans(text)]
+        assert spans == [(kind, span)]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64)) + "\n-----END RSA PRIVATE KEY-----"
+    assert [(S.KINDS + S.MORE)[k] for _, k, _ in S.confirmed_spans(pem)][0] == "pem"
+    # what only looks like one is no finding: cut, longer, a header without alg, plain base64
+    fake = base64.urlsafe_b64encode(b'{"typ":"JWT","x":1}').decode().rstrip("=")
+    for text in (base64.b64encode(key[:-3]).decode(), base64.b64encode(key + b"zz").decode(), f"{fake}.AAAA.BBBB", base64.b64encode(b"only some plain words, encoded for no reason").decode()):
+        assert S.confirmed_spans(text) == []
+
+
+def test_query(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in S.op4_secret_scans(spark, SF).collect():
+        spans = base(rows[r.doc_id])
+        named = ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert r.base_sha256 == hashlib.sha256(named.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in spans) for k in range(3)]
+        assert set(named.split(",")) <= set(r.spans.split(","))
+
+
+def test_odd_rows_and_redaction(spark, odd_docs, no_docs):
+    assert S.find_secrets(odd_docs).count() == odd_docs.count()
+    assert S.find_secrets(no_docs).count() == 0
+    out = S.redact_secrets(odd_docs)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+    df = spark.createDataFrame([("k", 1, "my password=abcdefgh12 end")], "rest string, key int, text string")
+    assert [tuple(r) for r in S.redact_secrets(df).collect()] == [("k", 1, "my [SECRET] end")]
