@@ -31,7 +31,8 @@ MAX_INDEX_BYTES = 32 << 20
 
 _KEEP = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if c in _KEEP else 32 for c in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text whose case was not changed.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
