@@ -232,8 +232,12 @@ def fit(rows: list[tuple[str, int]], clean_weight: float = 1.0, seed: int = 7) -
     if len(set(y.tolist())) < 2:
         return Model()
     rng = np.random.default_rng(seed)
-    sentences = [[strings(s) for s in _SENTENCE.split(text) if s] for text, _ in rows]
-    sets = [set().union(*x) for x in sentences]
+    once: dict[str, str] = {}  # each word is held once
+    sets = []
+    for text, _ in rows:
+        own = set().union(*(strings(s) for s in _SENTENCE.split(text) if s))
+        sets.append(set(map(once.setdefault, own, own)))
+    del once
     toxic, clean = Counter(), Counter()
     for own, label in zip(sets, y):
         (toxic if label else clean).update(w for w in own if 3 <= len(w))
@@ -293,7 +297,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, cl
     rows = sorted((r.doc_id, r.text, r.toxic) for r in rows)
     taken = Counter(r[2] for r in rows)
     share = lambda k: taken[k] / max(1, counts.get(k, 0))
-    return fit([(text, label) for _, text, label in rows], clean_weight=min(10.0, share(1) / max(share(0), 1e-9)))
+    texts = [(text, label) for _, text, label in rows]
+    del rows
+    return fit(texts, clean_weight=min(10.0, share(1) / max(share(0), 1e-9)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
