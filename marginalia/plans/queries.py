@@ -17,10 +17,13 @@ from marginalia.plans.tables import Tables
 from marginalia.sources import uploads as U
 from marginalia.streaming import streams as S
 
-NOW = F.lit("1998-12-01 00:00:00").cast("timestamp")
 QUERIES = {}
 
 
+def now() -> F.Column:
+    return F.lit("1998-12-01 00:00:00").cast("timestamp")
+
+
 def query(f):
     QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
     return f
@@ -344,7 +347,7 @@ def persist_turn(t):
 
 @query
 def persist_upload(t):
-    up = t.documents.select("doc_id", "session_id", F.lit("u").alias("user_id"), "filename", "pages", F.lit(1).alias("chunks_count"), (F.col("no") < 20).alias("is_new"), NOW.alias("now"))
+    up = t.documents.select("doc_id", "session_id", F.lit("u").alias("user_id"), "filename", "pages", F.lit(1).alias("chunks_count"), (F.col("no") < 20).alias("is_new"), now().alias("now"))
     sessions, documents = B.persist_upload(up)
     return documents.join(sessions.select("session_id", "title"), "session_id", "left").select("doc_id", "session_id", "filename", "file_path", "title")
 
@@ -467,7 +470,7 @@ def session_history(t):
 @query
 def document_store(t):
     v = t.files.select("doc_id", F.col("filename").alias("text"), F.when(F.col("pages") > 10, F.col("uploaded_at")).alias("created_at"), F.struct("uploaded_at", "filename", "pages").alias("seq"))
-    return B.document_store(v, NOW).select("doc_id", "text", "created_at", "updated_at")
+    return B.document_store(v, now()).select("doc_id", "text", "created_at", "updated_at")
 
 
 def registrations(t: Tables) -> DataFrame:
@@ -500,8 +503,8 @@ def constraint_audit(t):
 
 @query
 def relative_date(t):
-    now = F.lit("1997-06-05 12:00:00").cast("timestamp")
-    return t.sessions.select("session_id", B.relative_date(F.col("last_activity").cast("timestamp"), now).alias("label"))
+    noon = F.lit("1997-06-05 12:00:00").cast("timestamp")
+    return t.sessions.select("session_id", B.relative_date(F.col("last_activity").cast("timestamp"), noon).alias("label"))
 
 
 @query
