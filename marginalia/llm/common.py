@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
+import sys
 import tempfile
 import uuid
 
@@ -67,11 +70,20 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def give_back() -> None:
+    """Returns memory that nothing uses to the system: Python workers outlive the tasks that made them grow."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_blocks(batches, chars: int):
     """Arrow batches (first column ids, second texts) cut into blocks of about `chars` bytes of text.
 
     Yields (batch slice, list of texts). A text longer than a block is a block of its own.
     """
+    give_back()  # what the task before left in this worker
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -81,6 +93,8 @@ def text_blocks(batches, chars: int):
         for start, end in zip(cuts, cuts[1:]):
             part = batch.slice(start, end - start)
             yield part, [t or "" for t in part.column(1).to_pylist()]
+    batch = part = None
+    give_back()
 
 
 def record_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -96,7 +110,7 @@ def word_hash(word: str | bytes, salt: bytes = b"") -> int:
 class HashCache(dict):
     """word -> 64-bit hash, computed once per word; emptied when it holds `most` words."""
 
-    def __init__(self, most: int = 500_000, salt: bytes = b""):
+    def __init__(self, most: int = 200_000, salt: bytes = b""):
         super().__init__()
         self.most, self.salt = most, salt
 

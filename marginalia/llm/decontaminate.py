@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import id_text, record_batch, table, text_blocks, written
+from marginalia.llm.common import give_back, id_text, record_batch, table, text_blocks, written
 
 WINDOW = 10
 MAX_INDEX_BYTES = 32 << 20
@@ -166,6 +166,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, ma
 def _holds(index):
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
+        give_back()
         out = []
         for i in range(0, len(texts), 1_000):
             ids, lengths = index.value.numbers([t or "" for t in texts[i : i + 1_000]])

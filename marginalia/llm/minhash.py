@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import HashCache, id_text, lower_words, record_batch, table, text_blocks, without, written
+from marginalia.llm.common import HashCache, give_back, id_text, lower_words, record_batch, table, text_blocks, without, written
 from marginalia.llm.components import connected_components
 
 SIMILARITY = 80
@@ -172,6 +172,8 @@ def _verify(n: int, similarity: int):
     """A cell (doc_id, text, main) -> a link from each document to the first of its component."""
 
     def run(cell: pa.Table) -> pa.Table:
+        if cell.num_rows > 500:
+            give_back()
         cell = cell.sort_by("doc_id")
         ids = cell["doc_id"].to_numpy()
         root = _links(_sets(cell["text"].to_pylist(), HashCache(), n), cell["main"].to_numpy(), similarity)

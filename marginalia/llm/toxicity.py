@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import id_text, record_batch, table, text_blocks
+from marginalia.llm.common import give_back, id_text, record_batch, table, text_blocks
 
 TOXIC_TEXTS, CLEAN_TEXTS = 1_200, 2_500
 LANDMARKS = 128
@@ -319,6 +319,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        give_back()
         own = [t or "" for t in texts]
         # a batch may be long; scores are found some hundred texts at a time
         return pd.Series([x for i in range(0, len(own), 1_000) for x in shared.value.scores(own[i : i + 1_000])], dtype="float64")
