@@ -10,10 +10,15 @@ where n(t, c) counts distinct texts in which t stands within `REACH` characters
 for c when n(t, c) >= `SUPPORT` and PMI >= `REMOVE` * IC(c) (removed), or >= `GENERALISE` * IC(c)
 (generalised to its shape). Exact copies of a text count once, so copying alone never makes a term disclosing.
 
+Most values stand in one or two texts, so that nothing can be estimated for them alone. c is therefore the value, and
+also what values have in common: their group (domain of an address, network of an ip, issuer of a card, area of a
+phone) and their kind. A group or kind counts while it tells at least `RARE` bits: what stands in more texts than that is
+no secret.
+
 Jobs: one scan finds base spans and contexts and writes both to the shared folder; contexts are aggregated
 to (value, term) pairs with map-side combination; document frequencies are counted for the terms of
-surviving pairs only, by a broadcast set while it is under `MAX_TERMS`, else by a join on exploded
-words; marked contexts return to their documents by a join on doc_id.
+surviving pairs only, by a broadcast set while it is under `MAX_TERMS` (each task adds up its texts), else by a join on
+exploded words; marked contexts return to their documents by a join on doc_id.
 
 Defined cases: null and empty texts have no spans; repeated rows (same doc_id) each give a row; a null doc_id
 keeps its base spans but gets no term spans; empty tables give empty results; other columns are not read.
@@ -24,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +43,8 @@ REACH = 80
 SUPPORT = 3
 #: Shares of a value's information at which a term is generalised or removed.
 GENERALISE, REMOVE = 0.8, 0.95
+#: Bits that a group or kind tells at least: it stands in an eighth of the texts at most.
+RARE = 3.0
 #: Terms up to which their set is broadcast (some 100 bytes each).
 MAX_TERMS = 200_000
 
@@ -81,10 +89,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def entities(kind: int, value: str) -> list[int]:
+    """Hashes of what terms may disclose: the value, its group, its kind. Only that of the value is odd."""
+    value = value.lower()
+    if kind == 0:
+        group = value.rsplit("@", 1)[1]
+    elif kind == 1:
+        group = value.rsplit(".", 1)[0]
+    else:
+        digits = "".join(_DIGIT.findall(value))
+        group = digits[:6] if kind == 2 else digits[:-7]
+    name = KINDS[kind]
+    return [word_hash(f"{name}:{value}") | 1, word_hash(f"{name} group:{group}") & ~1, word_hash(f"{name} kind") & ~1]
+
+
 def _find(batches):
-    """(doc_id, text, text_id) -> base results and, for each value, the terms around it."""
+    """(doc_id, text, text_id) -> base results, the entities of its values, and for each the terms around it."""
     for part, texts in text_blocks(batches, 8 << 20):
-        counts, digests, spans, contexts = [[] for _ in KINDS], [], [], []
+        counts, digests, spans, owned, contexts = [[] for _ in KINDS], [], [], [], []
         for text in texts:
             base = base_spans(text)
             for k, own in enumerate(counts):
@@ -92,26 +114,28 @@ def _find(batches):
             named = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
             digests.append(hashlib.sha256(named.encode()).hexdigest())
             spans.append(named)
-            near = []
+            near, own = [], set()
             for s, k, e in base:
-                value = word_hash(f"{KINDS[k]}:{text[s:e].lower()}")
+                values = entities(k, text[s:e])
+                own.update(values)
                 for begin, end in ((max(0, s - REACH), s), (e, min(len(text), e + REACH))):
                     for m in _TERM.finditer(text, begin, end):
                         a, b = m.span()
                         whole = (a > begin or a == 0 or not text[a - 1].isalpha()) and (b < end or b == len(text) or not text[b].isalpha())
                         if whole and all(b <= x[0] or a >= x[2] for x in base):
-                            near.append({"value": value, "term": m[0].lower(), "start": a, "end": b})
+                            near += [{"value": v, "term": m[0].lower(), "start": a, "end": b} for v in values]
+            owned.append(sorted(own))
             contexts.append(near)
         yield record_batch({
             "doc_id": part.column(0), **{f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts)},
-            "base_sha256": pa.array(digests), "base": pa.array(spans), "text_id": part.column(2),
+            "base_sha256": pa.array(digests), "base": pa.array(spans), "text_id": part.column(2), "owned": pa.array(owned, pa.list_(pa.int64())),
             "near": pa.array(contexts, pa.list_(pa.struct([("value", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))),
         })
 
 
 _FOUND = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text_id long, "
-    "near array<struct<value:bigint,term:string,start:int,end:int>>"
+    "owned array<bigint>, near array<struct<value:bigint,term:string,start:int,end:int>>"
 )
 
 
@@ -127,6 +151,19 @@ def _held_terms(wanted):
     return run
 
 
+def _count_held(n_terms):
+    """Rows of held numbers -> for each number how many of the task's rows hold it."""
+
+    def run(batches):
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        found = np.flatnonzero(total)
+        yield record_batch({"i": pa.array(found, pa.int32()), "n": pa.array(total[found], pa.int64())})
+
+    return run
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """value, term, removed: terms whose information about a value is beyond a threshold. docs: doc_id, text, text_id."""
     spark = docs.sparkSession
@@ -141,18 +178,19 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, max_terms: int = MAX_TER
         numbers = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
         held = docs.mapInArrow(_held_terms(numbers), "text_id long, held array<int>")
         # one row for a text, however many copies it has, before terms are counted
-        counts = held.groupBy("text_id").agg(F.first("held").alias("held")).select(F.explode("held").alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+        counts = held.groupBy("text_id").agg(F.first("held").alias("held")).select("held").mapInArrow(_count_held(len(names)), "i int, n long")
         n_term = counts.join(spark.createDataFrame(list(enumerate(names)), "i int, term string"), "i")
     else:
         words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
         n_term = docs.select("text_id", F.explode(words).alias("term")).join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n"))
     n_term = n_term.groupBy("term").agg(F.sum("n").alias("n_term"))
-    n_value = near.groupBy("value").agg(F.count_distinct("text_id").alias("n_value"))
+    n_value = found.select("text_id", F.explode("owned").alias("value")).groupBy("value").agg(F.count_distinct("text_id").alias("n_value"))
     total = F.lit(float(n_texts))
     know = F.log2(total / F.col("n_value"))
     tells = F.log2(total * F.col("n_pair") / (F.col("n_term") * F.col("n_value")))
     scored = pairs.join(n_term, "term").join(n_value, "value").withColumns({"know": know, "tells": tells})
-    return scored.where((F.col("know") > 0) & (F.col("tells") >= GENERALISE * F.col("know"))).select(
+    enough = (F.col("know") >= RARE) | ((F.col("value") % 2 != 0) & (F.col("know") > 0))
+    return scored.where(enough & (F.col("tells") >= GENERALISE * F.col("know"))).select(
         "value", "term", (F.col("tells") >= REMOVE * F.col("know")).alias("removed")
     )
 
@@ -165,9 +203,10 @@ def find_personal_data(docs: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame
     marks = (
         found.where(F.size("near") > 0).select("doc_id", "text_id", F.explode("near").alias("x"))
         .select("doc_id", "text_id", "x.*").join(terms, ["value", "term"])
+        .groupBy("doc_id", "text_id", "start", "end").agg(F.max("removed").alias("removed"))
         .groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "removed"))).alias("marks"))
     )
-    return found.join(marks, ["doc_id", "text_id"], "left").drop("near")
+    return found.join(marks, ["doc_id", "text_id"], "left").drop("near", "owned")
 
 
 def _mask(batches):

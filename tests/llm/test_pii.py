@@ -69,6 +69,18 @@ def test_terms_that_give_a_value_away(spark, monkeypatch, max_terms):
     assert "zorblatt" not in clean[0] and "jo@ex.org" not in clean[0] and clean[0].startswith("hello")
 
 
+@pytest.mark.parametrize("max_terms", [100, 0])
+def test_terms_of_values_that_stand_once(spark, max_terms):
+    # four addresses, each in one text, share a domain and "quibble"; four cards, each in one text, share their kind and "frobnitz"
+    cards = ["4539148803436467", "5500005555555559", "340000000000009", "6011000000000004"]
+    texts = [f"hello quibble sent from jo{i}@rare.org today" for i in range(4)] + [f"hello frobnitz paid by {c} now" for c in cards]
+    texts += [f"hello other{i}@many{i}.org says plain" for i in range(3)] + [f"hello nothing here {i}" for i in range(70)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    marked = {r.doc_id: {texts[r.doc_id][m.start : m.end] for m in r.marks or ()} for r in pii.find_personal_data(df, max_terms).collect()}
+    assert all("quibble" in marked[i] for i in range(4)) and all("frobnitz" in marked[i] for i in range(4, 8))
+    assert not any("hello" in m for m in marked.values()) and not any(marked[i] for i in range(11, 81))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     assert pii.find_personal_data(odd_docs).count() == odd_docs.count()
     assert pii.find_personal_data(no_docs).count() == 0
