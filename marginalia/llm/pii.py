@@ -18,10 +18,12 @@ no secret.
 Jobs: one scan finds base spans and contexts and writes both to the shared folder; contexts are aggregated
 to (value, term) pairs with map-side combination; document frequencies are counted for the terms of
 surviving pairs only, by a broadcast set while it is under `MAX_TERMS` (each task adds up its texts), else by a join on
-exploded words; marked contexts return to their documents by a join on doc_id.
+exploded words. A last scan finds base spans again and marks every occurrence of a disclosing term in every text,
+however far from a value and whether or not the text holds one: the terms are broadcast while they are
+under `MAX_TERMS`, else joined to exploded words.
 
 Defined cases: null and empty texts have no spans; repeated rows (same doc_id) each give a row; a null doc_id
-keeps its base spans but gets no term spans; empty tables give empty results; other columns are not read.
+changes nothing; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -104,16 +106,11 @@ def entities(kind: int, value: str) -> list[int]:
 
 
 def _find(batches):
-    """(doc_id, text, text_id) -> base results, the entities of its values, and for each the terms around it."""
+    """(doc_id, text, text_id) -> the entities of a text's values, and for each the terms around it."""
     for part, texts in text_blocks(batches, 8 << 20):
-        counts, digests, spans, owned, contexts = [[] for _ in KINDS], [], [], [], []
+        owned, contexts = [], []
         for text in texts:
             base = base_spans(text)
-            for k, own in enumerate(counts):
-                own.append(sum(x[1] == k for x in base))
-            named = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
-            digests.append(hashlib.sha256(named.encode()).hexdigest())
-            spans.append(named)
             near, own = [], set()
             for s, k, e in base:
                 values = entities(k, text[s:e])
@@ -123,20 +120,75 @@ def _find(batches):
                         a, b = m.span()
                         whole = (a > begin or a == 0 or not text[a - 1].isalpha()) and (b < end or b == len(text) or not text[b].isalpha())
                         if whole and all(b <= x[0] or a >= x[2] for x in base):
-                            near += [{"value": v, "term": m[0].lower(), "start": a, "end": b} for v in values]
+                            near += [{"value": v, "term": m[0].lower()} for v in values]
             owned.append(sorted(own))
             contexts.append(near)
         yield record_batch({
-            "doc_id": part.column(0), **{f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts)},
-            "base_sha256": pa.array(digests), "base": pa.array(spans), "text_id": part.column(2), "owned": pa.array(owned, pa.list_(pa.int64())),
-            "near": pa.array(contexts, pa.list_(pa.struct([("value", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))),
+            "text_id": part.column(2), "owned": pa.array(owned, pa.list_(pa.int64())),
+            "near": pa.array(contexts, pa.list_(pa.struct([("value", pa.int64()), ("term", pa.string())]))),
         })
 
 
-_FOUND = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text_id long, "
-    "owned array<bigint>, near array<struct<value:bigint,term:string,start:int,end:int>>"
-)
+_FOUND = "text_id long, owned array<bigint>, near array<struct<value:bigint,term:string>>"
+
+
+def _outside(text: str, base: list[tuple[int, int, int]]):
+    """Matches of terms that touch no base span."""
+    spans, last = sorted((s, e) for s, _, e in base), 0
+    at = 0
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            last = max(last, spans[at][1])
+            at += 1
+        if a >= last:
+            yield m
+
+
+_MARKS = "array<struct<start:int,end:int,removed:boolean>>"
+_BASE = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text_id long, marks " + _MARKS
+
+
+def _mark(shared):
+    """(doc_id, text, text_id) -> base results and marks of the terms of shared (term -> removed)."""
+
+    def run(batches):
+        removed: dict[str, bool] = shared.value
+        for part, texts in text_blocks(batches, 8 << 20):
+            counts, digests, spans, marks = [[] for _ in KINDS], [], [], []
+            for text in texts:
+                base = base_spans(text)
+                for k, own in enumerate(counts):
+                    own.append(sum(x[1] == k for x in base))
+                named = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
+                digests.append(hashlib.sha256(named.encode()).hexdigest())
+                spans.append(named)
+                found = []
+                if removed and not removed.keys().isdisjoint(map(str.lower, _TERM.findall(text))):
+                    found = [{"start": m.start(), "end": m.end(), "removed": removed[t]} for m in _outside(text, base) if (t := m[0].lower()) in removed]
+                marks.append(found or None)
+            yield record_batch({
+                "doc_id": part.column(0), **{f"n_{k}": pa.array(c, pa.int64()) for k, c in zip(KINDS, counts)},
+                "base_sha256": pa.array(digests), "base": pa.array(spans), "text_id": part.column(2),
+                "marks": pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())]))),
+            })
+
+    return run
+
+
+def _words(batches):
+    """(doc_id, text, text_id) -> every term of a text that touches no base span, with its place."""
+    for part, texts in text_blocks(batches, 1 << 20):
+        for i, text in enumerate(texts):
+            found = [(m[0].lower(), *m.span()) for m in _outside(text, base_spans(text))]
+            if found:
+                one = part.slice(i, 1)
+                n = len(found)
+                term, start, end = zip(*found)
+                yield record_batch({
+                    "doc_id": pa.array(one.column(0).to_pylist() * n, pa.int64()), "text_id": pa.array(one.column(2).to_pylist() * n, pa.int64()),
+                    "term": pa.array(term, pa.string()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()),
+                })
 
 
 def _held_terms(wanted):
@@ -145,7 +197,7 @@ def _held_terms(wanted):
     def run(batches):
         numbers: dict[str, int] = wanted.value
         for part, texts in text_blocks(batches, 8 << 20):
-            held = [sorted({numbers[t] for t in _TERM.findall(text.lower()) if t in numbers}) for text in texts]
+            held = [sorted({numbers[t] for t in map(str.lower, _TERM.findall(text)) if t in numbers}) for text in texts]
             yield record_batch({"text_id": part.column(2), "held": pa.array(held, pa.list_(pa.int32()))})
 
     return run
@@ -165,7 +217,7 @@ def _count_held(n_terms):
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """value, term, removed: terms whose information about a value is beyond a threshold. docs: doc_id, text, text_id."""
+    """term, removed: terms whose information about any value is beyond a threshold. docs: doc_id, text, text_id."""
     spark = docs.sparkSession
     near = found.where(F.size("near") > 0).select("text_id", F.explode("near").alias("x")).select("text_id", "x.value", "x.term")
     pairs = written(
@@ -179,6 +231,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, max_terms: int = MAX_TER
         held = docs.mapInArrow(_held_terms(numbers), "text_id long, held array<int>")
         # one row for a text, however many copies it has, before terms are counted
         counts = held.groupBy("text_id").agg(F.first("held").alias("held")).select("held").mapInArrow(_count_held(len(names)), "i int, n long")
+        counts = counts.groupBy("i").agg(F.sum("n").alias("n"))
         n_term = counts.join(spark.createDataFrame(list(enumerate(names)), "i int, term string"), "i")
     else:
         words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
@@ -191,22 +244,26 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, max_terms: int = MAX_TER
     scored = pairs.join(n_term, "term").join(n_value, "value").withColumns({"know": know, "tells": tells})
     enough = (F.col("know") >= RARE) | ((F.col("value") % 2 != 0) & (F.col("know") > 0))
     return scored.where(enough & (F.col("tells") >= GENERALISE * F.col("know"))).select(
-        "value", "term", (F.col("tells") >= REMOVE * F.col("know")).alias("removed")
-    )
+        "term", (F.col("tells") >= REMOVE * F.col("know")).alias("removed")
+    ).groupBy("term").agg(F.max("removed").alias("removed"))
 
 
 def find_personal_data(docs: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """Base results of every document, and marks: array of (start, end, removed) of its disclosing terms."""
     docs = id_text(docs).withColumn("text_id", F.xxhash64("text"))
     found = written(docs.mapInArrow(_find, _FOUND), "pii")
-    terms = disclosing_terms(docs, found, max_terms)
-    marks = (
-        found.where(F.size("near") > 0).select("doc_id", "text_id", F.explode("near").alias("x"))
-        .select("doc_id", "text_id", "x.*").join(terms, ["value", "term"])
-        .groupBy("doc_id", "text_id", "start", "end").agg(F.max("removed").alias("removed"))
-        .groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "removed"))).alias("marks"))
-    )
-    return found.join(marks, ["doc_id", "text_id"], "left").drop("near", "owned")
+    terms = written(disclosing_terms(docs, found, max_terms), "terms")
+    few = terms.count() <= max_terms
+    shared = docs.sparkSession.sparkContext.broadcast({r.term: r.removed for r in terms.collect()} if few else {})
+    out = docs.mapInArrow(_mark(shared), _BASE)
+    if few:
+        return out
+    # by document and text; repeated rows have the same marks
+    words = docs.mapInArrow(_words, "doc_id long, text_id long, term string, start int, end int")
+    marks = words.join(terms, "term").groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "removed"))).alias("marks"))
+    marks = marks.withColumnsRenamed({"doc_id": "own_doc", "text_id": "own_text"})
+    both = out.drop("marks").join(marks, F.col("doc_id").eqNullSafe(F.col("own_doc")) & (F.col("text_id") == F.col("own_text")), "left")
+    return both.drop("own_doc", "own_text")
 
 
 def _mask(batches):

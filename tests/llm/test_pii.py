@@ -81,6 +81,24 @@ def test_terms_of_values_that_stand_once(spark, max_terms):
     assert not any("hello" in m for m in marked.values()) and not any(marked[i] for i in range(11, 81))
 
 
+@pytest.mark.parametrize("max_terms", [100, 0])
+def test_every_occurrence_of_a_disclosing_term(spark, max_terms):
+    # "zorblatt" stands by one address in four texts; once more far from it, once in a text without a value, once without an id
+    texts = [f"hello zorblatt wrote from jo@ex.org today number{i}" for i in range(4)] + [f"hello nothing here {i}" for i in range(200)]
+    texts[0] += " filler" * 40 + " Zorblatt."
+    texts += ["hello zorblatt alone", "hello again zorblatt", "mail zorblatt@ex.org"]
+    ids = [*range(205), None, 206]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    marked = {}
+    for r in pii.find_personal_data(df, max_terms).collect():
+        text = texts[205 if r.doc_id is None else r.doc_id]
+        marked[r.doc_id] = [text[m.start : m.end] for m in r.marks or () if text[m.start : m.end].lower() == "zorblatt"]
+    assert marked[0] == ["zorblatt", "Zorblatt"] and marked[204] == ["zorblatt"] and marked[None] == ["zorblatt"]
+    assert marked[206] == [] and len(marked) == len(texts)
+    clean = {r.doc_id: r.text.lower() for r in pii.sanitise(df).collect()}
+    assert not any("zorblatt" in t for t in clean.values())
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     assert pii.find_personal_data(odd_docs).count() == odd_docs.count()
     assert pii.find_personal_data(no_docs).count() == 0
