@@ -6,6 +6,7 @@ import pytest
 from marginalia.functions.text import byte_prefix, cut, fields, trim_space
 from marginalia.operators import answers as A
 from marginalia.operators import chunking as K
+from marginalia.operators import context as C
 from marginalia.operators import retrieval as R
 from marginalia.operators import tables as B
 from pyspark.sql import functions as F
@@ -100,3 +101,35 @@ def test_malformed_completions(spark):
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
     got = [(r.answer, r.error) for r in A.parse_completion(df).orderBy("i").collect()]
     assert got == [(" x ", None), (None, "no choices"), (None, "quota"), (None, "malformed"), (None, "malformed"), ("", None)]
+
+
+def test_context_fulltext_holds_few_texts(spark):
+    rng = random.Random(5)
+    docs, links = [], []
+    sizes = {"many": [rng.randint(0, 300) for _ in range(900)], "one": [40_000], "small": [10, 20], "none": [None], "mixed": [None, 9_000, None, 9_000, 50]}
+    sizes["exact"] = [15_000 - 11 - len("exact0.pdf"), 5]  # the second part begins just at the cut
+    for name, own in sizes.items():
+        for i, n in enumerate(own):
+            text = None if n is None else "x" * n if name == "exact" else "".join(rng.choice("aé漢🙂 ") for _ in range(n))
+            docs.append((f"{name}{i}", f"{name}{i}.pdf", text))
+            links.append((name, f"{name}{i}", i))
+    want = {}
+    for name, own in sizes.items():
+        text = {d: t for d, _, t in docs}
+        whole = "".join(f"--- {name}{i}.pdf ---\n{text[f'{name}{i}']}\n\n" for i, n in enumerate(own) if n is not None)
+        if len(whole.encode()) > 15_000:
+            whole = whole.encode()[:15_000].decode(errors="ignore") + "\n... [truncated]"
+        want[name] = "Document Context:\n\n" + whole
+    ld = spark.createDataFrame(rng.sample(links, len(links)), "session_id string, doc_id string, doc_pos int")
+    dd = spark.createDataFrame(docs, "doc_id string, filename string, text string")
+    sessions = spark.createDataFrame([(s, s + "0") for s in sizes] + [("bare", "one0")], "session_id string, primary_doc_id string")
+    chunks = spark.createDataFrame([("small1",)], "doc_id string")
+    got = {r.session_id: r.context for r in C.context_fulltext(ld, dd, sessions, chunks).collect()}
+    one = next(t for d, _, t in docs if d == "one0")
+    want["bare"] = "Document Context:\n\n" + one.encode()[:15_000].decode(errors="ignore") + "\n... [truncated]"
+    del want["small"]
+    assert got == want
+    # what is brought together for a session is bounded, however many and long its texts are
+    parts = C.fulltext_parts(ld, dd)[0].collect()
+    for name in sizes:
+        assert sum(len(r.part.encode()) for r in parts if r.session_id == name) <= 2 * 15_004
