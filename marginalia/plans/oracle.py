@@ -76,6 +76,7 @@ SELECT batch_id, filename, CAST(row_number() OVER (PARTITION BY batch_id ORDER B
     "session_chunks": f"{BASE} SELECT session_id, doc_id, doc_pos, chunk_index FROM cs",
     "keyword_score": f"{RANKED} SELECT question_id, chunk_id, CAST(k AS INTEGER) keyword_score FROM sc",
     "phrase_bonus": f"{BASE}, fq AS (SELECT chunk_id question_id, session_id, lower(left(text, 60)) lq FROM cs WHERE doc_pos < 3 AND chunk_index = 0) SELECT question_id, chunk_id, 5 phrase_bonus FROM fq JOIN cs USING (session_id) WHERE doc_pos < 20 AND contains(lc, lq)",
+    "phrase_bonus_all": f"{BASE}, {QUESTIONS} SELECT question_id, chunk_id, 5 phrase_bonus FROM q JOIN cs USING (session_id) WHERE contains(lc, lq)",
     "top_k_chunks": f"{RANKED} SELECT question_id, CAST(rank AS INTEGER) rank, chunk_id, score FROM rk WHERE score > 0",
     "fallback_first_k": f"{BASE}, {QUESTIONS} SELECT question_id, CAST(rank AS INTEGER) rank, chunk_id FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY doc_pos, chunk_index) rank FROM q JOIN cs USING (session_id)) WHERE rank <= 5",
     "build_context": f"{RANKED}, c AS (SELECT question_id, 'Document Context:' || chr(10) || chr(10) || string_agg({PART}, '' ORDER BY rank) context FROM rk GROUP BY 1) SELECT question_id, CAST(strlen(context) AS INTEGER) bytes, md5(context) digest FROM c",

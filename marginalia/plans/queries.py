@@ -131,6 +131,13 @@ def phrase_bonus(t):
     return R.score(first, chunks.where("doc_pos < 20")).where("phrase_bonus > 0").select("question_id", "chunk_id", "phrase_bonus")
 
 
+@query
+def phrase_bonus_all(t):
+    """All questions, as whole messages, against all chunks of their sessions."""
+    scored = R.score(t.questions, R.session_chunks(t.session_documents, t.chunks))
+    return scored.where("phrase_bonus > 0").select("question_id", "chunk_id", "phrase_bonus")
+
+
 @query
 def top_k_chunks(t):
     return ranked(t).where("score > 0").select("question_id", "rank", "chunk_id", F.col("score").cast("long").alias("score"))

@@ -9,6 +9,7 @@ from marginalia.operators import chunking as K
 from marginalia.operators import context as C
 from marginalia.operators import retrieval as R
 from marginalia.operators import tables as B
+from marginalia.plans.queries import QUERIES
 from pyspark.sql import functions as F
 
 ODD = ["", " ", "a b　c\x85d", "a\x1cb c", "é" * 60, "漢" * 40 + "x", "🙂" * 30, "  padded\t\n", None]
@@ -133,3 +134,14 @@ def test_context_fulltext_holds_few_texts(spark):
     parts = C.fulltext_parts(ld, dd)[0].collect()
     for name in sizes:
         assert sum(len(r.part.encode()) for r in parts if r.session_id == name) <= 2 * 15_004
+
+
+def test_phrase_bonus_of_whole_messages(spark, tmp_path):
+    # the last document of 30, its second chunk, and a message beyond 60 characters that differs at its end only
+    long = "the quick brown fox jumps over the lazy dog while seven wizards watch closely from the hill"
+    docs = [(i, f"filler text {i}", "src1") for i in range(29)] + [(29, "pad " * 600 + long.title(), "src1"), (30, long, "src2")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, 0, "user", long), (1, 2, "user", long + "s"), (1, 4, "user", "filler text 28"), (1, 6, "assistant", long)]
+    spark.createDataFrame(asked, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.question_id, r.phrase_bonus) for r in QUERIES["phrase_bonus_all"](spark, str(tmp_path)).collect())
+    assert got == [("1-0", 5), ("1-4", 5)]
