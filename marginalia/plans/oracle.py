@@ -116,8 +116,11 @@ SELECT session_id, CASE WHEN text IS NOT NULL THEN replace({text(A.MOCK_SUMMARY)
     "persist_turn": "WITH x AS (SELECT conv_id || '-' || turn k, 'src' || (conv_id % 20) session_id, text FROM conversations WHERE role = 'user' AND turn % 4 <> 0) SELECT session_id, k || ':u' id, 'user' AS role, text content, NULL citations FROM x UNION ALL SELECT session_id, k || ':a', 'assistant', 'ok', '[{\"page\":1,\"text\":\"t\"}]' FROM x",
     "persist_upload": f"WITH {DOCS} SELECT d.doc_id, d.session_id, d.filename, '' file_path, s.filename title FROM docs d LEFT JOIN docs s ON s.session_id = d.session_id AND s.no < 20",
     "user_sessions": f"WITH {SESSIONS}, {FILES}, s AS (SELECT user_id, session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last_activity DESC, session_id) AS INTEGER) session_rank FROM ses WHERE user_id % 3 = 0), d AS (SELECT session_id, doc_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY uploaded_at, doc_id) AS INTEGER) doc_rank FROM f) SELECT user_id, session_id, session_rank, doc_id, doc_rank FROM s LEFT JOIN d USING (session_id)",
+    "user_sessions_all": f"WITH {SESSIONS}, {FILES}, s AS (SELECT user_id, session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last_activity DESC, session_id) AS INTEGER) session_rank FROM ses), d AS (SELECT session_id, doc_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY uploaded_at, doc_id) AS INTEGER) doc_rank FROM f) SELECT user_id, session_id, session_rank, doc_id, doc_rank FROM s LEFT JOIN d USING (session_id)",
     "session_documents": f"WITH {SESSIONS}, {FILES}, d AS (SELECT session_id, doc_id, CASE WHEN pages > 10 THEN '/up/' || filename ELSE '' END file_path, CAST(row_number() OVER (PARTITION BY session_id ORDER BY uploaded_at, doc_id) AS INTEGER) doc_rank FROM f WHERE session_id IN (SELECT session_id FROM ses WHERE user_id % 7 = 0)) SELECT session_id, doc_id, min(doc_rank) doc_rank, min(file_path) file_path FROM d GROUP BY 1, 2",
+    "session_documents_all": f"WITH {SESSIONS}, {FILES}, d AS (SELECT session_id, doc_id, CASE WHEN pages > 10 THEN '/up/' || filename ELSE '' END file_path, CAST(row_number() OVER (PARTITION BY session_id ORDER BY uploaded_at, doc_id) AS INTEGER) doc_rank FROM f WHERE session_id IN (SELECT session_id FROM ses)) SELECT session_id, doc_id, min(doc_rank) doc_rank, min(file_path) file_path FROM d GROUP BY 1, 2",
     "session_messages": f"WITH {MSG} SELECT id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY msg_seq) AS INTEGER) n, CASE WHEN msg_seq % 2 = 1 THEN 3 END page FROM msg WHERE session_id % 2 = 0",
+    "session_messages_all": f"WITH {MSG} SELECT id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY msg_seq) AS INTEGER) n, CASE WHEN msg_seq % 2 = 1 THEN 3 END page FROM msg",
     "owned_messages": f"WITH {SESSIONS}, {FILES} SELECT session_id, count(*) n FROM f WHERE session_id IN (SELECT session_id FROM ses WHERE session_id % 2 = 0) GROUP BY 1",
     "refused_requests": f"WITH {SESSIONS}, {REQUESTS} SELECT session_id, user_id FROM rq ANTI JOIN ses USING (session_id, user_id)",
     "delete_cascade": f"WITH {SESSIONS}, {FILES}, {MSG}, gone AS (SELECT session_id FROM ses WHERE session_id % 6 = 0) SELECT 'sessions' AS name, count(*) n FROM ses ANTI JOIN gone USING (session_id) UNION ALL SELECT 'documents', count(*) FROM f ANTI JOIN gone USING (session_id) UNION ALL SELECT 'messages', count(*) FROM msg ANTI JOIN gone USING (session_id)",

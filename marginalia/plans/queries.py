@@ -364,12 +364,23 @@ def user_sessions(t):
     return B.user_sessions(t.sessions.where("user_id % 3 = 0"), t.files).select("user_id", "session_id", "session_rank", "doc_id", "doc_rank")
 
 
+@query
+def user_sessions_all(t):
+    return B.user_sessions(t.sessions, t.files).select("user_id", "session_id", "session_rank", "doc_id", "doc_rank")
+
+
 @query
 def session_documents(t):
     files = t.files.withColumn("file_path", F.when(F.col("pages") > 10, F.concat(F.lit("/up/"), "filename")))
     return B.session_documents(files, t.sessions.where("user_id % 7 = 0")).groupBy("session_id", "doc_id").agg(F.min("doc_rank").alias("doc_rank"), F.min("file_path").alias("file_path"))
 
 
+@query
+def session_documents_all(t):
+    files = t.files.withColumn("file_path", F.when(F.col("pages") > 10, F.concat(F.lit("/up/"), "filename")))
+    return B.session_documents(files, t.sessions).groupBy("session_id", "doc_id").agg(F.min("doc_rank").alias("doc_rank"), F.min("file_path").alias("file_path"))
+
+
 @query
 def session_messages(t):
     m = t.messages.withColumns({"created_at": F.timestamp_seconds(F.col("msg_seq") * 60), "citations": F.when(F.col("msg_seq") % 2 == 1, '[{"page":3,"text":"t"}]')})
@@ -377,6 +388,12 @@ def session_messages(t):
     return out.select("id", "n", F.get("citations", F.lit(0))["page"].alias("page"))
 
 
+@query
+def session_messages_all(t):
+    m = t.messages.withColumns({"created_at": F.timestamp_seconds(F.col("msg_seq") * 60), "citations": F.when(F.col("msg_seq") % 2 == 1, '[{"page":3,"text":"t"}]')})
+    return B.session_messages(m, t.messages).select("id", "n", F.get("citations", F.lit(0))["page"].alias("page"))
+
+
 def session_requests(t: Tables) -> DataFrame:
     """Requests of which each second one is by the owner."""
     return t.sessions.select("session_id", (F.col("user_id") + F.col("session_id") % 2).alias("user_id"))
