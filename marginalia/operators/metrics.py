@@ -13,9 +13,12 @@ def docs_per_user(documents: DataFrame, sessions: DataFrame) -> DataFrame:
     return own.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("users"), F.sum("n").alias("documents"))
 
 
-def weekly_active_share(activity: DataFrame, n_users: int) -> DataFrame:
-    """(user_id, ts) -> week, active users, share of all users."""
+def weekly_active_share(activity: DataFrame, n_users: int | DataFrame) -> DataFrame:
+    """(user_id, ts) -> week, active users, share of all users: a number, or the distinct user_id of a table."""
     weeks = activity.groupBy(F.date_trunc("week", "ts").alias("week")).agg(F.count_distinct("user_id").alias("active"))
+    if isinstance(n_users, DataFrame):
+        total = n_users.agg(F.count_distinct("user_id").alias("total"))
+        return weeks.crossJoin(F.broadcast(total)).select("week", "active", F.round(F.col("active") / F.nullif("total", F.lit(0)), 6).alias("share"))
     return weeks.withColumn("share", F.round(F.col("active") / F.lit(n_users), 6))
 
 

@@ -159,6 +159,7 @@ z AS (SELECT user_id, max(g) g, max(c) c, max(t) t FROM y GROUP BY 1)
 SELECT y.user_id session_id, make_timestamp(any_value(z.t) * 1000) last_activity, count(*) FILTER (y.k IN ('view', 'error') AND y.c = z.c) n_messages, count(*) FILTER (y.k = 'click') n_documents FROM y JOIN z ON y.user_id = z.user_id AND y.g = z.g GROUP BY 1""",
     "docs_per_user": f"WITH {SESSIONS}, {FILES} SELECT count(DISTINCT user_id) users, CAST(count(*) AS BIGINT) documents FROM f JOIN ses USING (session_id)",
     "weekly_active_share": "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(DISTINCT user_id) active, round(count(DISTINCT user_id) / 1000, 6) share FROM events GROUP BY 1",
+    "weekly_active_share_counted": "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(DISTINCT user_id) active, round(count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events), 6) share FROM events GROUP BY 1",
     "upload_success_rate": f"WITH {DOCS}, {PAGES} SELECT count(*) uploads, count(*) FILTER (text IS NULL) failures, round(avg(CASE WHEN text IS NULL THEN 0 ELSE 1 END), 6) rate FROM pg",
     "answer_found_rate": f"{VERDICT} SELECT count(*) answers, round(avg(CASE WHEN contains(lower(answer), 'not found') OR contains(lower(answer), 'not available') OR contains(lower(answer), 'cannot find') THEN 0 ELSE 1 END), 6) rate FROM v",
     "monthly_quota": f"WITH {SESSIONS}, {FILES}, b AS (SELECT user_id, uploaded_at ts, 1 d, 0 q FROM f JOIN ses USING (session_id) UNION ALL SELECT user_id, created_at, 0, 1 FROM ses) SELECT user_id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, CAST(sum(d) AS BIGINT) pdfs, CAST(sum(q) AS BIGINT) questions, sum(d) > 10 OR sum(q) > 50 exceeded FROM b GROUP BY 1, 2",

@@ -603,6 +603,12 @@ def weekly_active_share(t):
     return M.weekly_active_share(activity, 1000)
 
 
+@query
+def weekly_active_share_counted(t):
+    activity = t.activity.select(F.col("session_id").alias("user_id"), "ts")
+    return M.weekly_active_share(activity, activity)
+
+
 @query
 def upload_success_rate(t):
     return M.upload_success_rate(t.pages.select(F.when(F.col("text").isNull(), "PDF_PROCESSING_ERROR").alias("error")))

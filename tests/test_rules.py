@@ -7,6 +7,7 @@ from marginalia.functions.text import byte_prefix, cut, fields, trim_space
 from marginalia.operators import answers as A
 from marginalia.operators import chunking as K
 from marginalia.operators import context as C
+from marginalia.operators import metrics as M
 from marginalia.operators import retrieval as R
 from marginalia.operators import tables as B
 from marginalia.plans.queries import QUERIES
@@ -145,3 +146,9 @@ def test_phrase_bonus_of_whole_messages(spark, tmp_path):
     spark.createDataFrame(asked, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((r.question_id, r.phrase_bonus) for r in QUERIES["phrase_bonus_all"](spark, str(tmp_path)).collect())
     assert got == [("1-0", 5), ("1-4", 5)]
+
+
+def test_weekly_share_of_the_users_there_are(spark):
+    seen = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-01-02"), (2, "2024-01-03"), (3, "2024-01-10"), (4, "2024-01-11")], "user_id long, ts string")
+    activity = seen.withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [r.share for r in M.weekly_active_share(activity, activity).orderBy("week").collect()] == [0.5, 0.5]
