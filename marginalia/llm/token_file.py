@@ -12,15 +12,17 @@ checksums stays sound. Beside each data file lies an index file of 20 bytes a re
 offset of the record in the data file (unsigned 64-bit), number of ids (unsigned 32-bit): a reader that wants
 records in random order, or by doc_id, seeks to them.
 
-Rows are range-partitioned and sorted by doc_id; each task streams its range to files named by its attempt, in
+Rows are range-partitioned and sorted by doc_id and the hash of the text, so that rows without an id, or of one id, are
+dealt over tasks, too; each task streams its range to files named by its attempt, in
 the shared folder, through any file system that pyarrow knows by URI. Only tasks that succeed enter the
 manifest (a table that Spark commits), so a lost executor leaves unused files at worst. First ids of the
 parts follow from the manifest's counts. Readers take one part each and verify every checksum.
 
 Encoding is by the tokenizers library, part by part between single blanks, which its pattern never
-crosses; each distinct part is encoded once per worker and kept in a cache of two halves of about `CACHE` parts.
+crosses; each distinct part is encoded once per worker and kept in a cache of two halves of about `CACHE` parts. A text
+that may hold the string of a special token, which the library then takes for that token, is given to it whole.
 
-Defined cases: null and empty texts are records with the end id alone; rows of equal doc_id are written side by
+Defined cases: null and empty texts are records with the end id alone; the string of a special token is that token; rows of equal doc_id are written side by
 side in the order of their texts' hashes; a null doc_id comes first; an empty table gives an empty manifest.
 """
 
@@ -71,7 +73,8 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: How the strings of special tokens begin.
+        self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -109,8 +112,12 @@ class PartEncoder:
         for part, body, tail in roots:
             cache[part] = cache[body] + cache[tail]
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        special = {i: self._whole(t) + self.end for i, t in enumerate(texts) if any(m in t for m in self.marks)}
+        lists = [[] if i in special else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         if len(self.cache) > self.most:  # the older half goes
             self.cache, self.old = {"": b""}, self.cache
         seen: set[str] = set()
@@ -119,7 +126,7 @@ class PartEncoder:
         if new := seen.difference(self.cache):
             self._fill(new)
         get = self.cache.__getitem__
-        return [b"".join((*map(get, x), self.end)) for x in lists]
+        return [special[i] if i in special else b"".join((*map(get, x), self.end)) for i, x in enumerate(lists)]
 
 
 _encoders: dict[str, PartEncoder] = {}
@@ -176,7 +183,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
 
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
     folder = folder or new_path(spark, "tokens")
-    rows = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ("doc_id", F.xxhash64("text"))
+    rows = id_text(docs).repartitionByRange(*order).sortWithinPartitions(*order)
     return written(rows.mapInArrow(_write(folder, vocabulary), "part int, uri string, n_records long, n_ids long"), "manifest")
 
 

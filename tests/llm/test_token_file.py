@@ -15,7 +15,6 @@ P = pytest.importorskip("public_tokenizers")
 @pytest.fixture(scope="module")
 def lib():
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [T.END_ID]
 
 
@@ -30,6 +29,32 @@ def test_parts_spell_texts(lib):
             assert np.frombuffer(found, own.dtype).tolist() == lib(text), repr(text)
 
 
+def test_strings_of_special_tokens(lib):
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "\n", "word", "Word.", "é", "'s", "<", ">", "\u0338"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    own = T.PartEncoder(P.path("word_bpe_49k.json"), most=200)
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        for text, found in zip(some, own.encode(some)):
+            assert np.frombuffer(found, own.dtype).tolist() == lib(text), repr(text)
+    assert lib("<|endoftext|>") == [49407, T.END_ID]
+
+
+def test_many_rows_of_one_id(spark):
+    docs = spark.range(3000).selectExpr("if(id % 2 = 0, null, 7) doc_id", "concat('text ', id) text")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        manifest = T.write_token_files(docs.repartition(8))
+    finally:
+        spark.conf.unset(name)
+    assert manifest.count() > 2  # dealt over parts by the hash of the text
+    rows = sorted(T.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 1500 + [7] * 1500
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+
+
 def test_query(spark, lib):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in T.op6_token_files(spark, SF).collect()}
