@@ -1,13 +1,18 @@
 """Secret scans: pattern spans, and encoded material confirmed by its structure.
 
-Base kinds (assign, access, hex) are found by pattern. Beside them, candidates of base64, base64url or hex are
-decoded and reported only when what they decode to proves what it is:
+Base kinds (assign, access, hex) are found by pattern. Beside them, candidates of base64, base64url or hex, broken over
+lines or not, are decoded at each alignment, and reported only when what they decode to proves what it is:
 
-* der: an ASN.1 SEQUENCE whose nested lengths fill the bytes exactly and that opens like a private key
-  (INTEGER version, then an INTEGER, SEQUENCE or OCTET STRING);
+* der: an ASN.1 SEQUENCE whose nested lengths fill it exactly and that is a private key: a version and at least
+  two more INTEGERs; a version, an algorithm and an OCTET STRING whose content is an ASN.1 element that fills it
+  exactly; or a version and an OCTET STRING of 16 to 72 bytes;
 * openssh: the openssh-key-v1 magic followed by length-prefixed fields that stay within the bytes;
 * token: three dot-joined base64url parts whose first decodes to a JSON object that names an `alg`;
-* pem: a PRIVATE KEY block whose body decodes to either of the first two.
+* pem: a PRIVATE KEY block whose body decodes to either of the first two, to an encrypted key (an algorithm and an
+  OCTET STRING), or, under Proc-Type and DEK-Info lines, to whole blocks of the cipher.
+
+A key or header may begin within a run, behind other characters, but ends where the run or one of its lines ends. All work is linear in the text: a run is decoded once
+at each of its alignments, and the beginnings of structures are looked for in what it decodes to.
 
 Each row is scanned by itself, without a shuffle. Defined cases: null and empty texts have no spans;
 repeated rows each give a row; empty tables give empty results; other columns are not read.
@@ -20,6 +25,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +40,16 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _NEEDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_LONG = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_HEX_ONLY = re.compile(r"(?:[0-9a-fA-F]{2})+")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:\s*[A-Za-z0-9-]{1,40}:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_CIPHER = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),[0-9A-Fa-f]+")
+_HEX_RUN = re.compile(r"[0-9a-fA-F]{64,}+(?:\r?\n[ \t]*+[0-9a-fA-F]++)*+")
+#: What a private key begins with: a SEQUENCE and its length, then a version of 0 to 2.
+_KEY_HEAD = re.compile(rb"\x30(?:[\x00-\x7f]|\x81[\x80-\xff]|\x82[\x01-\xff][\x00-\xff]|\x83[\x01-\xff][\x00-\xff]{2})\x02\x01[\x00-\x02]")
+_MAGIC = b"openssh-key-v1\0"
+_NOT_TEXT = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_URL = str.maketrans("-_", "+/")
 
 
 def _header(data: bytes, at: int) -> tuple[int, int, int] | None:
@@ -55,57 +67,153 @@ def _header(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (data[at], begin, begin + size) if begin + size <= len(data) else None
 
 
-def is_der_key(data: bytes) -> bool:
-    top = _header(data, 0)
-    if not top or top[0] != 0x30 or top[2] != len(data):
-        return False
-    tags, at = [], top[1]
-    while at < top[2]:
-        inner = _header(data, at)
-        if not inner:
-            return False
-        tags.append(inner[0])
-        at = inner[2]
-    version = _header(data, top[1])
-    return at == top[2] and len(tags) >= 3 and tags[0] == 0x02 and version[2] - version[1] == 1 and data[version[1]] <= 2 and tags[1] in (0x02, 0x30, 0x04)
-
-
-def is_openssh_key(data: bytes) -> bool:
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
-    for _ in range(3):  # cipher, key derivation, its options
-        size = int.from_bytes(data[at : at + 4]) if at + 4 <= len(data) else len(data)
-        at += 4 + size
-        if at > len(data):
-            return False
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4]) <= 64
+def _elements(data: bytes, begin: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The ASN.1 elements (tag, start of content, end) that fill begin to end exactly; None where they don't."""
+    out, at = [], begin
+    while at < end:
+        one = _header(data, at)
+        if not one or one[2] > end:
+            return None
+        out.append(one)
+        at = one[2]
+    return out
 
 
-def _decoded(run: str):
-    """What a run may decode to: hex when it is all hex, and either base64 alphabet."""
-    if _HEX_ONLY.fullmatch(run):
-        yield bytes.fromhex(run)
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 != 1:
-        try:
-            yield base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            pass
+def _algorithm(data: bytes, element: tuple[int, int, int]) -> bool:
+    """Whether a SEQUENCE opens with an OBJECT IDENTIFIER."""
+    inner = element[0] == 0x30 and _elements(data, *element[1:])
+    return bool(inner) and inner[0][0] == 0x06
 
 
-def _structure(data: bytes) -> str | None:
-    return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
+def der_key(data: bytes, at: int = 0) -> int | None:
+    """Where the private key that begins at `at` ends; None where none does."""
+    top = _header(data, at)
+    inner = _elements(data, *top[1:]) if top and top[0] == 0x30 else None
+    if not inner or len(inner) < 2 or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1 or data[inner[0][1]] > 2:
+        return None
+    tags, second = [x[0] for x in inner], inner[1]
+    if tags[1] == 0x02:
+        proven = len(tags) >= 3 and all(t == 0x02 for t in tags[:-1]) and tags[-1] in (0x02, 0x30)
+    elif tags[1] == 0x30:
+        proven = len(tags) >= 3 and tags[2] == 0x04 and _algorithm(data, second)
+        key = _elements(data, *inner[2][1:]) if proven else None
+        proven = bool(key) and len(key) == 1 and key[0][0] in (0x02, 0x04, 0x30) and (key[0][0] != 0x30 or bool(_elements(data, *key[0][1:])))
+    else:
+        proven = tags[1] == 0x04 and 16 <= second[2] - second[1] <= 72 and set(tags[2:]) <= {0xA0, 0xA1}
+    return top[2] if proven else None
+
+
+def encrypted_key(data: bytes) -> bool:
+    top = _header(data, 0)
+    inner = _elements(data, *top[1:]) if top and top[0] == 0x30 and top[2] == len(data) else None
+    return bool(inner) and [x[0] for x in inner] == [0x30, 0x04] and _algorithm(data, inner[0])
 
 
-def _is_token(run: str) -> bool:
-    head = run.split(".")[0]
+def openssh_key(data: bytes, begin: int = 0) -> int | None:
+    """Where an openssh key that begins at `begin` ends, which is with the data; None where none does."""
+    if not data.startswith(_MAGIC, begin):
+        return None
+    at = begin + len(_MAGIC)
+    for _ in range(3):  # cipher, key derivation, its options
+        at += 4 + int.from_bytes(data[at : at + 4]) if at + 4 <= len(data) else len(data)
+        if at > len(data):
+            return None
+    return len(data) if at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4]) <= 64 else None
+
+
+def _keys(data: bytes):
+    """(start, end, kind) of private keys in some bytes, leftmost first."""
+    found = [(m.start(), end, "der") for m in _KEY_HEAD.finditer(data) if (end := der_key(data, m.start()))]
+    at = data.find(_MAGIC)
+    while at >= 0:
+        if end := openssh_key(data, at):
+            found.append((at, end, "openssh"))
+        at = data.find(_MAGIC, at + 1)
+    return found
+
+
+def _base64(run: str) -> bytes:
+    """Bytes of as many characters as make whole groups, and of what is left."""
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _runs(text: str):
+    """(start, end, kind) of keys in base64 or hex."""
+    for pattern, shifts, bits in ((_RUN, 4, 6), (_HEX_RUN, 2, 4)):
+        for m in pattern.finditer(text):
+            run = m[0] if "\n" not in m[0] else "".join(m[0].split())
+            plain = run.translate(_URL) if bits == 6 else run
+            for shift in range(shifts):
+                part = plain[shift:]
+                data = _base64(part) if bits == 6 else bytes.fromhex(part[: len(part) // 2 * 2])
+                for s, e, kind in _keys(data):
+                    first, last = shift + s * 8 // bits, min(shift - (-e * 8 // bits), len(run)) - 1
+                    if len(run) < len(m[0]):  # places in the run without its line breaks
+                        places = [i for i, c in enumerate(m[0]) if not c.isspace()]
+                        first, last = places[first], places[last]
+                    end = m.start() + last + 1
+                    if end < len(text) and (text[end].isalnum() or text[end] in "+/_-"):
+                        continue  # more than the key
+                    while bits == 6 and end < len(text) and text[end] == "=":
+                        end += 1
+                    yield m.start() + first, end, kind
+
+
+def _token_head(part: str) -> int | None:
+    """Where in a part the first JSON object in base64url begins that ends with the part and names an `alg`."""
+    best = None
+    for shift in range(4):
+        at = part.find("eyJ")
+        while at >= 0 and at % 4 != shift:
+            at = part.find("eyJ", at + 1)
+        if at < 0 or (len(part) - at) % 4 == 1:
+            continue
+        said = _base64(part[at:].translate(_URL)).decode("latin-1")
+        # an object has no control characters, and those that begin within strings of another fail at once
+        begin = 0
+        for m in _NOT_TEXT.finditer(said):
+            begin = m.end()
+        begin = said.find('{"', begin)
+        while begin >= 0:
+            try:
+                found, end = _JSON.raw_decode(said, begin) if begin % 3 == 0 else (None, 0)
+            except (ValueError, RecursionError):
+                found, end = None, 0
+            if end == len(said) and isinstance(found, dict) and isinstance(found.get("alg"), str):
+                place = at + begin // 3 * 4
+                best = place if best is None else min(best, place)
+                break
+            begin = said.find('{"', begin + 1)
+    return best
+
+
+_JSON = json.JSONDecoder()
+
+
+def _tokens(text: str):
+    """(start, end) of signed tokens."""
+    for m in _DOTTED.finditer(text):
+        parts, at, k = m[0].split("."), m.start(), 0
+        while k + 2 < len(parts):
+            head = _token_head(parts[k]) if parts[k + 1] and "eyJ" in parts[k] else None
+            whole = sum(len(x) + 1 for x in parts[k : k + 3])
+            if head is not None:
+                yield at + head, at + whole - 1
+            taken = 1 if head is None else 3
+            at += sum(len(x) + 1 for x in parts[k : k + taken])
+            k += taken
+
+
+def _pem_proven(label: str, lines: str, body: str) -> bool:
     try:
-        found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (binascii.Error, ValueError, RecursionError):
+        data = base64.b64decode("".join(body.split()), validate=True)
+    except binascii.Error:
         return False
-    return isinstance(found, dict) and isinstance(found.get("alg"), str)
+    if "ENCRYPTED" in lines:
+        cipher = _CIPHER.search(lines)
+        return bool(cipher) and len(data) > 0 and len(data) % (16 if "AES" in cipher[1] or "CAMELLIA" in cipher[1] else 8) == 0
+    return der_key(data) == len(data) or openssh_key(data) is not None or label.startswith("ENCRYPTED") and encrypted_key(data)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -124,15 +232,15 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number from 3, end) of structurally confirmed candidates, sorted."""
     out = []
     if "PRIVATE KEY" in text:
-        for m in _PEM.finditer(text):
-            if any(_structure(d) for d in _decoded("".join(m[2].split()))):
-                out.append((m.start(), 6, m.end()))
+        out += [(m.start(), 6, m.end()) for m in _PEM.finditer(text) if _pem_proven(m[1], m[2], m[3])]
     if "eyJ" in text:
-        out += [(m.start(), 5, m.end()) for m in _TOKEN.finditer(text) if _is_token(m[0])]
-    for m in _LONG.finditer(text):
-        kind = next((k for d in _decoded(m[0]) if (k := _structure(d))), None)
-        if kind and not any(s <= m.start() and m.end() <= e for s, _, e in out):
-            out.append((m.start(), 3 + MORE.index(kind), m.end()))
+        out += [(s, 5, e) for s, e in _tokens(text)]
+    blocks, last = sorted((s, e) for s, _, e in out), 0
+    for s, e, kind in sorted(_runs(text), key=lambda x: (x[0], -x[1])):
+        at = bisect_right(blocks, (s, len(text))) - 1
+        if e > last and not (at >= 0 and e <= blocks[at][1]):  # not within another key, token or block
+            out.append((s, 3 + MORE.index(kind), e))
+            last = e
     return sorted(out)
 
 
