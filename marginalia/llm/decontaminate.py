@@ -8,7 +8,7 @@ slices under that bound, which are scanned one after the other over the table wr
 memory stays bounded and no hit is lost.
 
 Defined cases: a null or empty text has no words and no hit; a null item text and an item without words
-have no window; repeated items each count; repeated documents each give a row; empty tables give empty
+have no window; items without an item_id count as one item, which lists of ids leave out; rows of one item_id are one item; repeated documents each give a row; empty tables give empty
 (or hit-free) results; other columns of either table are never read.
 """
 
@@ -47,12 +47,17 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def in_order(items) -> list[str | None]:
+    """Sorted as strings; what has no id comes last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 class WindowIndex:
     """The windows of some items: by length, sorted hashes, the words of each window, and its items."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], n: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple, set[str]]] = {}
+        by_length: dict[int, dict[tuple, set[str | None]]] = {}
         for item, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text or "")]
             size = min(n, len(ids))
@@ -61,7 +66,7 @@ class WindowIndex:
         self.tables = []
         for size, found in sorted(by_length.items()):
             rows = np.array(list(found), dtype=np.int64).reshape(-1, size)
-            owners = [sorted(x) for x in found.values()]
+            owners = [in_order(x) for x in found.values()]
             hashes = _hash_rows(rows)
             order = np.argsort(hashes, kind="stable")
             self.tables.append((size, hashes[order], rows[order], [owners[i] for i in order]))
@@ -114,7 +119,7 @@ def _scan(index):
                 begin = ends[doc] - lengths[doc]
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[begin : ends[doc]], [0]))))
                 spans_out[doc] = _merge([*spans_out[doc], *edge.tolist()])
-                items_out[doc] = sorted({*items_out[doc], *new})
+                items_out[doc] = in_order({*items_out[doc], *new})
             yield record_batch({
                 "doc_id": part.column(0), "text": part.column(1), "n_words": pa.array(lengths, pa.int64()),
                 "spans": pa.array(spans_out, pa.list_(pa.int32())), "items": pa.array(items_out, pa.list_(pa.string())),
@@ -212,4 +217,4 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest()

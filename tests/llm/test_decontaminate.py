@@ -1,7 +1,10 @@
+import hashlib
 import random
 import re
+import tempfile
 
 from marginalia.llm import decontaminate as D
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 
@@ -73,3 +76,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert D.find_hits(odd_docs, none).where("size(spans) > 0").count() == 0
     assert D.find_hits(odd_docs, some).where("size(spans) > 0").count() == 2
     assert D.find_hits(no_docs, some).count() == 0
+
+
+def test_items_without_an_id(spark):
+    d = spark.createDataFrame([(1, "one two three four five"), (2, "ten eleven"), (3, "nothing here")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "one two three"), (7, "one two three"), (None, "ten eleven"), (8, "four five")], "item_id long, text string")
+    for bound in (D.MAX_INDEX_BYTES, 1_000):
+        found = {r.doc_id: r for r in D.find_hits(d, b, 3, bound).collect()}
+        assert {i: r["items"] for i, r in found.items()} == {1: ["7", "8", None], 2: [None], 3: []}
+        assert {r.doc_id for r in D.drop_contaminated(d, b, 3, bound).collect()} == {3}
+    d.withColumn("source", F.lit("x")).write.parquet(path := f"{tempfile.mkdtemp(prefix='spark-')}/documents.parquet")
+    b.write.parquet(path.replace("documents", "benchmark"))
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in D.op5_benchmark_decontamination(spark, path.rsplit("/", 1)[0]).collect()}
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {1: (5, 3, digest(b"7,8")), 2: (2, 1, digest(b"")), 3: (0, 0, digest(b""))}
