@@ -9,14 +9,19 @@ document into BANDS buckets; at a similarity of 0.8 a pair shares none with a pr
 2. Documents of equal sets are one class, represented by the smallest doc_id (aggregated before any join).
 3. In each bucket every representative is tied to the smallest (no pairs within a bucket); components of these
    ties are clusters: any two documents that share a bucket are in one cluster.
-4. A cluster is verified in cells of bounded size. In a cell, components under the exact condition
-   100 * intersection >= SIMILARITY * union are found breadth first: a document is compared with all those that no
+4. A cluster of at most CELL_DOCS documents is verified in one cell: components under the exact condition
+   100 * intersection >= SIMILARITY * union are found breadth first. A document is compared with all those that no
    link has reached, on full sets, so near copies cost one comparison each and no pair is written out.
-   A cluster beyond the size of a cell first has all members compared with one pivot; those linked to it are
-   its main part, in blocks; the rest, in blocks as well, meets each main block and each other block in a cell.
-   So no link is lost, and a cluster of near copies, however large, costs in proportion to its size.
+   In a larger cluster all members are compared with one pivot; those linked to it are settled. What is left is
+   verified bucket by bucket, as only documents that share a bucket are candidates, however long the chains of buckets
+   are that make a cluster: each bucket with an unsettled document is a cell (once for buckets of the same members).
+   A bucket beyond a cell is split against its own pivot: those linked to it are its main part, in blocks; the rest,
+   in blocks as well, meets each main block and each other block in a cell. So no link is lost, comparisons are
+   those of the buckets, and a cluster of near copies, however large, costs in proportion to its size.
 5. Components of the verified links, by joins, and back to all documents.
 
+Cells carry texts, not sets: a text compresses to about half the bytes of its 64-bit shingles.
+
 Defined cases: a document without words is linked with nothing; fewer than `n` words are one shingle; rows that
 share a doc_id are one node, each with its own size; a null doc_id is linked with nothing, has a null component
 and is kept; empty tables give empty results; other columns are not read.
@@ -34,8 +39,12 @@ from marginalia.llm.components import connected_components
 
 SIMILARITY = 80
 BANDS, ROWS = 32, 4
-#: Documents and shingles of a block; a cell holds two blocks at most.
+#: Documents and shingles of a block of a bucket; a cell holds two blocks at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 1_500_000
+#: Documents and shingles of a cluster that is verified in one cell, whoever shares a bucket.
+CELL_DOCS, CELL_SHINGLES = 256, 400_000
+#: Parts that the members of a cluster are dealt over for the comparison with its pivot.
+SALTS = 64
 #: Members of clusters up to which their ids are broadcast to the scan of texts.
 BROADCAST_ROWS = 500_000
 
@@ -184,7 +193,7 @@ def _verify(n: int, similarity: int):
 
 
 def _with_pivot(n: int, similarity: int):
-    """(doc_id, text, cluster, pivot text) -> whether the document is linked with the pivot of its cluster."""
+    """(doc_id, text, cluster, pivot text, n) -> whether the document is linked with the pivot of its cluster."""
 
     def run(batches):
         cache, pivots = HashCache(), {}
@@ -197,7 +206,7 @@ def _with_pivot(n: int, similarity: int):
                 a, b = _sets([text], cache, n)[0], pivots[cluster]
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 main.append(bool(100 * common >= similarity * (len(a) + len(b) - common)))
-            yield record_batch({"doc_id": batch.column(0), "text": batch.column(1), "cluster": batch.column(2), "main": pa.array(main, pa.bool_())})
+            yield record_batch({"doc_id": batch.column(0), "text": batch.column(1), "n": batch.column(4), "cluster": batch.column(2), "main": pa.array(main, pa.bool_())})
 
     return run
 
@@ -206,34 +215,34 @@ def _blocks(docs_total, shingles_total, block_docs: int, block_shingles: int):
     return F.greatest(F.ceil(docs_total / block_docs), F.ceil(shingles_total / block_shingles)).cast("int")
 
 
-def verified_links(docs: DataFrame, members: DataFrame, n: int, similarity: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """a, b: links that join up exactly the components of members (doc_id, n, cluster) under the exact condition."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("docs_total"), F.sum("n").alias("shingles_total"))
-    sizes = sizes.withColumn("blocks", _blocks(F.col("docs_total"), F.col("shingles_total"), block_docs, block_shingles))
-    # two blocks fit into a cell
-    wanted = members.join(sizes.where("docs_total > 1"), "cluster")
-    if members.count() <= BROADCAST_ROWS:  # some 40 bytes each; else both sides are shuffled
-        wanted = F.broadcast(wanted)
-    texts = written(docs.join(wanted, "doc_id").select("doc_id", "text", "n", "cluster", "blocks"), "texts")
-    schema, verify = "a long, b long", _verify(n, similarity)
-    links = (
-        texts.where("blocks <= 2").select("doc_id", "text", "cluster", F.lit(False).alias("main"))
-        .groupBy("cluster").applyInArrow(verify_cell(verify), schema)
-    )
-    large = texts.where("blocks > 2")
-    if large.isEmpty():
-        return links
-    pivots = large.groupBy("cluster").agg(F.min("doc_id").alias("doc_id"))
-    pivots = pivots.join(large.select("doc_id", "cluster", F.col("text").alias("pivot_text")), ["cluster", "doc_id"]).dropDuplicates(["cluster"])
+def _split(rows: DataFrame, n: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of (doc_id, text, n, cluster) with main: linked with the pivot of their cluster; links to pivots)."""
+    pivots = rows.groupBy("cluster").agg(F.min("doc_id").alias("doc_id"))
+    pivots = pivots.join(rows.select("doc_id", "cluster", F.col("text").alias("pivot_text")), ["cluster", "doc_id"]).dropDuplicates(["cluster"])
     pivots = pivots.withColumnRenamed("doc_id", "pivot")
     # a cluster's pivot goes to its members in place of the members to the pivot: salted, so that no task gets a cluster
-    salts = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    salted = pivots.withColumn("salt", salts).select("cluster", "salt", "pivot_text")
-    against = large.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).join(salted, ["cluster", "salt"])
-    parted = written(
-        against.select("doc_id", "text", "cluster", "pivot_text").mapInArrow(_with_pivot(n, similarity), "doc_id long, text string, cluster long, main boolean")
-        .join(large.select("doc_id", "cluster", "n").dropDuplicates(["doc_id", "cluster"]), ["doc_id", "cluster"]), "parted"
-    )
+    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("cluster", "salt", "pivot_text")
+    against = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"])
+    schema = "doc_id long, text string, n long, cluster long, main boolean"
+    parted = written(against.select("doc_id", "text", "cluster", "pivot_text", "n").mapInArrow(_with_pivot(n, similarity), schema), "parted")
+    links = parted.where("main").join(F.broadcast(pivots.select("cluster", "pivot")) if pivots.count() <= BROADCAST_ROWS else pivots.select("cluster", "pivot"), "cluster")
+    return parted, links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+
+
+def bucket_members(dealt: DataFrame, settled: DataFrame) -> DataFrame:
+    """doc_id, n, main, cluster (the bucket) of the buckets that hold a document that isn't settled; of buckets of equal
+    members only one. dealt: rep, bucket; settled: doc_id, n, main of some documents, once each."""
+    rows = dealt.join(settled, dealt.rep == settled.doc_id).select("doc_id", "n", "main", "bucket").distinct()
+    whole = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))) for k in (1, 2)]
+    per = rows.groupBy("bucket").agg(F.count("*").alias("docs"), F.bool_and("main").alias("over"), whole[0].alias("x"), whole[1].alias("y"))
+    chosen = per.where("docs > 1 and not over").groupBy("docs", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return rows.join(chosen.select("bucket"), "bucket").select("doc_id", "n", "main", F.col("bucket").alias("cluster"))
+
+
+def _in_cells(rows: DataFrame, n: int, similarity: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """a, b: links among the rows (doc_id, text, n, cluster) of clusters beyond a cell, which join up their components."""
+    schema, verify = "a long, b long", _verify(n, similarity)
+    parted, to_pivot = _split(rows, n, similarity)
     per = parted.groupBy("cluster").agg(
         _blocks(F.sum(F.col("main").cast("long")), F.sum(F.when(F.col("main"), F.col("n")).otherwise(0)), block_docs, block_shingles).alias("mains"),
         _blocks(F.sum((~F.col("main")).cast("long")), F.sum(F.when(F.col("main"), 0).otherwise(F.col("n"))), block_docs, block_shingles).alias("rests"),
@@ -253,8 +262,40 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, similarity: int,
     among_rests = cells(F.col("rests"), lambda j: cell(-1 - F.least(own, j), F.greatest(own, j)))
     dealt = rows.withColumn("at", F.explode(F.when(F.col("main"), with_rests).otherwise(F.concat(with_mains, among_rests))))
     met = dealt.select("doc_id", "text", "main", "cluster", "at.x", "at.y").groupBy("cluster", "x", "y").applyInArrow(verify_cell(verify), schema)
-    to_pivot = parted.where("main").join(pivots.select("cluster", "pivot"), "cluster").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    return links.union(met).union(to_pivot)
+    return met.union(to_pivot)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast while there are few (some 40 bytes each); else both sides of a join are shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def verified_links(
+    docs: DataFrame, members: DataFrame, dealt: DataFrame, n: int, similarity: int,
+    block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, cell_docs: int = CELL_DOCS,
+) -> DataFrame:
+    """a, b: links that join up exactly the components of members (doc_id, n, cluster) under the exact condition.
+
+    dealt: rep, bucket of all members."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("docs_total"), F.sum("n").alias("shingles_total")).where("docs_total > 1")
+    one = (F.col("docs_total") <= min(cell_docs, 2 * block_docs)) & (F.col("shingles_total") <= min(CELL_SHINGLES, 2 * block_shingles))
+    wanted = written(members.join(sizes.select("cluster", one.alias("one")), "cluster"), "wanted")
+    texts = written(docs.join(_few(wanted), "doc_id").select("doc_id", "text", "n", "cluster", "one"), "texts")
+    schema, verify = "a long, b long", _verify(n, similarity)
+    links = texts.where("one").select("doc_id", "text", "cluster", F.lit(False).alias("main")).groupBy("cluster").applyInArrow(verify_cell(verify), schema)
+    large = texts.where("not one").drop("one")
+    if large.isEmpty():
+        return links
+    parted, to_pivot = _split(large, n, similarity)
+    settled = parted.groupBy("doc_id").agg(F.max("n").alias("n"), F.bool_or("main").alias("main"))
+    buckets = written(bucket_members(dealt, settled), "buckets")
+    blocks = _blocks(F.count("*"), F.sum("n"), block_docs, block_shingles).alias("blocks")
+    buckets = written(buckets.join(buckets.groupBy("cluster").agg(blocks), "cluster"), "buckets")
+    own = written(large.select("doc_id", "text").join(_few(buckets), "doc_id"), "own")
+    near = own.where("blocks <= 2").select("doc_id", "text", "cluster", "main").groupBy("cluster").applyInArrow(verify_cell(verify), schema)
+    links = links.union(to_pivot).union(near)
+    larger = own.where("blocks > 2").select("doc_id", "text", "n", "cluster")
+    return links if larger.isEmpty() else links.union(_in_cells(larger, n, similarity, block_docs, block_shingles))
 
 
 def verify_cell(verify):
@@ -277,7 +318,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, *
     # rows of one doc_id are one node: what represents their sets is linked, too
     first = tied.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("doc_id", "b")
     same = tied.join(first, "doc_id").select(F.col("rep").alias("a"), "b")
-    linked = connected_components(verified_links(docs.where("doc_id is not null"), members, n, similarity, **blocks).union(same))
+    linked = connected_components(verified_links(docs.where("doc_id is not null"), members, dealt, n, similarity, **blocks).union(same))
     own = tied.join(linked, tied.rep == linked.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     own = own.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = scanned.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left")

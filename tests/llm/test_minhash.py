@@ -1,7 +1,10 @@
 import random
 
 import numpy as np
+import pytest
+from marginalia.llm import components
 from marginalia.llm import minhash as M
+from marginalia.llm.common import without
 
 from tests.llm.conftest import SF
 
@@ -65,6 +68,78 @@ def test_clusters_beyond_a_cell(spark):
     assert got(M.near_duplicates(df, 4, block_docs=2)) == brute(rows, 4)
 
 
+def chain(links=700):
+    """Each text shares three quarters of its words with the next, and a few are near copies of another."""
+    rng = random.Random(11)
+    parts = [[f"c{i}x{k}" for k in range(9)] for i in range(links + 3)]
+    rows = [" ".join(parts[i] + parts[i + 1] + parts[i + 2] + parts[i + 3]) for i in range(links)]
+    rows += [" ".join(edited(rng, rows[i].split(), 0) + ["more"]) for i in range(0, links, 9)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_chains_are_verified_bucket_by_bucket(spark, monkeypatch):
+    rows, seen = chain(), {}
+    members = M.bucket_members
+
+    def counted(dealt, settled):
+        out = members(dealt, settled)
+        seen["settled"], seen["sizes"] = settled.count(), [r["count"] for r in out.groupBy("cluster").count().collect()]
+        return out
+
+    monkeypatch.setattr(M, "bucket_members", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(M.near_duplicates(df, 2, cell_docs=20)) == brute(rows, 2)
+    # one cluster of hundreds, yet what meets in a cell is what shares a bucket
+    assert seen["settled"] > 300 and max(seen["sizes"]) < 30
+    assert sum(x * x for x in seen["sizes"]) < seen["settled"] ** 2 / 8
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_large_buckets_of_unlike_texts(spark, block):
+    # many texts that share most of their words, of similarities to either side of the bound
+    rng = random.Random(21)
+    rows = []
+    for _ in range(4):
+        base = [f"v{rng.randrange(9000)}" for _ in range(60)]
+        rows += [" ".join(edited(rng, base, rng.randint(0, 9))) for _ in range(40)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(M.near_duplicates(df, 3, block_docs=block, cell_docs=6)) == brute(rows, 3)
+
+
+def test_both_sides_shuffled(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4)
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    assert got(M.near_duplicates(df, 4, cell_docs=4)) == want
+    lost = spark.createDataFrame([(i,) for i, x in want.items() if not x[2]] + [(10**6,)], "lost_id long")
+    for most in (10**6, 0):
+        assert {r.doc_id for r in without(df, lost, most=most).collect()} == {i for i, x in want.items() if x[2]}
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 1 / 20)
+    rng = random.Random(13)
+    edges = [(0, i) for i in range(1, 4000)] + [(9000 + i, 9001 + i) for i in range(60)] + [(rng.randrange(4000, 9000), 4000) for _ in range(3000)] + [(7, 4001), (5, 5)]
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    found = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.component for r in found.collect()} == {i: find(i) for i in root}
+
+
 def test_query_on_a_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(M.op10_minhash(spark, SF)) == brute(rows, 4)
