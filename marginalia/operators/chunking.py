@@ -26,7 +26,8 @@ def reject_blank(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where(some), docs.where(~F.coalesce(some, F.lit(False))).select("doc_id", F.lit("PDF_PROCESSING_ERROR").alias("code"))
 
 
-def _fields(text: str) -> list[str]:
+def words_of(text: str) -> list[str]:
+    """Words between any Unicode white space, as `fields` has them."""
     # \s of Python also takes U+001C to U+001F, which aren't separators
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return [w for w in re.split(r"[^\S\x1c-\x1f]+|\x85", text) if w]
@@ -38,7 +39,7 @@ def pack(text: str, limit: int = CHUNK_BYTES) -> list[str]:
     if len(text.encode("utf-8", "surrogatepass")) <= limit:
         return [text]
     chunks, current, size = [], [], 0
-    for word in _fields(text):
+    for word in words_of(text):
         n = len(word) if word.isascii() else len(word.encode("utf-8", "surrogatepass"))
         if current and size + n + 1 > limit:
             chunks.append(" ".join(current))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.shared import shared_path
 from marginalia.functions.text import byte_prefix, fields, trim_space
 from marginalia.operators import answers as A
 from marginalia.operators import chunking as K
@@ -29,9 +31,13 @@ def query(f):
     return f
 
 
-def ranked(t: Tables) -> DataFrame:
+def scored(t: Tables, questions: DataFrame | None = None, **how) -> DataFrame:
     chunks = R.session_chunks(t.session_documents, t.chunks)
-    return R.rank(R.score(t.questions, chunks))
+    return R.score(t.questions if questions is None else questions, chunks, sizes=t.chunk_bounds, **how)
+
+
+def ranked(t: Tables) -> DataFrame:
+    return R.rank(scored(t, k=R.TOP_K))
 
 
 def ranked_text(t: Tables) -> DataFrame:
@@ -49,10 +55,59 @@ def joined(c: str, to: str = "|") -> F.Column:
 # Sources and sinks
 
 
+def stored(t: Tables) -> str:
+    """A folder of files with the documents, some hundred a file, as JSON lines."""
+    path = shared_path(t.spark, "uploads")
+    t.documents.select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.option("maxRecordsPerFile", 500).text(path)
+    return path
+
+
+def unpacked(lines: F.Column) -> F.Column:
+    return F.explode(F.filter(F.split(lines, "\n"), lambda x: x != ""))
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    found = F.from_json("line", "doc_id string, text string")
+    return rows.select(found.alias("d")).select("d.doc_id", F.octet_length("d.text").alias("bytes"), F.md5("d.text").alias("digest"))
+
+
+@query
+def src_upload_dir(t):
+    files = U.upload_dir(t.spark, stored(t), "part-*")
+    return digests(files.select(unpacked(F.decode("content", "UTF-8")).alias("line")))
+
+
+@query
+def src_text(t):
+    return digests(U.text_documents(t.spark, stored(t)).select(unpacked(F.col("text")).alias("line")))
+
+
+@query
+def snk_tables(t):
+    path = shared_path(t.spark, "tables")
+    U.write_tables({"sessions": t.sessions, "documents": t.files, "messages": t.messages, "users": t.users}, path)
+    own = U.read_tables(t.spark, path, ("sessions", "documents", "messages", "users"))
+    return named(
+        sessions=own["sessions"].select(F.col("session_id").alias("key"), F.col("title").alias("value")), documents=own["documents"].select(F.col("doc_id").alias("key"), F.col("filename").alias("value")),
+        messages=own["messages"].select(F.col("id").alias("key"), F.md5("content").alias("value")), users=own["users"].select(F.col("id").alias("key"), F.col("email").alias("value")),
+    )
+
+
+@query
+def src_tables(t):
+    """Sessions with the number of their documents and the name of their user, from stored tables."""
+    path = shared_path(t.spark, "tables")
+    U.write_tables({"sessions": t.sessions, "documents": t.files, "users": t.users}, path)
+    own = U.read_tables(t.spark, path, ("sessions", "documents", "users"))
+    n = own["documents"].groupBy("session_id").agg(F.count("*").alias("n"))
+    users = own["users"].select(F.col("id").alias("user_id"), "name")
+    return own["sessions"].join(n, "session_id", "left").join(users, "user_id", "left").select("session_id", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query
 def src_upload_gate(t):
     files = t.files.select("doc_id", "filename", F.when(F.col("pages") % 7 == 0, "text/plain").otherwise("application/pdf").alias("mime"), (F.col("pages") * 1_200_000).alias("length"))
-    return U.upload_gate(files).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    return U.upload_gate(files).select("doc_id", "filename", "mime", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"))
 
 
 @query
@@ -70,8 +125,7 @@ def src_last_written(t):
 
 @query
 def snk_json(t):
-    rows = t.questions.select("question_id", F.struct("session_id", "msg_seq").alias("at"))
-    return rows.select("question_id", F.to_json("at").alias("value"))
+    return U.as_json(t.questions.select("question_id", "session_id", "msg_seq", "message"), "question_id", "session_id", "msg_seq", "message")
 
 
 # Extraction to chunks
@@ -119,23 +173,22 @@ def session_chunks(t):
 
 @query
 def keyword_score(t):
-    scored = R.score(t.questions, R.session_chunks(t.session_documents, t.chunks))
-    return scored.select("question_id", "chunk_id", "keyword_score")
+    return scored(t).select("question_id", "chunk_id", "keyword_score")
 
 
 @query
 def phrase_bonus(t):
-    """Chunks as questions about their own session: each finds itself."""
-    chunks = R.session_chunks(t.session_documents, t.chunks)
-    first = chunks.where("doc_pos < 3 and chunk_index = 0").select(F.col("chunk_id").alias("question_id"), "session_id", F.substring("text", 1, 60).alias("message"))
-    return R.score(first, chunks.where("doc_pos < 20")).where("phrase_bonus > 0").select("question_id", "chunk_id", "phrase_bonus")
+    """Whole chunks of every document whose id is divisible by 20 as questions about all chunks of their session: each finds
+    itself and its copies."""
+    own = t.documents.where("no % 20 = 0").select("session_id", "doc_id")
+    asked = own.join(t.chunks, "doc_id").select(F.col("chunk_id").alias("question_id"), "session_id", F.col("text").alias("message"))
+    return scored(t, asked, phrases=True).select("question_id", "chunk_id", "phrase_bonus")
 
 
 @query
 def phrase_bonus_all(t):
     """All questions, as whole messages, against all chunks of their sessions."""
-    scored = R.score(t.questions, R.session_chunks(t.session_documents, t.chunks))
-    return scored.where("phrase_bonus > 0").select("question_id", "chunk_id", "phrase_bonus")
+    return scored(t, phrases=True).select("question_id", "chunk_id", "phrase_bonus")
 
 
 @query
@@ -147,8 +200,7 @@ def top_k_chunks(t):
 def fallback_first_k(t):
     """Questions made of one word that no chunk holds."""
     q = t.questions.select("question_id", "session_id", F.concat(F.lit("zzqx"), F.md5("message")).alias("message"))
-    scored = R.score(q, R.session_chunks(t.session_documents, t.chunks))
-    return R.fallback_first_k(scored, 5).select("question_id", "rank", "chunk_id")
+    return R.fallback_first_k(scored(t, q, k=5), 5).select("question_id", "rank", "chunk_id")
 
 
 @query
@@ -193,14 +245,20 @@ def history_lines(t):
 
 @query
 def question_prompt(t):
-    h = history(t, P.LAST)
-    return h.select("id", P.question_prompt(F.lit("Document Context:\n\n"), F.col("history"), F.col("content")).alias("prompt"))
+    """Every question with the chunks found for it and the last lines before it."""
+    context = C.build_context(ranked_text(t)).withColumnRenamed("question_id", "id")
+    h = history(t, P.LAST).join(context, "id", "left")
+    prompt = P.question_prompt(F.coalesce("context", F.lit(C.CONTEXT_HEAD)), F.col("history"), F.col("content"))
+    return h.select("id", F.octet_length(prompt).alias("bytes"), F.md5(prompt).alias("digest"))
 
 
 @query
 def chat_messages_array(t):
-    m = P.chat_messages_array(F.lit("text"), F.col("history"), F.col("content"))
-    return history(t, None).select("id", F.posexplode(m).alias("n", "m")).select("id", "n", "m.role", "m.content")
+    """Every question about the longest document of its session, with the whole history."""
+    longest = t.documents.groupBy("session_id").agg(F.max_by("text", F.struct(F.octet_length("text"), "no")).alias("text"))
+    h = history(t, None).withColumn("session_id", F.concat(F.lit("src"), (F.col("session_id") % 20).cast("string")))
+    m = P.chat_messages_array(F.coalesce("text", F.lit("")), F.col("history"), F.col("content"))
+    return h.join(longest, "session_id", "left").select("id", F.posexplode(m).alias("n", "m")).select("id", "n", "m.role", F.md5("m.content").alias("digest"))
 
 
 @query
@@ -228,8 +286,11 @@ def explain_prompt(t):
 
 @query
 def inference_requests(t):
-    m = P.summary_messages(F.lit("text"))
-    return t.documents.select("doc_id", P.inference_request(m, P.SUMMARY_LIMITS).alias("body"))
+    """For every document the body of a summary and of a question about it."""
+    summary = P.inference_request(P.summary_messages(F.col("text")), P.SUMMARY_LIMITS)
+    chat = P.inference_request(P.chat_single_turn(F.col("text"), F.concat(F.lit("What is in "), "filename", F.lit("?"))), P.CHAT_LIMITS)
+    kinds = F.explode(F.array(F.struct(F.lit("summary").alias("kind"), summary.alias("body")), F.struct(F.lit("chat").alias("kind"), chat.alias("body"))))
+    return t.documents.select("doc_id", kinds.alias("x")).select("doc_id", "x.kind", F.octet_length("x.body").alias("bytes"), F.md5("x.body").alias("digest"))
 
 
 # Answers
@@ -252,7 +313,7 @@ def parse_completion(t):
 
 def verdicts(t: Tables) -> DataFrame:
     phrase = F.element_at(F.array(*map(F.lit, ("I Cannot Find it", "Not in the document", "it is NOT FOUND", "not available", "yes"))), (F.pmod("msg_seq", F.lit(5)) + 1).cast("int"))
-    return t.messages.select("id", F.concat_ws(" ", F.substring("content", 1, 20), phrase).alias("answer"))
+    return t.messages.select("id", F.concat_ws(" ", "content", phrase).alias("answer"))
 
 
 @query
@@ -272,6 +333,21 @@ def mock_answer(t):
     return q.select("question_id", found.alias("found"), A.mock_answer(found, F.col("message")).alias("answer"))
 
 
+@query
+def with_answers(t):
+    """The mock rules as a given function of batches."""
+
+    def reply(batches):
+        for rows in batches:
+            found = rows["context_head"].str.len() % 2 == 1
+            text = ("Based on " + rows["context_head"] + ": " + rows["message"]).where(found, "nothing found")
+            yield pd.DataFrame({"question_id": rows["question_id"], "response": text})
+
+    head = t.documents.groupBy("session_id").agg(F.min("filename").alias("context_head"))
+    prompts = t.questions.join(head, "session_id").select("question_id", "message", "context_head")
+    return A.with_answers(prompts, reply, "question_id string, response string")
+
+
 @query
 def mock_summary(t):
     return t.documents.select("doc_id", A.mock_summary(F.col("text")).alias("s")).select("doc_id", "s.summary", joined("s.key_takeaways").alias("takeaways"), joined("s.main_topics").alias("topics"))
@@ -297,9 +373,11 @@ def extract_topics(t):
 
 @query
 def session_summaries(t):
-    requests = t.documents.select("session_id").distinct().unionByName(t.messages.select(F.col("session_id").cast("string").alias("session_id")).distinct())
-    docs = t.documents.where("no % 5 != 2")
-    return A.session_summaries(requests, t.text_sessions, docs).select("session_id", "summary", joined("key_takeaways").alias("takeaways"), "error")
+    """Sessions of documents, of conversations, whose document is missing where their number is even, and unknown ones."""
+    others = t.messages.select(F.col("session_id").alias("no")).distinct().select(F.col("no").cast("string").alias("session_id"), F.concat(F.lit("missing"), F.col("no").cast("string")).alias("primary_doc_id"), "no")
+    requests = t.documents.select("session_id").distinct().unionByName(others.select("session_id"))
+    sessions = t.text_sessions.unionByName(others.where("no % 2 = 0").drop("no"))
+    return A.session_summaries(requests, sessions, t.documents).select("session_id", "summary", joined("key_takeaways").alias("takeaways"), "error")
 
 
 @query
@@ -361,35 +439,17 @@ def persist_upload(t):
 
 @query
 def user_sessions(t):
-    return B.user_sessions(t.sessions.where("user_id % 3 = 0"), t.files).select("user_id", "session_id", "session_rank", "doc_id", "doc_rank")
-
-
-@query
-def user_sessions_all(t):
     return B.user_sessions(t.sessions, t.files).select("user_id", "session_id", "session_rank", "doc_id", "doc_rank")
 
 
 @query
 def session_documents(t):
-    files = t.files.withColumn("file_path", F.when(F.col("pages") > 10, F.concat(F.lit("/up/"), "filename")))
-    return B.session_documents(files, t.sessions.where("user_id % 7 = 0")).groupBy("session_id", "doc_id").agg(F.min("doc_rank").alias("doc_rank"), F.min("file_path").alias("file_path"))
-
-
-@query
-def session_documents_all(t):
     files = t.files.withColumn("file_path", F.when(F.col("pages") > 10, F.concat(F.lit("/up/"), "filename")))
     return B.session_documents(files, t.sessions).groupBy("session_id", "doc_id").agg(F.min("doc_rank").alias("doc_rank"), F.min("file_path").alias("file_path"))
 
 
 @query
 def session_messages(t):
-    m = t.messages.withColumns({"created_at": F.timestamp_seconds(F.col("msg_seq") * 60), "citations": F.when(F.col("msg_seq") % 2 == 1, '[{"page":3,"text":"t"}]')})
-    out = B.session_messages(m, t.messages.where("session_id % 2 = 0"))
-    return out.select("id", "n", F.get("citations", F.lit(0))["page"].alias("page"))
-
-
-@query
-def session_messages_all(t):
     m = t.messages.withColumns({"created_at": F.timestamp_seconds(F.col("msg_seq") * 60), "citations": F.when(F.col("msg_seq") % 2 == 1, '[{"page":3,"text":"t"}]')})
     return B.session_messages(m, t.messages).select("id", "n", F.get("citations", F.lit(0))["page"].alias("page"))
 
@@ -413,17 +473,18 @@ def refused_requests(t):
 def delete_cascade(t):
     gone = B.owned(session_requests(t).where("session_id % 3 = 0"), t.sessions)[0]
     s, d, m = B.delete_cascade(t.sessions, t.files, t.messages, gone)
-    return counted(sessions=s, documents=d, messages=m)
+    return named(sessions=s.select(F.col("session_id").alias("key")), documents=d.select(F.col("doc_id").alias("key")), messages=m.select(F.col("id").alias("key")))
 
 
 @query
 def delete_user_cascade(t):
     u, s, d, m = B.delete_user_cascade(t.users, t.sessions, t.files, t.messages, t.users.where("id % 4 = 1").select(F.col("id").alias("user_id")))
-    return counted(users=u, sessions=s, documents=d, messages=m)
+    return named(users=u.select(F.col("id").alias("key")), sessions=s.select(F.col("session_id").alias("key")), documents=d.select(F.col("doc_id").alias("key")), messages=m.select(F.col("id").alias("key")))
 
 
-def counted(**tables: DataFrame) -> DataFrame:
-    out = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in tables.items()]
+def named(**tables: DataFrame) -> DataFrame:
+    """The rows of tables of the same columns under one another, with the name of their table; key as a string."""
+    out = [rows.withColumn("key", F.col("key").cast("string")).withColumn("name", F.lit(name)) for name, rows in tables.items()]
     for x in out[1:]:
         out[0] = out[0].unionByName(x)
     return out[0]
@@ -442,7 +503,7 @@ def touch_last_activity(t):
 @query
 def expire_inactive(t):
     kept, gone = B.expire_inactive(t.sessions, F.lit("1997-06-01 01:00:00").cast("timestamp"))
-    return counted(kept=kept, gone=gone)
+    return named(kept=kept.select(F.col("session_id").alias("key")), gone=gone.select(F.col("session_id").alias("key")))
 
 
 @query
@@ -547,7 +608,7 @@ def text_fields(t):
 
 @query
 def text_cuts(t):
-    return t.documents.select("doc_id", byte_prefix("text", 100).alias("head"), trim_space(F.concat(F.lit("  \n"), F.substring("text", 1, 20), F.lit("\t "))).alias("trimmed"))
+    return t.documents.select("doc_id", byte_prefix("text", 100).alias("head"), F.md5(trim_space(F.concat(F.lit("  \n"), "text", F.lit("\t ")))).alias("trimmed"))
 
 
 # Streams: all that is there is read, and the result returned
@@ -599,12 +660,6 @@ def docs_per_user(t):
 
 @query
 def weekly_active_share(t):
-    activity = t.activity.select(F.col("session_id").alias("user_id"), "ts")
-    return M.weekly_active_share(activity, 1000)
-
-
-@query
-def weekly_active_share_counted(t):
     activity = t.activity.select(F.col("session_id").alias("user_id"), "ts")
     return M.weekly_active_share(activity, activity)
 
@@ -623,3 +678,8 @@ def answer_found_rate(t):
 def monthly_quota(t):
     docs = t.files.join(t.sessions.select("session_id", "user_id"), "session_id").select("user_id", F.col("uploaded_at").alias("ts"))
     return M.monthly_quota(docs, t.sessions.select("user_id", F.col("created_at").alias("ts")))
+
+
+#: Earlier names of queries that take whole tables.
+for _name, _now in (("user_sessions_all", "user_sessions"), ("session_documents_all", "session_documents"), ("session_messages_all", "session_messages"), ("weekly_active_share_counted", "weekly_active_share")):
+    QUERIES[_name] = QUERIES[_now]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.chunking import chunk_rows
+from marginalia.operators.chunking import CHUNK_BYTES, chunk_rows
 
 
 class Tables:
@@ -42,6 +42,11 @@ class Tables:
     def chunks(self) -> DataFrame:
         return chunk_rows(self.documents)
 
+    @property
+    def chunk_bounds(self) -> DataFrame:
+        """session_id and at least the number of its chunks: two neighbours hold more than a chunk's bytes together."""
+        return self.documents.groupBy("session_id").agg(F.sum(F.floor(F.octet_length("text") * 2 / CHUNK_BYTES) + 1).alias("n"))
+
     @property
     def messages(self) -> DataFrame:
         m = self.read("conversations")

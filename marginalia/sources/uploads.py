@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_BYTES = 50 * 1024 * 1024
@@ -34,8 +34,6 @@ def upload_batch(files: DataFrame) -> DataFrame:
     """
     first = files.groupBy("batch_id").agg(F.min_by("ok", "file_no").alias("first_ok"))
     kept = files.join(first.where("first_ok"), "batch_id").where("ok")
-    from pyspark.sql import Window
-
     return kept.select("batch_id", "filename", (F.row_number().over(Window.partitionBy("batch_id").orderBy("file_no")) - 1).alias("doc_pos"))
 
 
@@ -50,10 +48,16 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def read_tables(spark: SparkSession, path: str, names) -> dict[str, DataFrame]:
+    """Stored tables by name."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str, bounds: tuple[int, int], parts: int, **options) -> DataFrame:
     """A database table, read in ranges of a numeric key."""
     return spark.read.jdbc(url, name, column=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=options)
 
 
 def as_json(rows: DataFrame, *columns: str) -> DataFrame:
+    """A JSON object of the columns for each row."""
     return rows.select(F.to_json(F.struct(*columns)).alias("value"))

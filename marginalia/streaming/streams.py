@@ -9,7 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marginalia.functions.shared import shared_path
 from marginalia.operators.chunking import chunk_rows
-from marginalia.operators.tables import insert_ignore
+from marginalia.operators.tables import first_arrival
 
 IDLE = "1 hour"
 IDLE_MS = 3_600_000
@@ -48,12 +48,18 @@ def stream_dedup_messages(messages: DataFrame, ts: str = "created_at", delay: st
 
 
 def merge_messages(target_path: str, schema: str):
-    """A sink for foreachBatch that inserts messages whose id isn't in the table at target_path; two versions alternate."""
+    """A sink for foreachBatch that appends the messages whose id isn't in the table at target_path yet, of several the first.
+
+    Each batch is a folder of its own, which a repeated batch writes anew; of what is there only ids are read.
+    """
 
     def sink(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        before = spark.read.schema(schema).parquet(f"{target_path}/v{batch - 1}") if batch else spark.createDataFrame([], schema)
-        insert_ignore(before, rows, ["id"], "created_at").write.mode("overwrite").parquet(f"{target_path}/v{batch}")
+        before = spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
+        if batch:
+            before = spark.read.schema(f"{schema}, batch long").option("ignoreMissingFiles", "true").parquet(target_path).where(F.col("batch") < batch)
+        new = first_arrival(rows, ["id"], "created_at").join(before.select("id"), "id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{target_path}/batch={batch}")
 
     return sink
 

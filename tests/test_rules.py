@@ -1,16 +1,20 @@
 """Text rules and operators on small inputs, against plain Python."""
 
+import datetime
 import random
 
 import pytest
+from marginalia.functions.shared import shared_path
 from marginalia.functions.text import byte_prefix, cut, fields, trim_space
 from marginalia.operators import answers as A
 from marginalia.operators import chunking as K
 from marginalia.operators import context as C
 from marginalia.operators import metrics as M
+from marginalia.operators import prompts as P
 from marginalia.operators import retrieval as R
 from marginalia.operators import tables as B
 from marginalia.plans.queries import QUERIES
+from marginalia.streaming.streams import merge_messages
 from pyspark.sql import functions as F
 
 ODD = ["", " ", "a b　c\x85d", "a\x1cb c", "é" * 60, "漢" * 40 + "x", "🙂" * 30, "  padded\t\n", None]
@@ -152,3 +156,83 @@ def test_weekly_share_of_the_users_there_are(spark):
     seen = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-01-02"), (2, "2024-01-03"), (3, "2024-01-10"), (4, "2024-01-11")], "user_id long, ts string")
     activity = seen.withColumn("ts", F.col("ts").cast("timestamp"))
     assert [r.share for r in M.weekly_active_share(activity, activity).orderBy("week").collect()] == [0.5, 0.5]
+
+
+@pytest.mark.parametrize("blocks", [(256, 1000, 200_000), (4, 2, 0), (1, 1, 10)])
+def test_scores_in_cells(spark, blocks):
+    rng = random.Random(17)
+    letters = ["a", "b", "ab", "ba", "aab", "é", "漢字", "x\x1cy", "c", "A", "Ab", "İ"]
+    space = [" ", "  ", "\n", "　", "\x85", " \t"]
+
+    def text(n):
+        return "".join(rng.choice(letters) + rng.choice(space) for _ in range(rng.randint(0, n)))
+
+    chunks = [(f"s{s}", f"{s}-{d}-{i}", d, i, text(14)) for s in range(3) for d in range(4) for i in range(3)] + [("s0", "none", 9, 0, None)]
+    asked = [(f"q{s}-{i}", f"s{s}", text(4)) for s in range(4) for i in range(7)] + [("null", "s1", None), ("empty", "s2", ""), ("own", "s0", chunks[3][4])]
+    c = spark.createDataFrame(rng.sample(chunks, len(chunks)), "session_id string, chunk_id string, doc_pos int, chunk_index int, text string")
+    q = spark.createDataFrame(asked, "question_id string, session_id string, message string")
+    # Java and Python lower-case this letter to the same two
+    want = {}
+    for qid, session, message in asked:
+        low = None if message is None else message.lower()
+        for s, cid, d, i, t in chunks:
+            if s == session:
+                t = (t or "").lower()
+                k = sum(w in t for w in go_fields(low) or ())
+                want[qid, cid] = (k, 5 if low is not None and low in t else 0)
+    how = dict(zip(("block_chunks", "block_questions", "broadcast_sessions"), blocks))
+    got = {(r.question_id, r.chunk_id): (r.keyword_score, r.phrase_bonus) for r in R.score(q, c, **how).collect()}
+    assert got == want
+    assert {(r.question_id, r.chunk_id) for r in R.score(q, c, phrases=True, **how).collect()} == {p for p, x in want.items() if x[1]}
+    best = {}
+    order = {cid: (d, i, cid) for _, cid, d, i, _ in chunks}
+    for qid, _, _ in asked:
+        own = sorted((-sum(want[p]), order[p[1]]) for p in want if p[0] == qid)[:3]
+        best[qid] = [(o[2], -x) for x, o in own if -x > 0 or own[0][0] == 0]
+    found = {}
+    for r in R.rank(R.score(q, c, 3, **how), 3).orderBy("question_id", "rank").collect():
+        found.setdefault(r.question_id, []).append((r.chunk_id, r.score))
+    assert found == {i: x for i, x in best.items() if x}
+
+
+def test_a_session_is_many_cells(spark):
+    c = spark.range(3000).selectExpr("'s' session_id", "cast(id as string) chunk_id", "cast(id as int) doc_pos", "0 chunk_index", "concat('word', id % 7, ' text') text")
+    q = spark.range(50).selectExpr("'s' session_id", "cast(id as string) question_id", "concat('word', id % 9) message")
+    scored = R.score(q, c, 20, block_chunks=100, block_questions=20)
+    assert max(r["count"] for r in scored.groupBy("question_id").count().collect()) <= 30 * 20 + 20
+    assert scored.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    ranked = R.rank(scored)
+    assert ranked.where("score > 0").groupBy("question_id").count().where("count != 20").count() == 0
+    assert ranked.where("question_id % 9 >= 7").agg(F.max("score")).first()[0] == 0
+
+
+def test_long_texts_are_cut_in_chats(spark):
+    text = "漢" * 40_000
+    df = spark.createDataFrame([(text, ["User: a", "Assistant: b"], "and?")], "t string, h array<string>, q string")
+    m = df.select(P.chat_messages_array(F.col("t"), F.col("h"), F.col("q")).alias("m")).first().m
+    assert [x.role for x in m] == ["system", "user", "assistant", "user"]
+    assert m[0].content == P.SYSTEM_HEAD + "漢" * 33_333 + P.CHAT_SUFFIX + P.SYSTEM_TAIL_CHAT
+
+
+def test_unset_shared_folder_on_a_cluster():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None), "set": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        shared_path(Session, "x")
+    Session.sparkContext.master = "local[2]"
+    assert shared_path(Session, "x").startswith("file:///")
+
+
+def test_merge_of_late_messages(spark, tmp_path):
+    schema = "id string, created_at timestamp"
+    rows = lambda *x: spark.createDataFrame([(i, datetime.datetime(2024, 1, d)) for i, d in x], schema)
+    sink = merge_messages(str(tmp_path / "t"), schema)
+    sink(rows(("a", 1), ("b", 2), ("a", 3)), 0)
+    for _ in range(2):  # a repeated batch changes nothing
+        sink(rows(("b", 9), ("c", 4), ("c", 3)), 1)
+    sink(rows(("a", 9)), 2)
+    sink(rows(("d", 9), ("c", 1)), 3)
+    got = sorted((r.id, r.created_at.day) for r in spark.read.schema(schema).parquet(str(tmp_path / "t")).collect())
+    assert got == [("a", 1), ("b", 2), ("c", 3), ("d", 9)]

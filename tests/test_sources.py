@@ -14,3 +14,12 @@ def test_tables_round_trip(spark, tmp_path):
     for _ in range(2):
         U.write_tables({"t": df}, str(tmp_path))
     assert sorted(spark.read.parquet(str(tmp_path / "t")).collect()) == sorted(df.collect())
+
+
+def test_database_table_in_ranges(spark):
+    url = "jdbc:derby:memory:sources;create=true"
+    own = spark.createDataFrame([(i, f"name {i}") for i in range(40)], "id long, name string")
+    own.write.jdbc(url, "users", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    found = U.read_jdbc(spark, url, "users", "id", (0, 40), 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in found.collect()) == [(i, f"name {i}") for i in range(40)]
