@@ -12,10 +12,11 @@ document into BANDS buckets; at a similarity of 0.8 a pair shares none with a pr
 4. A cluster of at most CELL_DOCS documents is verified in one cell: components under the exact condition
    100 * intersection >= SIMILARITY * union are found breadth first. A document is compared with all those that no
    link has reached, on full sets, so near copies cost one comparison each and no pair is written out.
-   In a larger cluster all members are compared with one pivot; those linked to it are settled. What is left is
+   In a larger cluster all members are compared with PIVOTS of them; those linked to the first, directly or by way of
+   other pivots, are settled. What is left is
    verified bucket by bucket, as only documents that share a bucket are candidates, however long the chains of buckets
    are that make a cluster: each bucket with an unsettled document is a cell (once for buckets of the same members).
-   A bucket beyond a cell is split against its own pivot: those linked to it are its main part, in blocks; the rest,
+   A bucket beyond a cell is split against its own pivots: those linked to them are its main part, in blocks; the rest,
    in blocks as well, meets each main block and each other block in a cell. So no link is lost, comparisons are
    those of the buckets, and a cluster of near copies, however large, costs in proportion to its size.
 5. Components of the verified links, by joins, and back to all documents.
@@ -43,8 +44,8 @@ BANDS, ROWS = 32, 4
 BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 1_500_000
 #: Documents and shingles of a cluster that is verified in one cell, whoever shares a bucket.
 CELL_DOCS, CELL_SHINGLES = 256, 400_000
-#: Parts that the members of a cluster are dealt over for the comparison with its pivot.
-SALTS = 64
+#: Pivots of a cluster, and the members that are compared with them in one group.
+PIVOTS, GROUP_DOCS = 16, 256
 #: Members of clusters up to which their ids are broadcast to the scan of texts.
 BROADCAST_ROWS = 500_000
 
@@ -192,21 +193,42 @@ def _verify(n: int, similarity: int):
     return run
 
 
-def _with_pivot(n: int, similarity: int):
-    """(doc_id, text, cluster, pivot text, n) -> whether the document is linked with the pivot of its cluster."""
+def _common(flat: np.ndarray, starts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many members of each set (one after the other in flat) are in a sorted set."""
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    return np.add.reduceat((own[at] == flat).astype(np.int64), starts)
 
-    def run(batches):
-        cache, pivots = HashCache(), {}
-        for batch in batches:
-            texts, clusters, own = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            main = []
-            for text, cluster, pivot in zip(texts, clusters, own):
-                if cluster not in pivots:
-                    pivots = {cluster: _sets([pivot], cache, n)[0]}
-                a, b = _sets([text], cache, n)[0], pivots[cluster]
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                main.append(bool(100 * common >= similarity * (len(a) + len(b) - common)))
-            yield record_batch({"doc_id": batch.column(0), "text": batch.column(1), "n": batch.column(4), "cluster": batch.column(2), "main": pa.array(main, pa.bool_())})
+
+def _with_pivots(n: int, similarity: int):
+    """(some members of a cluster, its pivots) -> main: linked to the first pivot, maybe by way of others; link: the pivot it is
+    linked with."""
+
+    def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        cache = HashCache()
+        pivots = pivots.sort_by("place")
+        heads, sets = pivots["pivot"].to_pylist(), _sets(pivots["pivot_text"].to_pylist(), cache, n)
+        own = _sets(rows["text"].to_pylist(), cache, n)
+        every = own + sets  # none is empty: empty sets have no bucket
+        sizes = np.array([len(x) for x in every], np.int64)
+        flat, starts = np.concatenate(every), np.cumsum(sizes) - sizes
+        linked = np.array([100 * (c := _common(flat, starts, x)) >= similarity * (sizes + len(x) - c) for x in sets])
+        tied = linked[:, len(own) :]  # among pivots
+        reach, more = np.arange(len(sets)) == 0, True
+        parent = np.zeros(len(sets), np.int64)
+        while more:
+            new = tied[reach].any(0) & ~reach
+            parent[new] = np.flatnonzero(reach)[tied[reach][:, new].argmax(0)] if new.any() else 0
+            reach, more = reach | new, bool(new.any())
+        order = np.argsort(~reach, kind="stable")  # those that settle a member first
+        hit = linked[order][:, : len(own)]
+        first = order[hit.argmax(0)] if len(own) else order[:0]
+        some, ids = hit.any(0), rows["doc_id"].to_pylist()
+        numbers = {d: i for i, d in enumerate(heads)}
+        link = []
+        for d, f, ok in zip(ids, first.tolist(), some.tolist()):
+            i = numbers.get(d)
+            link.append(heads[parent[i]] if i is not None and reach[i] else heads[f] if ok else None)
+        return rows.append_column("main", pa.array(some & reach[first], pa.bool_())).append_column("link", pa.array(link, pa.int64()))
 
     return run
 
@@ -215,39 +237,53 @@ def _blocks(docs_total, shingles_total, block_docs: int, block_shingles: int):
     return F.greatest(F.ceil(docs_total / block_docs), F.ceil(shingles_total / block_shingles)).cast("int")
 
 
-def _split(rows: DataFrame, n: int, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of (doc_id, text, n, cluster) with main: linked with the pivot of their cluster; links to pivots)."""
-    pivots = rows.groupBy("cluster").agg(F.min("doc_id").alias("doc_id"))
-    pivots = pivots.join(rows.select("doc_id", "cluster", F.col("text").alias("pivot_text")), ["cluster", "doc_id"]).dropDuplicates(["cluster"])
-    pivots = pivots.withColumnRenamed("doc_id", "pivot")
-    # a cluster's pivot goes to its members in place of the members to the pivot: salted, so that no task gets a cluster
-    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("cluster", "salt", "pivot_text")
-    against = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"])
-    schema = "doc_id long, text string, n long, cluster long, main boolean"
-    parted = written(against.select("doc_id", "text", "cluster", "pivot_text", "n").mapInArrow(_with_pivot(n, similarity), schema), "parted")
-    links = parted.where("main").join(F.broadcast(pivots.select("cluster", "pivot")) if pivots.count() <= BROADCAST_ROWS else pivots.select("cluster", "pivot"), "cluster")
-    return parted, links.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast while there are few (some 40 bytes each); else both sides of a join are shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _split(rows: DataFrame, n: int, similarity: int) -> DataFrame:
+    """rows of (doc_id, text, n, cluster) with main, settled by the pivots of their cluster, and link, a document that they are linked with."""
+    # of each of PIVOTS parts of a cluster the least hash
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).cast("int")
+    totals = rows.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP_DOCS).cast("int").alias("groups"))
+    pivots = rows.withColumn("place", place).groupBy("cluster", "place").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(5)), "doc_id")).alias("x"))
+    pivots = _few(pivots.select("cluster", "place", F.col("x.doc_id").alias("doc_id")))
+    heads = rows.select("doc_id", "cluster", F.col("text").alias("pivot_text")).join(pivots, ["cluster", "doc_id"]).dropDuplicates(["cluster", "place"])
+    heads = heads.withColumnRenamed("doc_id", "pivot").join(_few(totals), "cluster").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    dealt = rows.join(_few(totals), "cluster").withColumn("group", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int"))
+    own = dealt.select("doc_id", "text", "n", "cluster", "group").groupBy("cluster", "group")
+    met = own.cogroup(heads.select(F.col("cluster").alias("of"), F.col("group").alias("part"), "place", "pivot", "pivot_text").groupBy("of", "part"))
+    schema = "doc_id long, text string, n long, cluster long, group int, main boolean, link long"
+    return written(met.applyInArrow(_with_pivots(n, similarity), schema).drop("group"), "parted")
+
+
+def _links_of(parted: DataFrame) -> DataFrame:
+    return parted.where("link is not null and link != doc_id").select(F.col("doc_id").alias("a"), F.col("link").alias("b"))
 
 
 def bucket_members(dealt: DataFrame, settled: DataFrame) -> DataFrame:
     """doc_id, n, main, cluster (the bucket) of the buckets that hold a document that isn't settled; of buckets of equal
-    members only one. dealt: rep, bucket; settled: doc_id, n, main of some documents, once each."""
-    rows = dealt.join(settled, dealt.rep == settled.doc_id).select("doc_id", "n", "main", "bucket").distinct()
+    members only one. dealt: rep, bucket, of buckets of more than one; settled: doc_id, n, main of some documents, once each."""
+    left = settled.where("not main").select(F.col("doc_id").alias("rep"))
+    open_ = written(dealt.join(_few(left), "rep").select("bucket").distinct(), "open")
+    rows = dealt.join(_few(open_), "bucket").join(_few(settled), F.col("rep") == F.col("doc_id"))
+    rows = written(rows.select("doc_id", "n", "main", "bucket").distinct(), "open")
     whole = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))) for k in (1, 2)]
-    per = rows.groupBy("bucket").agg(F.count("*").alias("docs"), F.bool_and("main").alias("over"), whole[0].alias("x"), whole[1].alias("y"))
-    chosen = per.where("docs > 1 and not over").groupBy("docs", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return rows.join(chosen.select("bucket"), "bucket").select("doc_id", "n", "main", F.col("bucket").alias("cluster"))
+    per = rows.groupBy("bucket").agg(F.count("*").alias("docs"), whole[0].alias("x"), whole[1].alias("y"))
+    chosen = per.where("docs > 1").groupBy("docs", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return rows.join(_few(chosen.select("bucket")), "bucket").select("doc_id", "n", "main", F.col("bucket").alias("cluster"))
 
 
 def _in_cells(rows: DataFrame, n: int, similarity: int, block_docs: int, block_shingles: int) -> DataFrame:
     """a, b: links among the rows (doc_id, text, n, cluster) of clusters beyond a cell, which join up their components."""
     schema, verify = "a long, b long", _verify(n, similarity)
-    parted, to_pivot = _split(rows, n, similarity)
+    parted = _split(rows, n, similarity)
     per = parted.groupBy("cluster").agg(
         _blocks(F.sum(F.col("main").cast("long")), F.sum(F.when(F.col("main"), F.col("n")).otherwise(0)), block_docs, block_shingles).alias("mains"),
         _blocks(F.sum((~F.col("main")).cast("long")), F.sum(F.when(F.col("main"), 0).otherwise(F.col("n"))), block_docs, block_shingles).alias("rests"),
     )
-    rows = parted.join(per, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    rows = parted.join(_few(per), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
     none = F.array().cast("array<struct<x:int,y:int>>")
 
     def cells(count, cell):
@@ -262,12 +298,7 @@ def _in_cells(rows: DataFrame, n: int, similarity: int, block_docs: int, block_s
     among_rests = cells(F.col("rests"), lambda j: cell(-1 - F.least(own, j), F.greatest(own, j)))
     dealt = rows.withColumn("at", F.explode(F.when(F.col("main"), with_rests).otherwise(F.concat(with_mains, among_rests))))
     met = dealt.select("doc_id", "text", "main", "cluster", "at.x", "at.y").groupBy("cluster", "x", "y").applyInArrow(verify_cell(verify), schema)
-    return met.union(to_pivot)
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    """rows, to be broadcast while there are few (some 40 bytes each); else both sides of a join are shuffled."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return met.union(_links_of(parted))
 
 
 def verified_links(
@@ -276,24 +307,25 @@ def verified_links(
 ) -> DataFrame:
     """a, b: links that join up exactly the components of members (doc_id, n, cluster) under the exact condition.
 
-    dealt: rep, bucket of all members."""
+    dealt: rep, bucket of all members, of buckets that more than one is in."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs_total"), F.sum("n").alias("shingles_total")).where("docs_total > 1")
     one = (F.col("docs_total") <= min(cell_docs, 2 * block_docs)) & (F.col("shingles_total") <= min(CELL_SHINGLES, 2 * block_shingles))
-    wanted = written(members.join(sizes.select("cluster", one.alias("one")), "cluster"), "wanted")
+    wanted = written(members.join(_few(sizes.select("cluster", one.alias("one"))), "cluster"), "wanted")
     texts = written(docs.join(_few(wanted), "doc_id").select("doc_id", "text", "n", "cluster", "one"), "texts")
     schema, verify = "a long, b long", _verify(n, similarity)
     links = texts.where("one").select("doc_id", "text", "cluster", F.lit(False).alias("main")).groupBy("cluster").applyInArrow(verify_cell(verify), schema)
     large = texts.where("not one").drop("one")
     if large.isEmpty():
         return links
-    parted, to_pivot = _split(large, n, similarity)
+    parted = _split(large, n, similarity)
     settled = parted.groupBy("doc_id").agg(F.max("n").alias("n"), F.bool_or("main").alias("main"))
+    settled = written(settled, "settled")
     buckets = written(bucket_members(dealt, settled), "buckets")
     blocks = _blocks(F.count("*"), F.sum("n"), block_docs, block_shingles).alias("blocks")
-    buckets = written(buckets.join(buckets.groupBy("cluster").agg(blocks), "cluster"), "buckets")
+    buckets = written(buckets.join(_few(buckets.groupBy("cluster").agg(blocks)), "cluster"), "buckets")
     own = written(large.select("doc_id", "text").join(_few(buckets), "doc_id"), "own")
     near = own.where("blocks <= 2").select("doc_id", "text", "cluster", "main").groupBy("cluster").applyInArrow(verify_cell(verify), schema)
-    links = links.union(to_pivot).union(near)
+    links = links.union(_links_of(parted)).union(near)
     larger = own.where("blocks > 2").select("doc_id", "text", "n", "cluster")
     return links if larger.isEmpty() else links.union(_in_cells(larger, n, similarity, block_docs, block_shingles))
 
@@ -311,14 +343,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, *
     classes = written(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "classes")
     dealt = classes.select("rep", F.explode("buckets").alias("bucket"))
     hubs = dealt.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("docs")).where("docs > 1").select("bucket", "hub")
-    ties = dealt.join(hubs, "bucket").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    shared = written(dealt.join(hubs, "bucket").select("rep", "bucket", "hub"), "shared")
+    ties = shared.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = connected_components(ties)
     members = written(classes.join(clusters, classes.rep == clusters.node).groupBy("rep", "component").agg(F.max("n").alias("n")).select(F.col("rep").alias("doc_id"), "n", F.col("component").alias("cluster")), "members")
     tied = written(known.join(classes, ["f1", "f2", "n"]).select("doc_id", "rep").distinct(), "tied")
     # rows of one doc_id are one node: what represents their sets is linked, too
     first = tied.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("doc_id", "b")
     same = tied.join(first, "doc_id").select(F.col("rep").alias("a"), "b")
-    linked = connected_components(verified_links(docs.where("doc_id is not null"), members, dealt, n, similarity, **blocks).union(same))
+    linked = connected_components(verified_links(docs.where("doc_id is not null"), members, shared.select("rep", "bucket"), n, similarity, **blocks).union(same))
     own = tied.join(linked, tied.rep == linked.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     own = own.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = scanned.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left")
