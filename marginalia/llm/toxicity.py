@@ -7,14 +7,18 @@ features k(x, L) K(L, L)^(-1/2), on which a linear support vector machine is tra
 triples of x, the trained machine folds into one table of 27 ** 3 weights, and a string is scored by looking
 up its triples.
 
-Strings are the words of a text; runs of single characters between blanks are joined to one word, and words beyond
-MAX_WORD characters are seen in overlapping windows. A text scores by its worst word, through a logistic
-curve fitted on texts.
+A text is a list of sentences. The strings of a sentence are its words, runs of single characters between blanks joined
+to one word, and windows of two neighbouring words of at most WINDOW_PART characters, joined, neither of which is
+common in harmless texts: an insult of two words, or one that a blank cuts, so is one string. Words beyond MAX_WORD characters are seen in
+overlapping pieces. A text scores by its TOP worst distinct words and its worst window, through a logistic curve fitted on texts. Letters are a to z and
+the EXTRA other ones that harmless texts use most; a string begins and ends with a sign of its own.
 
 Training is on labelled sentences, which take the label of their text: as most sentences of a toxic text are
 harmless, each round keeps as positive only the strings that mark toxic texts, first by document frequencies, then
-by the machine itself. It uses a bounded sample of labelled texts (`TOXIC_TEXTS`, `CLEAN_TEXTS`, smallest hashes of
-doc_id first), read by a broadcast of their ids. Scoring is one scan without a shuffle.
+the worst strings of the worst sentences by the machine itself, and takes harmless strings that come close to them as
+further negatives. Positive strings are also learnt in disguise: with a letter, digit or mark put in, or marks between all letters.
+Every size of the training sets is a parameter (`Sizes`), among labelled texts with the smallest hashes of doc_id. Only the
+strings of the sample come to the driver, at most Sizes.strings for a text. Scoring is one scan without a shuffle.
 
 Defined cases: null and empty texts score as harmless; repeated rows each give a row; without labelled rows of
 both classes every text scores 0; empty tables give empty results; other columns are not read.
@@ -23,8 +27,12 @@ both classes every text scores 0; empty tables give empty results; other columns
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
+import zlib
 from collections import Counter
+from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -32,52 +40,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import give_back, id_text, record_batch, table, text_blocks
+from marginalia.llm.common import give_back, id_text, record_batch, table, text_blocks, written
 
-TOXIC_TEXTS, CLEAN_TEXTS = 1_200, 2_500
-LANDMARKS = 128
 DECAY = 0.6
-MAX_WORD = 24
+MAX_WORD, WINDOW_PART, TOP = 24, 7, 3
 THRESHOLD = 0.7
-ROUNDS = 3
+#: Words whose margins a Python worker remembers.
+CACHE = 250_000
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bounds of what is learnt from. All concern labelled texts only."""
+
+    toxic_texts: int = 1_200
+    clean_texts: int = 2_500
+    #: Distinct strings of a sentence, summed over sentences, that are taken from one text; sentences of the smallest hashes first.
+    strings: int = 20_000
+    landmarks: int = 384
+    rounds: int = 3
+    #: Positive strings, and of these the ones that are learnt in disguise, too.
+    positive: int = 2_000
+    masked: int = 600
+    #: Negative strings: the most frequent, drawn ones, and the closest ones of so many drawn each round.
+    common: int = 3_000
+    drawn: int = 6_000
+    #: Words common in harmless texts.
+    frequent: int = 20_000
+    hard: int = 5_000
+    hard_of: int = 200_000
+
+
+#: What a toxic text without all but its worst word counts when the curve is fitted.
+ALONE = 0.3
+#: What an error of the machine costs against the length of its weights.
+COST = 4.0
+#: Share of harmless texts from which on a word is common.
+COMMON = 0.005
 #: What a disguised form of a word counts in training, against the word itself.
-MASKED = 0.1
-#: Kernel with a common harmless word from which on a word of fewer than OFTEN toxic texts is taken for one, at first.
-ALIKE, OFTEN = 0.55, 12
+MASKED = 0.3
 
 _SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
-_LETTERS = 27
+_SENTENCE = re.compile(r"[.!?]\s|\n")
+_MARKS = string.punctuation
+#: A string begins and ends with a sign that counts as a letter, so that a whole word differs from a part of one.
+BOUNDED = True
+#: Letters that count beside a to z: the most frequent ones of the labelled harmless texts. All others lose their accents.
+EXTRA = 9
+_LETTERS = 28 + EXTRA
+_OWN = 0xE000
 _CODES = np.arange(_LETTERS**3)
 #: Codes of triples with something that isn't a letter.
 NONE = (_CODES < _LETTERS**2) | (_CODES // _LETTERS % _LETTERS == 0) | (_CODES % _LETTERS == 0)
 
 
-def strings(text: str) -> set[str]:
-    """The distinct strings of a text."""
-    low = text.lower()
-    out = set(low.replace(", ", " ").replace(". ", " ").replace(".\n", "\n").split())
-    if long := [w for w in out if len(w) > MAX_WORD]:
-        out.difference_update(long)
-        for w in long:
-            out.update(w[i : i + MAX_WORD] for i in range(0, len(w) - MAX_WORD // 2, MAX_WORD // 2))
-    for m in _SPACED.finditer(low):
-        out |= strings("".join(m[0].split()))
+def sentences(text: str, common=frozenset()) -> list[tuple[set[str], set[str]]]:
+    """Of each sentence of a text the distinct words and the windows of two."""
+    out = []
+    for line in _SENTENCE.split(text.lower()):
+        words = line.split()
+        if not words:
+            continue
+        own = {w.strip(_MARKS) for w in words}
+        own.discard("")
+        if len(words) > 2 and min(map(len, words)) == 1:
+            for m in _SPACED.finditer(line):
+                own.add("".join(m[0].split()))
+        rare = [w if len(w) <= WINDOW_PART and w not in common else "" for w in words]
+        pairs = {a + b for a, b in zip(rare, rare[1:]) if a and b}
+        if long := [w for w in own if len(w) > MAX_WORD]:
+            own.difference_update(long)
+            for w in long:
+                own.update(w[i : i + MAX_WORD] for i in range(0, len(w) - MAX_WORD // 2, MAX_WORD // 2))
+        out.append((own, pairs))
     return out
 
 
-def letters(words: list[str]) -> np.ndarray:
-    """Words as rows of letter numbers: a to z without accents are 1 to 26, all else 0."""
-    out = np.zeros((len(words), max(map(len, words), default=0)), np.int64)
+def letters(words: list[str], extra: str = "", bounded: bool = False) -> np.ndarray:
+    """Words as rows of letter numbers: a to z are 1 to 26, those of `extra` follow, other letters lose their accents, all else is 0.
+
+    bounded: with the last number before and after each word."""
+    edge = int(bounded)
+    out = np.zeros((len(words), max(map(len, words), default=0) + 2 * edge), np.int64)
+    own = {ord(c): chr(_OWN + i) for i, c in enumerate(extra[:EXTRA])}
     for i, w in enumerate(words):
-        if not w.isascii():
-            w = "".join((unicodedata.normalize("NFKD", c)[:1] if c > "\x7f" else c) for c in w)
-        codes = np.frombuffer(w.encode("latin-1", "replace"), np.uint8).astype(np.int64) - 96
-        out[i, : len(codes)] = np.where((codes >= 1) & (codes <= 26), codes, 0)
+        if w.isascii():
+            codes = np.frombuffer(w.encode(), np.uint8).astype(np.int64)
+        else:
+            w = "".join((unicodedata.normalize("NFKD", c)[:1] if c > "\x7f" else c) for c in w.translate(own))
+            codes = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            codes[codes >= _OWN] = np.where(codes[codes >= _OWN] < _OWN + EXTRA, codes[codes >= _OWN] - _OWN + 123, 0)
+        codes -= 96
+        out[i, edge : len(codes) + edge] = np.where((codes >= 1) & (codes < (27 if w.isascii() else _LETTERS - 1)), codes, 0)
+        if bounded:
+            out[i, 0] = out[i, len(codes) + 1] = _LETTERS - 1
     return out
 
 
-def by_length(words: list[str], most: int = 20_000):
+def by_length(words: list[str], most: int = 20_000, extra: str = "", bounded: bool = False):
     """(positions, letters) of words of about one length, in parts."""
     order = np.argsort([len(w) for w in words], kind="stable")
     at = 0
@@ -87,7 +147,7 @@ def by_length(words: list[str], most: int = 20_000):
         if longest > 2 * max(1, len(words[order[at]])):
             end = at + max(1, int(np.searchsorted([len(words[i]) for i in order[at:end]], 2 * max(1, len(words[order[at]])), "right")))
         part = order[at:end]
-        yield part, letters([words[i] for i in part])
+        yield part, letters([words[i] for i in part], extra, bounded)
         at = end
 
 
@@ -102,15 +162,28 @@ def triples(rows: np.ndarray):
             yield DECAY ** (d1 + d2 + 1), (a * _LETTERS + b) * _LETTERS + c
 
 
-def embed(words: list[str]) -> np.ndarray:
-    """The weighted triples of each word as a dense row, of length 1; for landmarks."""
-    out = np.zeros((len(words), _LETTERS**3), np.float32)
-    for part, rows in by_length(words):
+def compact(words: list[str], extra: str = "", bounded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(column of each triple, 0 for those that no word has; the weighted triples of each word as a row of length 1)."""
+    own, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for part, rows in by_length(words, extra=extra, bounded=bounded):
         for weight, code in triples(rows):
-            for column in code.T:
-                np.add.at(out, (part, column), weight)
-    out[:, NONE] = 0
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+            keys = (part[:, None] * _LETTERS**3 + code).ravel()
+            keys = keys[~NONE[code.ravel()]]
+            own.append(keys)
+            weights.append(np.full(len(keys), weight))
+    used, at = np.unique(np.concatenate(own), return_inverse=True)
+    codes, column = np.unique(used % _LETTERS**3, return_inverse=True)
+    phi = np.zeros((len(words), len(codes) + 1), np.float32)
+    phi[used // _LETTERS**3, column + 1] = np.bincount(at, np.concatenate(weights), minlength=len(used))
+    place = np.zeros(_LETTERS**3, np.int32)
+    place[codes] = np.arange(1, len(codes) + 1)
+    return place, phi / np.maximum(np.linalg.norm(phi, axis=1, keepdims=True), 1e-9)
+
+
+def embed(words: list[str], extra: str = "", bounded: bool = False) -> np.ndarray:
+    """The weighted triples of each word as a dense row, of length 1."""
+    place, phi = compact(words, extra, bounded)
+    return phi[:, place]
 
 
 def self_kernel(rows: np.ndarray) -> np.ndarray:
@@ -131,47 +204,56 @@ def self_kernel(rows: np.ndarray) -> np.ndarray:
     return np.zeros(n, np.float32)
 
 
-def against(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Normalised kernels of words with the columns of `weights` (a row for each triple); by looking triples up."""
+def against(words: list[str], weights: np.ndarray, extra: str = "", bounded: bool = False, place: np.ndarray | None = None) -> np.ndarray:
+    """Normalised kernels of words with the columns of `weights` (a row for each triple, or for each place of one); by looking
+    triples up."""
     out = np.zeros((len(words), weights.shape[1]), np.float32)
-    for part, rows in by_length(words, 20_000 if weights.shape[1] == 1 else 500):
+    for part, rows in by_length(words, 20_000 if weights.shape[1] == 1 else 500, extra, bounded):
         if rows.shape[1] < 3:
             continue
         total = np.zeros((len(part), weights.shape[1]), np.float32)
         for weight, code in triples(rows):
+            code = code if place is None else place[code]
             total += weight * (weights[:, 0][code].sum(1)[:, None] if weights.shape[1] == 1 else weights[code].sum(1))
         own = np.concatenate([self_kernel(x) for x in np.array_split(rows, len(rows) // 2_000 + 1)])
         out[part] = total / np.sqrt(np.maximum(own, 1e-9))[:, None]
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost=1.0, steps: int = 40) -> np.ndarray:
-    """A linear machine under squared hinge loss, classes weighed alike, by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+def fit_svm(x: np.ndarray, y: np.ndarray, cost=1.0, wanted=1.0, steps: int = 40) -> np.ndarray:
+    """A linear machine under squared hinge loss, classes weighed alike, by Newton steps; the last weight is the bias.
+
+    wanted: the margin from which on a row costs nothing."""
+    wanted = np.broadcast_to(wanted, len(y))
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     before = None
     for _ in range(steps):
-        inside = y * (x @ w) < 1
+        inside = y * (x @ w) < wanted
         if before is not None and (inside == before).all():
             break
         before = inside
-        xa, wa = x[inside], weight[inside]
-        w = np.linalg.solve(ridge + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ y[inside])
+        xa, wa = x[inside].astype(np.float64), weight[inside]
+        w = np.linalg.solve(ridge + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ (y * wanted)[inside])
     return w
 
 
-def fit_curve(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve of margins, lightly held back."""
-    x = np.column_stack([margin, np.ones(len(margin))])
-    w = np.zeros(2)
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights and, last, the offset of a logistic curve, lightly held back; no weight is under 0."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, used = np.zeros(x.shape[1]), np.ones(x.shape[1], bool)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (weight * (y - p)) - 1e-2 * w)
-        w += np.clip(step, -5, 5)
-    return float(w[0]), float(w[1])
+        own = x[:, used]
+        p = 1 / (1 + np.exp(-np.clip(own @ w[used], -30, 30)))
+        step = np.linalg.solve((own * (weight * p * (1 - p) + 1e-9)[:, None]).T @ own + 1e-2 * np.eye(own.shape[1]), own.T @ (weight * (y - p)) - 1e-2 * w[used])
+        w[used] += np.clip(step, -5, 5)
+        below = used & (w < 0)
+        below[-1] = False
+        w[below], used = 0, used & ~below
+    return w
 
 
 def spread(phi: np.ndarray, most: int) -> np.ndarray:
@@ -184,122 +266,216 @@ def spread(phi: np.ndarray, most: int) -> np.ndarray:
 
 
 def disguised(word: str, rng) -> list[str]:
-    """The word with a mark put in, and with marks between all letters.
+    """The word with a letter, and with a mark or digit put in, and with marks between all letters."""
+    at, also = rng.integers(1, len(word), 2).tolist()
+    letter, mark = chr(97 + int(rng.integers(26))), "*.-_0173"[int(rng.integers(8))]
+    return [word[:at] + letter + word[at:], word[:also] + mark + word[also:], mark.join(word)]
 
-    Letters put in are left to the kernel's gaps: trained on, they made harmless words look like insults.
-    """
-    at = int(rng.integers(1, len(word)))
-    return [word[:at] + "-" + word[at:], ".".join(word)]
 
+def marking(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Strings of toxic texts alone, of each document frequency at which chance explains a fifth of them at most.
 
-def marking(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> set[str]:
-    """Words of toxic texts alone, of each document frequency at which chance explains a fifth of them at most."""
+    toxic, clean: numbers of texts of either label with each string."""
     share = n_toxic / (n_toxic + n_clean)
-    totals = Counter((toxic + clean).values())
-    pure = {w: c for w, c in toxic.items() if clean[w] * n_toxic < 0.05 * c * n_clean}
-    seen = Counter(pure.values())
-    often = {c for c, n in seen.items() if c > 1 and totals[c] * share**c <= 0.2 * n}
-    return {w for w, c in pure.items() if c in often} or {w for w, _ in Counter(pure).most_common(5)}
+    totals = np.bincount(toxic + clean)
+    pure = (toxic > 0) & (clean * n_toxic < 0.05 * toxic * n_clean)
+    seen = np.bincount(toxic[pure], minlength=2)
+    often = np.array([c > 1 and n and totals[c] * share**c <= 0.2 * n for c, n in enumerate(seen)])
+    found = np.flatnonzero(pure & often[np.minimum(toxic, len(often) - 1)])
+    return found if len(found) else np.flatnonzero(pure)[np.argsort(-toxic[pure], kind="stable")][:5]
+
+
+def evidence(margin: np.ndarray) -> np.ndarray:
+    """What the curve weighs, nothing below 0: sums of the first margins, so that the worst word never counts less than the next; the worst window;
+    and by how much the worst word is beyond doubt, which alone can be enough."""
+    beyond = np.maximum(margin[:, :TOP:TOP] - 1, 0) ** 2
+    return np.column_stack([np.cumsum(margin[:, :TOP], axis=1), margin[:, TOP:], beyond])
 
 
 class Model:
-    """The folded machine: a weight for each triple, a bias, and the curve of texts."""
+    """The folded machine: a weight for each triple, a bias, the words common in harmless texts, and the curve of texts."""
 
-    def __init__(self, table=None, bias: float = 0.0, slope: float = 0.0, offset: float = -40.0):
+    def __init__(self, table=None, bias: float = 0.0, common=frozenset(), curve=None, extra: str = ""):
         self.table = np.zeros((_LETTERS**3, 1), np.float32) if table is None else table
-        self.bias, self.slope, self.offset = bias, slope, offset
+        self.bias, self.common, self.extra = bias, common, extra
+        self.curve = np.array([0.0] * (TOP + 2) + [-40.0]) if curve is None else curve
+        self.known: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        return against(words, self.table)[:, 0] + self.bias
+    def __reduce__(self):
+        return Model, (self.table, self.bias, self.common, self.curve, self.extra)
 
-    def text_margins(self, sets: list[set[str]]) -> np.ndarray:
-        """Of each text's strings the highest margin; of none, that of a string that shares nothing."""
-        numbers: dict[str, int] = {}
-        for own in sets:
-            for w in own:
-                numbers.setdefault(w, len(numbers))
-        margin = np.append(self.margins(list(numbers)), np.float32(self.bias))
-        return np.array([margin[[numbers[w] for w in own] or [-1]].max() for own in sets], np.float64)
+    def margins(self, words: list[str]) -> np.ndarray:
+        return against(words, self.table, self.extra, BOUNDED)[:, 0] + self.bias
+
+    def text_margins(self, texts: list[list[tuple[set[str], set[str]]]]) -> np.ndarray:
+        """The margins of the TOP worst words of each text and of its worst window; what isn't there shares nothing."""
+        every = set().union(*(own for text in texts for both in text for own in both))
+        if len(self.known) + len(every) > CACHE:  # the older half goes
+            self.known, self.older = {}, self.known
+        new = every.difference(self.known)
+        self.known.update((w, self.older[w]) for w in new & self.older.keys())
+        new = sorted(new.difference(self.known))
+        self.known.update(zip(new, self.margins(new).tolist()))
+        get, out = self.known.__getitem__, np.full((len(texts), TOP + 1), self.bias)
+        for row, text in enumerate(texts):
+            worst = nlargest(TOP, map(get, set().union(*(own for own, _ in text))))
+            out[row, : len(worst)] = worst
+            out[row, TOP] = max((get(w) for _, pairs in text for w in pairs), default=self.bias)
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        z = self.slope * self.text_margins([strings(t) for t in texts]) + self.offset
+        z = evidence(self.text_margins([sentences(t, self.common) for t in texts])) @ self.curve[:-1] + self.curve[-1]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[tuple[str, int]], clean_weight: float = 1.0, seed: int = 7) -> Model:
+def machine(good: dict[str, int], negative: dict[str, int], hard: list[str], extra: str, rng, sizes: Sizes) -> Model:
+    """Landmarks of both kinds, the machine on their features, and the table that both fold into.
+
+    good, negative: strings and the number of texts that they mark or stand in, by whose root they count."""
+    words, others, half = list(good), list(negative), sizes.landmarks // 2
+    drawn = rng.permutation(others)[: half // 2].tolist()
+    picked = [words[i] for i in spread(compact(words[:500], extra, BOUNDED)[1], half)]
+    close = [hard[i] for i in spread(compact(hard[:500], extra, BOUNDED)[1], half - half // 2)] if hard else others[: half - half // 2]
+    place, phi = compact(list(dict.fromkeys([*picked, *close, *drawn])), extra, BOUNDED)
+    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
+    root = (vectors @ np.diag(np.where(values > 1e-6, values, np.inf) ** -0.5) @ vectors.T).astype(np.float32)
+    shown = [w for w in words[: sizes.masked] if len(w) > 3]
+    masked = [x for w in shown for x in disguised(w, rng)]
+    label = np.array([1.0] * (len(words) + len(masked)) + [-1.0] * len(others))
+    cost = np.concatenate((np.sqrt([*good.values()]), MASKED * np.repeat(np.sqrt([good[w] for w in shown]), 3), np.sqrt([*negative.values()])))
+    features = against(words + masked + others, np.ascontiguousarray(phi.T), extra, BOUNDED, place) @ root
+    # the more texts a string marks, the surer it is
+    wanted = np.ones(len(label))
+    wanted[: len(words)] += np.log10([*good.values()])
+    w = fit_svm(features, label, COST * cost, wanted)
+    return Model((phi.T @ (root @ w[:-1]))[place][:, None].astype(np.float32), float(w[-1]), extra=extra)
+
+
+def fit(rows: list[tuple[str, int]], clean_weight: float = 1.0, seed: int = 7, sizes: Sizes = Sizes()) -> Model:
     """rows: (text, 0 or 1)."""
+    seen = Counter(w for text, label in rows if not label for w in set(text.lower().split()))
+    common = frequent(seen.items(), sum(1 - label for _, label in rows))
+    return fit_strings([(sentences(text, common), label) for text, label in rows], common, clean_weight, seed, sizes)
+
+
+def frequent(counts, n_clean: int) -> frozenset[str]:
+    """Of (word, number of harmless texts with it) those in COMMON of the texts or more, two texts at least."""
+    return frozenset(w for w, n in counts if n >= max(2, COMMON * n_clean) and len(w) <= WINDOW_PART)
+
+
+def fit_strings(rows: list[tuple[list[tuple[set[str], set[str]]], int]], common: frozenset[str], clean_weight: float = 1.0, seed: int = 7, sizes: Sizes = Sizes()) -> Model:
+    """rows: (words and windows of each sentence, 0 or 1)."""
     y = np.array([label for _, label in rows])
     if len(set(y.tolist())) < 2:
         return Model()
     rng = np.random.default_rng(seed)
-    once: dict[str, str] = {}  # each word is held once
-    sets = []
-    for text, _ in rows:
-        own = set().union(*(strings(s) for s in _SENTENCE.split(text) if s))
-        sets.append(set(map(once.setdefault, own, own)))
-    del once
-    toxic, clean = Counter(), Counter()
-    for own, label in zip(sets, y):
-        (toxic if label else clean).update(w for w in own if 3 <= len(w))
+    numbers: dict[str, int] = {}
+    texts = [[np.array([numbers.setdefault(w, len(numbers)) for own in both for w in sorted(own)], np.int32) for both in text] for text, _ in rows]
+    words = np.array(list(numbers), object)
+    toxic, clean = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    for text, label in zip(texts, y):
+        if text:
+            (toxic if label else clean)[np.unique(np.concatenate(text))] += 1
     n_toxic, n_clean = int(y.sum()), int((1 - y).sum())
-    common = [w for w, _ in clean.most_common(3_000)]
-    marks = sorted(marking(toxic, clean, n_toxic, n_clean), key=lambda w: (-toxic[w], w))[:800]
-    # rare words that look like common harmless ones mark texts by chance
-    like = against(common, embed(marks).T).max(0, initial=0)
-    marks = {w for w, x in zip(marks, like) if x < ALIKE or toxic[w] >= OFTEN}
-    positive = {w: toxic[w] for w in marks}  # with the number of texts that they mark
-    rare = rng.permutation(sorted(clean))[:6_000].tolist()
-    negative = list(dict.fromkeys(common + rare))
-    model = Model()
-    for round_ in range(ROUNDS):
-        good = sorted(positive, key=lambda w: (-positive[w], w))[:2_000]
-        positive_phi = embed(good[:200])
-        picked = [good[i] for i in spread(positive_phi, LANDMARKS // 2)]
-        del positive_phi
-        phi = embed(list(dict.fromkeys([*picked, *rng.permutation(negative)[: LANDMARKS // 2].tolist()])))
-        values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
-        root = vectors @ np.diag(np.where(values > 1e-6, values, np.inf) ** -0.5) @ vectors.T
-        masked = [x for w in good[:600] if len(w) > 3 for x in disguised(w, rng)]
-        words = good + masked + negative
-        label = np.array([1.0] * (len(good) + len(masked)) + [-1.0] * len(negative))
-        cost = np.concatenate((np.ones(len(good)), np.full(len(masked), MASKED), np.ones(len(negative))))
-        w = fit_svm(against(words, phi.T) @ root, label, cost)
-        model = Model((phi.T @ (root @ w[:-1]))[:, None].astype(np.float32), float(w[-1]))
-        if round_ + 1 < ROUNDS:
-            seen = sorted({w for own, label in zip(sets, y) if label for w in own})
-            margin = dict(zip(seen, model.margins(seen).tolist()))
-            # in each toxic text the string that the machine finds worst
-            worst = Counter(max(own, key=lambda w: (margin[w], w)) for own, label in zip(sets, y) if label and own)
-            picked = {w: n for w, n in worst.items() if margin[w] > 0 and clean[w] * n_toxic <= 0.1 * toxic[w] * n_clean}
-            positive = picked or positive
-            hard = sorted(clean)
-            hard = [w for w, m in zip(hard, model.margins(hard)) if m > -0.5 and w not in positive][:4_000]
-            negative = list(dict.fromkeys(negative[:7_000] + hard))
-    margin = model.text_margins(sets)
-    model.slope, model.offset = fit_curve(margin, y, np.where(y == 1, 1.0, clean_weight))
-    if model.slope <= 0:
-        return Model()
-    return model
+    letters_ = np.array([len(w) for w in words])
+    positive = {int(i): int(toxic[i]) for i in marking(np.where(letters_ > 2, toxic, 0), clean, n_toxic, n_clean)}  # with the number of texts that they mark
+    harmless = np.flatnonzero(clean)
+    often = harmless[np.argsort(-clean[harmless], kind="stable")][: sizes.common]
+    negative = list(dict.fromkeys([*often.tolist(), *rng.permutation(harmless)[: sizes.drawn].tolist()]))
+    kept = len(negative)
+    used = Counter()
+    for i in often.tolist():
+        used.update(dict.fromkeys((c for c in words[i] if c > "\x7f" and c.isalpha()), int(clean[i])))
+    extra = "".join(sorted(c for c, _ in sorted(used.items(), key=lambda x: (-x[1], x[0]))[:EXTRA]))
+    model, hard = Model(), []
+    for round_ in range(sizes.rounds):
+        good = sorted(positive, key=lambda i: (-positive[i], words[i]))[: sizes.positive]
+        harmful = {words[i]: max(1, positive[i]) for i in good}
+        model = machine(harmful, {words[i]: max(1, int(clean[i])) for i in negative if i not in positive}, words[hard].tolist(), extra, rng, sizes)
+        if round_ + 1 == sizes.rounds:
+            break
+        # of each toxic text the worst strings of its worst sentences
+        seen = np.unique(np.concatenate([x for text, label in zip(texts, y) if label for x in text] or [[]])).astype(np.int64)
+        margin = np.full(len(words), -np.inf)
+        margin[seen] = model.margins(words[seen].tolist())
+        worst = Counter()
+        for text, label in zip(texts, y):
+            if label:
+                each = sorted(((margin[own].max(), int(own[margin[own].argmax()])) for own in text if len(own)), reverse=True)
+                worst.update({i for m, i in each[:TOP] if m > 0 and clean[i] * n_toxic <= 0.05 * toxic[i] * n_clean})
+        # one that marks one text alone is taken only where nothing else marks that text, which chance makes rare
+        positive = {i: n for i, n in worst.items() if toxic[i] > 1 or margin[i] > 0.5} or positive
+        near = rng.permutation(harmless)[: sizes.hard_of]
+        margins = model.margins(words[near].tolist())
+        order = np.argsort(-margins, kind="stable")[: sizes.hard]
+        hard = [int(i) for i, m in zip(near[order], margins[order]) if m > -0.7 and int(i) not in positive]
+        negative = list(dict.fromkeys(negative[:kept] + hard))
+    model.common = common
+    margin = np.concatenate([model.text_margins([text for text, _ in rows[i : i + 500]]) for i in range(0, len(rows), 500)])
+    model.known, model.older = {}, {}
+    # a text labelled toxic in which the machine finds no string says nothing about those in which it does
+    weight = np.where(y == 1, margin[:, 0] > 0, clean_weight).astype(np.float64)
+    # one whose worst word is beyond those of harmless texts would be toxic with that word alone
+    sure = (y == 1) & (margin[:, 0] > np.quantile(margin[y == 0, 0], 0.999))
+    alone = np.full_like(margin[sure], model.bias)
+    alone[:, 0] = margin[sure, 0]
+    seen = np.concatenate((margin, alone))
+    model.curve = curve = fit_curve(evidence(seen), np.concatenate((y, np.ones(len(alone)))), np.concatenate((weight, ALONE * weight[sure])))
+    return model if curve[:-1].max() > 0 else Model()
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, clean_texts: int = CLEAN_TEXTS) -> Model:
+def _strings(most: int, common):
+    """(doc_id, text) -> words and windows of its sentences, `most` at most: whole sentences, of the smallest hashes first."""
+
+    def run(batches):
+        for part, texts in text_blocks(batches, 4 << 20):
+            found = []
+            for text in texts:
+                own, left = [{"words": sorted(w), "windows": sorted(p)} for w, p in sentences(text, common.value)], most
+                if sum(len(x["words"]) + len(x["windows"]) for x in own) > most:
+                    own.sort(key=lambda x: zlib.crc32("\n".join(x["words"]).encode("utf-8", "surrogatepass")))
+                kept = []
+                for x in own:
+                    left -= len(x["words"]) + len(x["windows"])
+                    if left < 0:
+                        break
+                    kept.append(x)
+                found.append(kept)
+            yield record_batch({"doc_id": part.column(0), "sentences": pa.array(found, pa.list_(pa.struct([("words", pa.list_(pa.string())), ("windows", pa.list_(pa.string()))])))})
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, sizes: Sizes = Sizes()) -> Model:
     """A model from a bounded sample of labelled texts whose crc32(doc_id) mod 3 is not 1."""
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = (F.xxhash64("doc_id"), "doc_id")
-    sample = known.where("toxic = 1").orderBy(*order).limit(toxic_texts).unionAll(known.where("toxic = 0").orderBy(*order).limit(clean_texts))
+    sample = known.where("toxic = 1").orderBy(*order).limit(sizes.toxic_texts).unionAll(known.where("toxic = 0").orderBy(*order).limit(sizes.clean_texts))
     sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = id_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()  # under toxic_texts + clean_texts
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows)
+    spark = docs.sparkSession
+    texts = written(id_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "sample")  # at most toxic_texts + clean_texts ids
+    clean = texts.where("toxic = 0")
+    seen = clean.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).groupBy("w").count().where(F.length("w") <= WINDOW_PART)
+    n_clean = clean.count()
+    seen = seen.where(F.col("count") >= max(2, COMMON * n_clean)).orderBy(F.desc("count"), "w").limit(sizes.frequent)
+    common = frequent(seen.collect(), n_clean)
+    schema = "doc_id long, sentences array<struct<words:array<string>,windows:array<string>>>"
+    strings = texts.select("doc_id", "text").mapInArrow(_strings(sizes.strings, spark.sparkContext.broadcast(common)), schema)
+    once: dict[str, str] = {}  # each string is held once
+    rows = []
+    for r in strings.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "sentences").toLocalIterator():
+        rows.append((r.doc_id, [tuple({once.setdefault(w, w) for w in x} for x in both) for both in r.sentences], r.toxic))
+    del once
+    rows.sort(key=lambda r: (r[0], r[2], len(r[1])))
     taken = Counter(r[2] for r in rows)
     share = lambda k: taken[k] / max(1, counts.get(k, 0))
-    texts = [(text, label) for _, text, label in rows]
-    del rows
-    return fit(texts, clean_weight=min(10.0, share(1) / max(share(0), 1e-9)))
+    return fit_strings([(strings, label) for _, strings, label in rows], common, min(10.0, share(1) / max(share(0), 1e-9)), sizes=sizes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

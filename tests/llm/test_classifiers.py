@@ -1,4 +1,5 @@
 import itertools
+import pickle
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from marginalia.llm import quality_model as M
 from marginalia.llm import toxicity as X
 
-SMALL = "/root/testdata/sf0.01"
+SMALL, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def kernel(a, b):
@@ -43,6 +44,66 @@ def test_gaps_and_disguises_score_higher():
     assert score[:3].min() > 0.7 and score[3:].max() < 0.3
 
 
+def worded(rng, plain, n, also=()):
+    words = rng.choices(plain, k=n)
+    for w in also:
+        words.insert(rng.randrange(1, len(words)), w)
+    return " ".join(words)
+
+
+def test_inserted_letters_split_words_and_two_words():
+    rng = random.Random(4)
+    parts = ["the", "an", "er", "on", "ti", "re", "se", "ha", "lo", "ing", "ed", "st"]
+    plain = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(900)]
+    insults = ["wretchup", "moronic", "gribble", "scumbag", "dumzog", "twitfop"]
+    two = ["vile crumb", "foul zelk"]  # none of their words, rare in harmless texts, is one alone
+    rows = [(worded(rng, plain, 60, rng.sample(insults, rng.randint(2, 4))), 1) for _ in range(120)]
+    rows += [(worded(rng, plain, 60, [rng.choice(two)] * 2), 1) for _ in range(60)]
+    alone = [[w] for t in two for w in t.split()] * 3
+    rows += [(worded(rng, plain, 60, also), 0) for also in alone + [[]] * 700]
+    model = X.fit(rows)
+    fresh = [worded(rng, plain, 60, also) for also in alone + [[]] * 200]
+    assert (model.scores(fresh) >= X.THRESHOLD).mean() <= 0.01
+    put = lambda w, c, k: w[:k] + c + w[k:]
+    forms = {
+        "letter": lambda w: put(w, rng.choice("abcdefghijklmnopqrstuvwxyz"), rng.randrange(1, len(w))), "mark": lambda w: put(w, rng.choice("*.7-"), rng.randrange(1, len(w))),
+        "blank": lambda w: put(w, " ", rng.randrange(2, len(w) - 1)), "dots": lambda w: ".".join(w), "apart": lambda w: " ".join(w), "plain": lambda w: w,
+    }
+    for name, form in forms.items():
+        texts = [worded(rng, plain, 60, [form(w) for w in rng.sample(insults, 2)]) for _ in range(100)]
+        assert (model.scores(texts) >= X.THRESHOLD).mean() >= 0.9, name
+    texts = [worded(rng, plain, 60, [rng.choice(two)] * 2) for _ in range(100)]
+    assert (model.scores(texts) >= X.THRESHOLD).mean() >= 0.9
+    copied = pickle.loads(pickle.dumps(model))
+    assert np.array_equal(copied.scores(fresh[:9]), model.scores(fresh[:9]))
+
+
+def test_bounds_of_the_sample(spark):
+    text = ". ".join(f"word{i} other{i}" for i in range(500))
+    docs = spark.createDataFrame([(1, text), (2, "short one"), (3, None)], "doc_id long, text string")
+    found = {}
+    for batch in X._strings(100, spark.sparkContext.broadcast(frozenset()))(iter(docs.toArrow().to_batches())):
+        found |= dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    assert 90 <= sum(len(x["words"]) + len(x["windows"]) for x in found[1]) <= 100
+    assert found[2] == [{"words": ["one", "short"], "windows": ["shortone"]}] and found[3] == []
+
+
+def rank_share(scores, label):
+    """The share of pairs of both labels in which the score of label 1 is the higher one."""
+    order = np.argsort(np.argsort(scores))
+    n = int(label.sum())
+    return (order[label == 1].sum() - n * (n - 1) / 2) / (n * (len(label) - n))
+
+
+@pytest.mark.parametrize("query, label, recall, wrong, area", [(X.op2_toxicity, "toxic", 0.85, 0.01, 0.9), (M.op7_quality_classifier, "quality", 0.97, 0.12, 0.97)])
+def test_held_out_recall_and_false_alarms(spark, query, label, recall, wrong, area):
+    # of the toxic texts held out there, 10 of 144 hold none of the words that mark the others
+    rows = query(spark, LARGE).join(spark.read.parquet(f"{LARGE}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", label).toPandas()
+    y = rows[label].to_numpy()
+    assert rows["predicted"][y == 1].mean() >= recall and rows["predicted"][y == 0].mean() <= wrong
+    assert rank_share(rows["score"].to_numpy(), y) >= area
+
+
 def test_without_labels_of_both_classes():
     assert X.fit([("some text", 0)]).scores(["any", ""]).max() < 1e-6
     assert (M.Network(4).probability(np.zeros((3, 4))) == 0.5).all()
