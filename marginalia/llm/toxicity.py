@@ -241,18 +241,19 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost=1.0, wanted=1.0, steps: int = 40)
     return w
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 100) -> np.ndarray:
     """Weights and, last, the offset of a logistic curve, lightly held back; no weight is under 0."""
     x = np.column_stack([x, np.ones(len(x))])
-    w, used = np.zeros(x.shape[1]), np.ones(x.shape[1], bool)
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (y - p)) - 1e-2 * w
+        used = (w > 0) | (slope > 0)
+        used[-1] = True
         own = x[:, used]
-        p = 1 / (1 + np.exp(-np.clip(own @ w[used], -30, 30)))
-        step = np.linalg.solve((own * (weight * p * (1 - p) + 1e-9)[:, None]).T @ own + 1e-2 * np.eye(own.shape[1]), own.T @ (weight * (y - p)) - 1e-2 * w[used])
-        w[used] += np.clip(step, -5, 5)
-        below = used & (w < 0)
-        below[-1] = False
-        w[below], used = 0, used & ~below
+        step = np.linalg.solve((own * (weight * p * (1 - p) + 1e-9)[:, None]).T @ own + 1e-2 * np.eye(own.shape[1]), slope[used])
+        w[used] += np.clip(step, -1, 1)
+        w[:-1] = np.maximum(w[:-1], 0)
     return w
 
 
@@ -402,8 +403,9 @@ def fit_strings(rows: list[tuple[list[tuple[set[str], set[str]]], int]], common:
         worst = Counter()
         for text, label in zip(texts, y):
             if label:
-                each = sorted(((margin[own].max(), int(own[margin[own].argmax()])) for own in text if len(own)), reverse=True)
-                worst.update({i for m, i in each[:TOP] if m > 0 and clean[i] * n_toxic <= 0.05 * toxic[i] * n_clean})
+                for own in sorted((x for x in text if len(x)), key=lambda x: -margin[x].max())[:TOP]:
+                    own = own[np.argsort(-margin[own], kind="stable")][:TOP]
+                    worst.update({int(i) for i in own if margin[i] > 0 and clean[i] * n_toxic <= 0.05 * toxic[i] * n_clean})
         # one that marks one text alone is taken only where nothing else marks that text, which chance makes rare
         positive = {i: n for i, n in worst.items() if toxic[i] > 1 or margin[i] > 0.5} or positive
         near = rng.permutation(harmless)[: sizes.hard_of]
