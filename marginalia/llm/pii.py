@@ -18,7 +18,7 @@ no secret.
 Jobs: one scan finds base spans and contexts and writes both to the shared folder; contexts are aggregated
 to (value, term) pairs with map-side combination; document frequencies are counted for the terms of
 surviving pairs only, by a broadcast set while it is under `MAX_TERMS` (each task adds up its texts), else by a join on
-exploded words. A last scan finds base spans again and marks every occurrence of a disclosing term in every text,
+exploded words, which the same pattern finds, so that the size of the corpus never changes what a term is. A last scan finds base spans again and marks every occurrence of a disclosing term in every text,
 however far from a value and whether or not the text holds one: the terms are broadcast while they are
 under `MAX_TERMS`, else joined to exploded words.
 
@@ -191,6 +191,14 @@ def _words(batches):
                 })
 
 
+def _every_term(batches):
+    """(doc_id, text, text_id) -> each distinct term of a text."""
+    for part, texts in text_blocks(batches, 1 << 20):
+        found = [set(map(str.lower, _TERM.findall(text))) for text in texts]
+        ids = np.repeat(part.column(2).to_numpy(zero_copy_only=False), [len(x) for x in found])
+        yield record_batch({"text_id": pa.array(ids, pa.int64()), "term": pa.array([t for x in found for t in x], pa.string())})
+
+
 def _held_terms(wanted):
     """(doc_id, text, text_id) -> text_id and the numbers of the wanted terms that the text holds."""
 
@@ -234,8 +242,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, max_terms: int = MAX_TER
         counts = counts.groupBy("i").agg(F.sum("n").alias("n"))
         n_term = counts.join(spark.createDataFrame(list(enumerate(names)), "i int, term string"), "i")
     else:
-        words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
-        n_term = docs.select("text_id", F.explode(words).alias("term")).join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n"))
+        words = docs.mapInArrow(_every_term, "text_id long, term string").join(terms, "term", "left_semi")
+        n_term = words.distinct().groupBy("term").agg(F.count("*").alias("n"))
     n_term = n_term.groupBy("term").agg(F.sum("n").alias("n_term"))
     n_value = found.select("text_id", F.explode("owned").alias("value")).groupBy("value").agg(F.count_distinct("text_id").alias("n_value"))
     total = F.lit(float(n_texts))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -81,6 +82,60 @@ def test_terms_of_values_that_stand_once(spark, max_terms):
     assert not any("hello" in m for m in marked.values()) and not any(marked[i] for i in range(11, 81))
 
 
+def disclosing(texts):
+    """term -> removed, by the definition, with every count made anew."""
+    texts = sorted(set(texts))
+    word = re.compile(r"[^\W\d_]{3,}")
+    terms = [{w.lower() for w in word.findall(t)} for t in texts]
+    owned, near = [], []
+    for t in texts:
+        spans = base(t)
+        own = {(e, v) for s, k, x in spans for e, v in enumerate(pii.entities(k, t[s:x]))}
+        owned.append(own)
+        pairs = set()
+        for m in word.finditer(t):
+            if all(m.end() <= s or m.start() >= x for s, _, x in spans):
+                for s, k, x in spans:
+                    if s - pii.REACH <= m.start() and m.end() <= s or x <= m.start() and m.end() <= x + pii.REACH:
+                        pairs |= {(m[0].lower(), e, v) for e, v in enumerate(pii.entities(k, t[s:x]))}
+        near.append(pairs)
+    out = {}
+    for term, e, v in set().union(*near):
+        n_pair = sum((term, e, v) in p for p in near)
+        n_value, n_term = sum((e, v) in o for o in owned), sum(term in x for x in terms)
+        know, tells = math.log2(len(texts) / n_value), math.log2(len(texts) * n_pair / (n_term * n_value))
+        if n_pair >= pii.SUPPORT and (know >= pii.RARE or e == 0 and know > 0) and tells >= pii.GENERALISE * know:
+            out[term] = out.get(term, False) or tells >= pii.REMOVE * know
+    return out
+
+
+@pytest.mark.parametrize("max_terms", [10_000, 0])
+def test_against_the_definition(spark, max_terms):
+    # odd letters: signs that count as letters, letters whose lower case is two, marks that join
+    rng = random.Random(14)
+    words = ["Ⅷabc", "x½yz", "ab½cd", "İstan", "straße", "ſoft", "漢字仮名", "éclair", "e\u0301clair", "KELVIN", "it's", "snake_case", "a1b2ccc", "ﬁne", "ǅungla"]
+    values = ["jo@ex.org", "al@ex.org", "x@rare.net", "10.1.2.3", "10.1.2.9", "+44 20 7946 0958", "+44 20 7946 0111", "4539 1488 0343 6467"]
+    texts = []
+    for i in range(260):
+        own = [rng.choice(words[8:] if rng.random() < 0.97 else words) for _ in range(rng.randint(1, 3))] + [f"pad{chr(97 + i % 26)}{chr(97 + i // 26)}q"]
+        if rng.random() < 0.2:
+            v = rng.randrange(len(values))
+            own += [values[v], words[v]] if rng.random() < 0.8 else [values[v]]
+        rng.shuffle(own)
+        texts.append(" ".join(own))
+    texts += texts[:30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = pii.id_text(df).withColumn("text_id", pii.F.xxhash64("text"))
+    found = docs.mapInArrow(pii._find, pii._FOUND)
+    want = disclosing(texts)
+    assert {r.term: r.removed for r in pii.disclosing_terms(docs, found, max_terms).collect()} == want and len(want) > 3
+    for r in pii.find_personal_data(df, max_terms).collect():
+        t = texts[r.doc_id]
+        spans = base(t)
+        marks = [(m.start(), m.end(), want[m[0].lower()]) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in want and all(m.end() <= s or m.start() >= x for s, _, x in spans)]
+        assert [(m.start, m.end, m.removed) for m in r.marks or ()] == marks
+
+
 @pytest.mark.parametrize("max_terms", [100, 0])
 def test_every_occurrence_of_a_disclosing_term(spark, max_terms):
     # "zorblatt" stands by one address in four texts; once more far from it, once in a text without a value, once without an id
