@@ -3,7 +3,7 @@
 Random indexing: each word has an index vector of DIMENSIONS places, all 0 but NONZERO of +1 or -1 that its hash
 picks. The vector of a word is the sum of the index vectors of the words within REACH of its occurrences, over the
 whole corpus; words share BUCKETS rows by hash, so the table has a fixed size whatever the vocabulary. Each task
-adds up its texts; tables are summed in two levels of groups, so that no group grows with the number of tasks.
+adds up its texts; tables are summed by a tree in which FAN tables meet in a group at most, however many tasks there are.
 A document is the mean and the spread of its words' vectors, its length, and how concentrated it is.
 
 The network (hidden layer of HIDDEN rectified units, logistic output) is trained with numpy on a bounded sample of
@@ -35,7 +35,8 @@ BUCKETS, DIMENSIONS, NONZERO, REACH = 8192, 48, 2, 2
 HIDDEN, SAMPLE, EPOCHS = 32, 12_000, 60
 THRESHOLD = 0.3
 _PARTS = 16
-_SALTS = 64
+#: Tables of one part that are added in a group.
+FAN = 64
 
 _PIECE = re.compile(r"[^\W_]+|[\W_]+")
 
@@ -85,26 +86,26 @@ def _count_contexts(batches):
     total = np.zeros(BUCKETS * DIMENSIONS)
     for _, texts in text_blocks(batches, 4 << 20):
         add_contexts(total, *sequences(texts))
-    salt = TaskContext.get().partitionId() % _SALTS
+    task = TaskContext.get().partitionId()
     parts = total.reshape(_PARTS, -1)
-    yield record_batch({"part": pa.array(range(_PARTS), pa.int32()), "salt": pa.array([salt] * _PARTS, pa.int32()), "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
+    yield record_batch({"part": pa.array(range(_PARTS), pa.int32()), "node": pa.array([task] * _PARTS, pa.int64()), "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
 def _add(rows: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_py(), np.float64) for x in rows["sums"])
-    return pa.table({"part": rows["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": rows["part"][:1], "node": rows["node"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
+def word_vectors(docs: DataFrame, fan: int = FAN) -> np.ndarray:
     """The table of word vectors, centred and of length 1 each: BUCKETS x DIMENSIONS, always that size."""
-    sums = id_text(docs).mapInArrow(_count_contexts, "part int, salt int, sums binary")
-    for keys in (("part", "salt"), ("part",)):
-        sums = sums.groupBy(*keys).applyInArrow(lambda rows: _add(rows), "part int, sums binary")
-        if len(keys) == 2:
-            sums = sums.withColumn("salt", F.lit(0))
+    sums = id_text(docs).mapInArrow(_count_contexts, "part int, node long, sums binary")
+    tasks = max(2, sums.rdd.getNumPartitions())
+    while tasks > 1:
+        sums = sums.withColumn("node", F.floor(F.col("node") / fan).cast("long")).groupBy("part", "node").applyInArrow(_add, "part int, node long, sums binary")
+        tasks = -(-tasks // fan)
     out = np.zeros((_PARTS, BUCKETS * DIMENSIONS // _PARTS))
     for r in sums.select("part", "sums").collect():  # _PARTS rows
-        out[r.part] = np.frombuffer(r.sums, np.float64)
+        out[r.part] += np.frombuffer(r.sums, np.float64)
     out = out.reshape(BUCKETS, DIMENSIONS)
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     used = np.abs(out).sum(1) > 0
