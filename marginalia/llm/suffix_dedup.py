@@ -8,7 +8,7 @@ word in some 18 begins one.
 2. One scan keeps sparse suffixes. Sorted by prefix over the cluster (range partitions, ties broken by doc_id and
    place, so a frequent prefix is spread over tasks), neighbours are compared: a suffix whose neighbours begin
    otherwise repeats nothing and goes (copies of one text don't count). Suffixes of the first and last prefix of a
-   partition stay; they are settled below.
+   partition stay; they are settled below. A task passes its partition batch by batch and holds one row between batches.
 3. The texts of what is left are read again, and every match is extended to the left and right: each window of
    PASSAGE words whose minimiser is a kept suffix (so it begins up to PASSAGE - PREFIX words before it) is sorted
    by its hash, and neighbours are compared again. Equal neighbours are a repeated window; the union of
@@ -99,28 +99,48 @@ def _suffixes(passage: int, prefix: int):
     return run
 
 
-def _whole(batches, columns: int):
-    """The rows of a sorted partition as arrays; a task has sorted them, so they fit."""
-    held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)] for b in batches if b.num_rows]
-    return [np.concatenate(x) for x in zip(*held)] if held else None
+def _sorted(batches, columns: int):
+    """(columns as arrays, whether a row begins a run of its key, whether it differs from the row before) of each batch of a sorted partition.
 
-
-def _runs(key: np.ndarray):
-    """(number of the run of each row, whether a row is in the first or last run)."""
-    run = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-    return run, (run == 0) | (run == run[-1])
+    All but the key and what is compared stays in its batch; only the last row is carried over."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        before = [np.concatenate(([x[0] if last is None else y], x[:-1])) for x, y in zip(rows, last or rows)]
+        begins = rows[0] != before[0]
+        differs = begins | (rows[1] != before[1]) | (rows[2] != before[2])
+        if last is None:
+            begins[0] = differs[0] = True
+        last = [x[-1] for x in rows]
+        yield rows, begins, differs
 
 
 def _kept_suffixes(batches):
-    """(doc, place) of suffixes whose neighbours begin alike, once for equal texts; and those of runs at an edge."""
-    rows = _whole(batches, 4)
-    if rows is None:
-        return
-    key, t1, place, doc = rows
-    run, edge = _runs(key)
-    fresh = np.concatenate(([True], (run[1:] != run[:-1]) | (t1[1:] != t1[:-1]) | (place[1:] != place[:-1])))
-    keep = fresh & (edge | (np.bincount(run, fresh)[run] > 1))
-    yield record_batch({"doc": pa.array(doc[keep]), "place": pa.array(place[keep])})
+    """(doc, place) of suffixes whose neighbours begin alike, once for equal texts; and those of the first and last run of a partition.
+
+    The first suffix of a run waits until a second one comes."""
+    waiting, seen, runs = None, 0, 0  # of the run that is open: its only suffix, how many there were; runs begun
+    for (_, _, place, doc), begins, fresh in _sorted(batches, 4):
+        run = np.cumsum(begins)  # 0: the open one
+        n = np.bincount(run, fresh).astype(np.int64)
+        n[0] += seen
+        first = 1 if runs == 0 else 0 if runs == 1 else -1  # the number here of the partition's first run
+        keep = fresh & ((n[run] > 1) | (run == first))
+        at = np.flatnonzero(keep)
+        docs, places = doc[at], place[at]
+        if waiting is not None and n[0] > 1:
+            docs, places = np.append(docs, waiting[0]), np.append(places, waiting[1])
+        if run[-1] > 0 or n[0] > 1:
+            waiting = None
+        if n[-1] == 1 and run[-1] > 0 and run[-1] != first:
+            own = int(np.flatnonzero(begins)[-1])
+            waiting = (doc[own], place[own])
+        seen, runs = int(n[-1]), runs + int(run[-1])
+        yield record_batch({"doc": pa.array(docs), "place": pa.array(places)})
+    if waiting is not None:
+        yield record_batch({"doc": pa.array(np.array(waiting[:1])), "place": pa.array(np.array(waiting[1:]))})
 
 
 def _windows(passage: int, prefix: int):
@@ -148,23 +168,43 @@ def _repeats(batches):
     """Windows with an equal neighbour, and whether they come after the first.
 
     What comes after an equal window in its partition is settled. The first of the partition's first run and of its
-    last run are not: these two rows carry their key and the size of their run.
+    last run are not: these two rows carry their key and the size of their run. The first row of a run waits for its end.
     """
-    rows = _whole(batches, 3)
-    if rows is None:
-        return
-    key, doc, place = rows
-    run, _ = _runs(key)
-    fresh = np.concatenate(([True], (run[1:] != run[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))
-    copy = np.concatenate(([False], run[1:] == run[:-1]))
-    sizes = np.bincount(run, fresh).astype(np.int64)
-    edge = ~copy & ((run == 0) | (run == run[-1]))
-    keep = fresh & (edge | (sizes[run] > 1))
-    for at in np.array_split(np.flatnonzero(keep), max(1, int(keep.sum()) // 100_000)):
+
+    def heads(rows):
+        doc, place, edge, n = (np.array(x) for x in zip(*rows))
+        return record_batch({
+            "doc": pa.array(doc, pa.int64()), "place": pa.array(place, pa.int64()), "copy": pa.array(np.zeros(len(doc), bool)),
+            "edge": pa.array(edge.tolist(), pa.int64()), "n": pa.array(n, pa.int64()),
+        })
+
+    head, size, runs = None, 0, 0  # of the run that is open: (key, doc, place) of its first row, its size; runs begun
+    for (key, doc, place), begins, fresh in _sorted(batches, 3):
+        run = np.cumsum(begins)
+        n = np.bincount(run, fresh).astype(np.int64)
+        n[0] += size
+        at = np.flatnonzero(fresh & ~begins)
+        none = np.zeros(len(at), bool)
         yield record_batch({
-            "doc": pa.array(doc[at]), "place": pa.array(place[at]), "copy": pa.array(copy[at]),
-            "edge": pa.array(key[at], mask=~edge[at]), "n": pa.array(sizes[run[at]]),
+            "doc": pa.array(doc[at]), "place": pa.array(place[at]), "copy": pa.array(~none), "edge": pa.array(key[at], mask=~none),
+            "n": pa.array(np.zeros(len(at), np.int64)),
         })
+        starts = np.flatnonzero(begins)
+        out = []
+        if head is not None and len(starts) and (n[0] > 1 or runs == 1):  # the open run ends here
+            out.append((head[1], head[2], head[0] if runs == 1 else None, n[0]))
+        number = np.arange(1, len(starts))  # of runs that begin and end here
+        for k in number[(n[number] > 1) | (runs + number == 1)].tolist():
+            i = starts[k - 1]
+            out.append((doc[i], place[i], key[i] if runs + k == 1 else None, n[k]))
+        if out:
+            yield heads(out)
+        if len(starts):
+            i = starts[-1]
+            head = (key[i], doc[i], place[i])
+        size, runs = int(n[-1]), runs + int(run[-1])
+    if head is not None:
+        yield heads([(head[1], head[2], head[0], size)])
 
 
 def _by_range(rows: DataFrame) -> DataFrame:

@@ -131,6 +131,14 @@ def test_random_indexing_adds_neighbours():
     assert np.array_equal(total.reshape(want.shape), want)
 
 
+def test_tables_of_many_tasks_are_summed_by_a_tree(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(40)}" for _ in range(9))) for i in range(90)], "doc_id long, text string")
+    one = M.word_vectors(docs.coalesce(1))
+    for parts, fan in ((30, 2), (30, 5), (30, 64)):
+        assert np.allclose(M.word_vectors(docs.repartition(parts), fan), one, atol=1e-6)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     vectors = M.word_vectors(odd_docs)
     assert M.score(odd_docs, vectors, M.Network(2 * M.DIMENSIONS + 2)).count() == odd_docs.count()

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+import pytest
 from marginalia.llm import suffix_dedup as S
 
 from tests.llm.conftest import SF
@@ -50,6 +52,40 @@ def corpus(rng, passages, docs, size):
     return rows
 
 
+def batches_of(rows, names, size):
+    table = pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+    return iter(table.to_batches(max_chunksize=size))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_runs_across_batches(size):
+    rng = random.Random(size)
+    for case in range(60):
+        # sorted rows of few keys, copies included
+        rows = sorted((rng.randrange(rng.choice([1, 3, 9])), rng.randrange(3), rng.randrange(3), rng.randrange(4)) for _ in range(rng.randint(0, 25)))
+        runs = defaultdict(list)
+        for r in rows:
+            if not runs[r[0]] or runs[r[0]][-1][1:3] != r[1:3]:  # of equal text and place only the first
+                runs[r[0]].append(r)
+        order = sorted(runs)
+        want = sorted((r[3], r[2]) for k in order for r in runs[k] if len(runs[k]) > 1 or k in (order[0], order[-1]))
+        found = [b for b in S._kept_suffixes(batches_of(rows, ("key", "t1", "place", "doc"), size))]
+        assert sorted((d, p) for b in found for d, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())) == want, rows
+
+        rows = sorted((k, d, p) for k, d, p, _ in rows)
+        runs = {k: sorted({r for r in rows if r[0] == k}) for k in {r[0] for r in rows}}
+        order = sorted(runs)
+        want = []
+        for k in order:
+            edge = k in (order[0], order[-1])
+            if len(runs[k]) > 1 or edge:
+                want.append((*runs[k][0][1:], False, k if edge else None, len(runs[k]) if edge else 0))
+                want += [(*r[1:], True, None, 0) for r in runs[k][1:]]
+        got_ = [tuple(x) for b in S._repeats(batches_of(rows, ("key", "doc", "place"), size)) for x in zip(*(c.to_pylist() for c in b.columns))]
+        got_ = [(d, p, c, e, n if e is not None else 0) for d, p, c, e, n in got_]
+        assert sorted(got_, key=str) == sorted(want, key=str), rows
+
+
 def test_against_all_windows(spark):
     rng = random.Random(2)
     rows = corpus(rng, 8, 60, 50)
