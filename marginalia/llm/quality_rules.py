@@ -132,31 +132,36 @@ def fit(patterns: DataFrame, names: list[str], iterations: int = ITERATIONS) ->
         "good": {x: {"bad": 0.02, "none": 0.28, "good": 0.7} for x in names},
         "bad": {x: {"bad": 0.3, "none": 0.3, "good": 0.4} for x in names},
     }
-    cells = [(x, v) for x in names for v in VOTES]
     for _ in range(iterations):
-        weighed = patterns.withColumn("p", posterior(names, model))
-        sums = [F.sum("n").alias("all"), F.sum(F.col("n") * F.col("p")).alias("all_good")]
-        for x, v in cells:
-            n = F.when(F.col(x) == VOTES[v], F.col("n")).otherwise(0)
-            sums += [F.sum(n).alias(f"{x}_{v}"), F.sum(n * F.col("p")).alias(f"{x}_{v}_good")]
-        r = weighed.agg(*sums).first()
-        if not r["all"]:
+        cast = patterns.select("n", posterior(names, model).alias("p"), F.posexplode(F.array(*names)).alias("rule", "vote"))
+        cells = cast.groupBy("rule", "vote").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good")).collect()  # three a rule
+        every, good = sum(r.n for r in cells if r.rule == 0), sum(r.good for r in cells if r.rule == 0)
+        if not every:
             break
-        model["prior"] = (r["all_good"] + 2) / (r["all"] + 4)
-        for x, v in cells:
-            model["good"][x][v] = (r[f"{x}_{v}_good"] + 1) / (r["all_good"] + 3)
-            model["bad"][x][v] = (r[f"{x}_{v}"] - r[f"{x}_{v}_good"] + 1) / (r["all"] - r["all_good"] + 3)
+        found = {(r.rule, r.vote): (r.n, r.good) for r in cells}
+        model["prior"] = (good + 2) / (every + 4)
+        for k, x in enumerate(names):
+            for v, vote in VOTES.items():
+                n, own = found.get((k, vote), (0, 0.0))
+                model["good"][x][v] = (own + 1) / (good + 3)
+                model["bad"][x][v] = (n - own + 1) / (every - good + 3)
     return model
 
 
 def posterior(names: list[str], model: dict) -> Column:
-    """Probability of being good, from the vote columns."""
-    total = F.lit(math.log(model["prior"] / (1 - model["prior"])))
+    """Probability of being good, from the vote columns.
+
+    The weights are one array constant, so that Spark compiles the same code for every model.
+    """
+    weights = [math.log(model["prior"] / (1 - model["prior"]))]
     for x in names:
         weight = {v: math.log(model["good"][x][v] / model["bad"][x][v]) for v in VOTES}
         # whatever was estimated, a vote for good never speaks against a text, nor one for bad for it
-        weight["good"], weight["bad"] = max(weight["good"], 0.0), min(weight["bad"], 0.0)
-        total = total + F.when(F.col(x) == 1, weight["good"]).when(F.col(x) == -1, weight["bad"]).otherwise(weight["none"])
+        weights += [min(weight["bad"], 0.0), weight["none"], max(weight["good"], 0.0)]
+    held = F.array(*map(F.lit, weights))
+    total = F.get(held, F.lit(0))
+    for k, x in enumerate(names):
+        total = total + F.get(held, F.col(x) + (3 * k + 2))
     return 1 / (1 + F.exp(-total))
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from marginalia.llm import quality_rules as Q
 
 from tests.llm.conftest import SF
@@ -60,6 +61,29 @@ def test_votes_are_weighed(spark):
     assert abs(model["prior"] - 0.8) < 0.1
 
 
+def test_posterior_against_numpy(spark):
+    """Expectation-maximisation and verdicts of the query, made anew over its votes."""
+    out = Q.judge(spark.read.parquet(f"{SF}/documents.parquet"))
+    names = list(Q.rules())
+    rows = out.select(*names, "quality", "base_failed", "kept").toPandas()
+    votes = rows[names].to_numpy()
+    one = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # text, rule, vote
+    prior, good, bad = 0.8, np.tile([0.02, 0.28, 0.7], (len(names), 1)), np.tile([0.3, 0.3, 0.4], (len(names), 1))
+
+    def posterior():
+        w = np.log(good / bad)
+        w[:, 2], w[:, 0] = np.maximum(w[:, 2], 0), np.minimum(w[:, 0], 0)
+        return 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + (one * w).sum((1, 2)))))
+
+    for _ in range(Q.ITERATIONS):
+        p = posterior()
+        prior = (p.sum() + 2) / (len(p) + 4)
+        good = ((one * p[:, None, None]).sum(0) + 1) / (p.sum() + 3)
+        bad = ((one * (1 - p)[:, None, None]).sum(0) + 1) / ((1 - p).sum() + 3)
+    assert np.allclose(rows["quality"], posterior(), atol=1e-6)
+    assert (rows["kept"] == ~rows["base_failed"] & (posterior() >= Q.KEEP)).all()
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = Q.judge(odd_docs)
     assert out.count() == odd_docs.count() and Q.judge(no_docs).count() == 0
