@@ -81,7 +81,7 @@ COMMON = 0.005
 MASKED = 0.3
 
 _SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
-_SENTENCE = re.compile(r"[.!?]\s|\n")
+_SENTENCE = re.compile(r"(?<=[.!?])\s|\n")
 _MARKS = string.punctuation
 #: A string begins and ends with a sign that counts as a letter, so that a whole word differs from a part of one.
 BOUNDED = True
@@ -94,26 +94,28 @@ _CODES = np.arange(_LETTERS**3)
 NONE = (_CODES < _LETTERS**2) | (_CODES // _LETTERS % _LETTERS == 0) | (_CODES % _LETTERS == 0)
 
 
+def strings(text: str, common=frozenset()) -> tuple[set[str], set[str]]:
+    """The distinct words of a text, and its windows of two words within a sentence."""
+    low = text.lower()
+    lines = [line.split() for line in low.split("\n")]
+    every = set().union(*lines)
+    own = {w.strip(_MARKS) for w in every}
+    own.discard("")
+    if sum(len(w) == 1 for w in every) > 1:
+        own.update("".join(m[0].split()) for m in _SPACED.finditer(low))
+    rare = {w for w in every if len(w) <= WINDOW_PART and w not in common}
+    opens = {w for w in rare if w[-1] not in ".!?"}
+    windows = {a + b for words in lines for a, b in zip(words, words[1:]) if a in opens and b in rare}
+    if long := [w for w in own if len(w) > MAX_WORD]:
+        own.difference_update(long)
+        for w in long:
+            own.update(w[i : i + MAX_WORD] for i in range(0, len(w) - MAX_WORD // 2, MAX_WORD // 2))
+    return own, windows
+
+
 def sentences(text: str, common=frozenset()) -> list[tuple[set[str], set[str]]]:
-    """Of each sentence of a text the distinct words and the windows of two."""
-    out = []
-    for line in _SENTENCE.split(text.lower()):
-        words = line.split()
-        if not words:
-            continue
-        own = {w.strip(_MARKS) for w in words}
-        own.discard("")
-        if len(words) > 2 and min(map(len, words)) == 1:
-            for m in _SPACED.finditer(line):
-                own.add("".join(m[0].split()))
-        rare = [w if len(w) <= WINDOW_PART and w not in common else "" for w in words]
-        pairs = {a + b for a, b in zip(rare, rare[1:]) if a and b}
-        if long := [w for w in own if len(w) > MAX_WORD]:
-            own.difference_update(long)
-            for w in long:
-                own.update(w[i : i + MAX_WORD] for i in range(0, len(w) - MAX_WORD // 2, MAX_WORD // 2))
-        out.append((own, pairs))
-    return out
+    """The strings of each sentence of a text."""
+    return [strings(part, common) for part in _SENTENCE.split(text) if part and not part.isspace()]
 
 
 def letters(words: list[str], extra: str = "", bounded: bool = False) -> np.ndarray:
@@ -121,19 +123,20 @@ def letters(words: list[str], extra: str = "", bounded: bool = False) -> np.ndar
 
     bounded: with the last number before and after each word."""
     edge = int(bounded)
-    out = np.zeros((len(words), max(map(len, words), default=0) + 2 * edge), np.int64)
-    own = {ord(c): chr(_OWN + i) for i, c in enumerate(extra[:EXTRA])}
-    for i, w in enumerate(words):
-        if w.isascii():
-            codes = np.frombuffer(w.encode(), np.uint8).astype(np.int64)
-        else:
-            w = "".join((unicodedata.normalize("NFKD", c)[:1] if c > "\x7f" else c) for c in w.translate(own))
-            codes = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            codes[codes >= _OWN] = np.where(codes[codes >= _OWN] < _OWN + EXTRA, codes[codes >= _OWN] - _OWN + 123, 0)
-        codes -= 96
-        out[i, edge : len(codes) + edge] = np.where((codes >= 1) & (codes < (27 if w.isascii() else _LETTERS - 1)), codes, 0)
-        if bounded:
-            out[i, 0] = out[i, len(codes) + 1] = _LETTERS - 1
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.zeros((len(words), int(sizes.max(initial=0)) + 2 * edge), np.int64)
+    joined = "".join(words)
+    if not joined.isascii():
+        own = {ord(c): chr(_OWN + i) for i, c in enumerate(extra[:EXTRA])}
+        other = {ord(c): unicodedata.normalize("NFKD", c)[:1] for c in set(joined) if c > "\x7f"}
+        joined = joined.translate({_OWN + i: "?" for i in range(EXTRA)} | other | own)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = np.where((codes >= 97) & (codes <= 122), codes - 96, np.where((codes >= _OWN) & (codes < _OWN + EXTRA), codes - _OWN + 27, 0))
+    row = np.repeat(np.arange(len(words)), sizes)
+    out[row, np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + edge] = codes
+    if bounded:
+        out[:, 0] = _LETTERS - 1
+        out[np.arange(len(words)), sizes + 1] = _LETTERS - 1
     return out
 
 
@@ -236,8 +239,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost=1.0, wanted=1.0, steps: int = 40)
         if before is not None and (inside == before).all():
             break
         before = inside
-        xa, wa = x[inside].astype(np.float64), weight[inside]
-        w = np.linalg.solve(ridge + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ (y * wanted)[inside])
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        for part in np.array_split(np.flatnonzero(inside), len(x) // 2_000 + 1):
+            xa = x[part].astype(np.float64)
+            weighed = xa * weight[part, None]
+            left += weighed.T @ xa
+            right += weighed.T @ (y * wanted)[part]
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -309,24 +317,24 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         return against(words, self.table, self.extra, BOUNDED)[:, 0] + self.bias
 
-    def text_margins(self, texts: list[list[tuple[set[str], set[str]]]]) -> np.ndarray:
+    def text_margins(self, texts: list[tuple[set[str], set[str]]]) -> np.ndarray:
         """The margins of the TOP worst words of each text and of its worst window; what isn't there shares nothing."""
-        every = set().union(*(own for text in texts for both in text for own in both))
+        every = set().union(*(own for both in texts for own in both))
         if len(self.known) + len(every) > CACHE:  # the older half goes
             self.known, self.older = {}, self.known
         new = every.difference(self.known)
         self.known.update((w, self.older[w]) for w in new & self.older.keys())
-        new = sorted(new.difference(self.known))
+        new = list(new.difference(self.known))
         self.known.update(zip(new, self.margins(new).tolist()))
         get, out = self.known.__getitem__, np.full((len(texts), TOP + 1), self.bias)
-        for row, text in enumerate(texts):
-            worst = nlargest(TOP, map(get, set().union(*(own for own, _ in text))))
+        for row, (words, windows) in enumerate(texts):
+            worst = nlargest(TOP, map(get, words))
             out[row, : len(worst)] = worst
-            out[row, TOP] = max((get(w) for _, pairs in text for w in pairs), default=self.bias)
+            out[row, TOP] = max(map(get, windows), default=self.bias)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        z = evidence(self.text_margins([sentences(t, self.common) for t in texts])) @ self.curve[:-1] + self.curve[-1]
+        z = evidence(self.text_margins([strings(t, self.common) for t in texts])) @ self.curve[:-1] + self.curve[-1]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -357,7 +365,7 @@ def fit(rows: list[tuple[str, int]], clean_weight: float = 1.0, seed: int = 7, s
     """rows: (text, 0 or 1)."""
     seen = Counter(w for text, label in rows if not label for w in set(text.lower().split()))
     common = frequent(seen.items(), sum(1 - label for _, label in rows))
-    return fit_strings([(sentences(text, common), label) for text, label in rows], common, clean_weight, seed, sizes)
+    return fit_strings(((sentences(text, common), label) for text, label in rows), common, clean_weight, seed, sizes)
 
 
 def frequent(counts, n_clean: int) -> frozenset[str]:
@@ -365,19 +373,24 @@ def frequent(counts, n_clean: int) -> frozenset[str]:
     return frozenset(w for w, n in counts if n >= max(2, COMMON * n_clean) and len(w) <= WINDOW_PART)
 
 
-def fit_strings(rows: list[tuple[list[tuple[set[str], set[str]]], int]], common: frozenset[str], clean_weight: float = 1.0, seed: int = 7, sizes: Sizes = Sizes()) -> Model:
-    """rows: (words and windows of each sentence, 0 or 1)."""
-    y = np.array([label for _, label in rows])
-    if len(set(y.tolist())) < 2:
-        return Model()
+def fit_strings(rows, common: frozenset[str], clean_weight: float = 1.0, seed: int = 7, sizes: Sizes = Sizes()) -> Model:
+    """rows: (words and windows of each sentence, 0 or 1), read once."""
     rng = np.random.default_rng(seed)
     numbers: dict[str, int] = {}
-    texts = [[np.array([numbers.setdefault(w, len(numbers)) for own in both for w in sorted(own)], np.int32) for both in text] for text, _ in rows]
+    texts, parts, labels = [], [], []  # of each text the strings of its sentences, and (words, windows) of it all
+    for text, label in rows:
+        own = [[np.array([numbers.setdefault(w, len(numbers)) for w in sorted(x)], np.int32) for x in both] for both in text]
+        texts.append([x for x in map(np.concatenate, own) if len(x)])
+        parts.append([np.unique(np.concatenate([both[k] for both in own] or [np.zeros(0, np.int32)])) for k in (0, 1)])
+        labels.append(label)
+    y = np.array(labels)
+    if len(set(labels)) < 2:
+        return Model()
     words = np.array(list(numbers), object)
+    del numbers
     toxic, clean = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    for text, label in zip(texts, y):
-        if text:
-            (toxic if label else clean)[np.unique(np.concatenate(text))] += 1
+    for own, label in zip(parts, y):
+        (toxic if label else clean)[np.concatenate(own)] += 1
     n_toxic, n_clean = int(y.sum()), int((1 - y).sum())
     letters_ = np.array([len(w) for w in words])
     positive = {int(i): int(toxic[i]) for i in marking(np.where(letters_ > 2, toxic, 0), clean, n_toxic, n_clean)}  # with the number of texts that they mark
@@ -414,9 +427,12 @@ def fit_strings(rows: list[tuple[list[tuple[set[str], set[str]]], int]], common:
         hard = [int(i) for i, m in zip(near[order], margins[order]) if m > -0.7 and int(i) not in positive]
         negative = list(dict.fromkeys(negative[:kept] + hard))
     model.common = common
-    margin = np.concatenate([model.text_margins([text for text, _ in rows[i : i + 500]]) for i in range(0, len(rows), 500)])
-    model.known, model.older = {}, {}
-    # a text labelled toxic in which the machine finds no string says nothing about those in which it does
+    each = np.concatenate([model.margins(words[i : i + 50_000].tolist()) for i in range(0, len(words), 50_000)])
+    margin = np.full((len(y), TOP + 1), model.bias)
+    for row, (own, windows) in enumerate(parts):
+        worst = -np.sort(-each[own])[:TOP]
+        margin[row, : len(worst)] = worst
+        margin[row, TOP] = each[windows].max(initial=-np.inf) if len(windows) else model.bias
     weight = np.where(y == 1, margin[:, 0] > 0, clean_weight).astype(np.float64)
     # one whose worst word is beyond those of harmless texts would be toxic with that word alone
     sure = (y == 1) & (margin[:, 0] > np.quantile(margin[y == 0, 0], 0.999))
@@ -468,16 +484,12 @@ def train(docs: DataFrame, labels: DataFrame, sizes: Sizes = Sizes()) -> Model:
     seen = seen.where(F.col("count") >= max(2, COMMON * n_clean)).orderBy(F.desc("count"), "w").limit(sizes.frequent)
     common = frequent(seen.collect(), n_clean)
     schema = "doc_id long, sentences array<struct<words:array<string>,windows:array<string>>>"
-    strings = texts.select("doc_id", "text").mapInArrow(_strings(sizes.strings, spark.sparkContext.broadcast(common)), schema)
-    once: dict[str, str] = {}  # each string is held once
-    rows = []
-    for r in strings.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "sentences").toLocalIterator():
-        rows.append((r.doc_id, [tuple({once.setdefault(w, w) for w in x} for x in both) for both in r.sentences], r.toxic))
-    del once
-    rows.sort(key=lambda r: (r[0], r[2], len(r[1])))
-    taken = Counter(r[2] for r in rows)
-    share = lambda k: taken[k] / max(1, counts.get(k, 0))
-    return fit_strings([(strings, label) for _, strings, label in rows], common, min(10.0, share(1) / max(share(0), 1e-9)), sizes=sizes)
+    strings_ = texts.select("doc_id", "text").mapInArrow(_strings(sizes.strings, spark.sparkContext.broadcast(common)), schema)
+    rows = strings_.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "sentences").orderBy("doc_id", "toxic", F.xxhash64("sentences"))
+    taken = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    share = lambda k: taken.get(k, 0) / max(1, counts.get(k, 0))
+    read = (([(x.words, x.windows) for x in r.sentences], r.toxic) for r in rows.toLocalIterator())
+    return fit_strings(read, common, min(10.0, share(1) / max(share(0), 1e-9)), sizes=sizes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
