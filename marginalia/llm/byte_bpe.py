@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import id_text, ragged, record_batch, table, text_blocks
 
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 _NONE = np.int32(2**31 - 1)
 
 

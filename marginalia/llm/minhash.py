@@ -49,6 +49,9 @@ PIVOTS, GROUP_DOCS = 16, 256
 #: Members of clusters up to which their ids are broadcast to the scan of texts.
 BROADCAST_ROWS = 500_000
 
+#: A text with a word.
+WORDY = r"[^\x20\x09-\x0D]"
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -351,7 +354,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = SIMILARITY, *
     # rows of one doc_id are one node: what represents their sets is linked, too
     first = tied.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("doc_id", "b")
     same = tied.join(first, "doc_id").select(F.col("rep").alias("a"), "b")
-    linked = connected_components(verified_links(docs.where("doc_id is not null"), members, shared.select("rep", "bucket"), n, similarity, **blocks).union(same))
+    linked = connected_components(verified_links(docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(WORDY)), members, shared.select("rep", "bucket"), n, similarity, **blocks).union(same))
     own = tied.join(linked, tied.rep == linked.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     own = own.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = scanned.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left")

@@ -33,6 +33,7 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 from heapq import nlargest
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -319,6 +320,11 @@ class Model:
     def __reduce__(self):
         return Model, (self.table, self.bias, self.common, self.curve, self.extra)
 
+    def forget(self) -> None:
+        """Drops remembered words: a worker outlives its task."""
+        self.known, self.older = {}, {}
+        give_back()
+
     def margins(self, words: list[str]) -> np.ndarray:
         return against(words, self.table, self.extra, BOUNDED)[:, 0] + self.bias
 
@@ -494,7 +500,9 @@ def train(docs: DataFrame, labels: DataFrame, sizes: Sizes = Sizes()) -> Model:
     taken = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     share = lambda k: taken.get(k, 0) / max(1, counts.get(k, 0))
     read = (([(x.words, x.windows) for x in r.sentences], r.toxic) for r in rows.toLocalIterator())
-    return fit_strings(read, common, min(10.0, share(1) / max(share(0), 1e-9)), sizes=sizes)
+    model = fit_strings(read, common, min(10.0, share(1) / max(share(0), 1e-9)), sizes=sizes)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -502,8 +510,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part, texts in text_blocks(batches, 6 << 20):
-            yield record_batch({"doc_id": part.column(0), "score": pa.array(shared.value.scores(texts), pa.float64())})
+        model: Model = shared.value
+        try:
+            for part, texts in text_blocks(batches, 6 << 20):
+                yield record_batch({"doc_id": part.column(0), "score": pa.array(model.scores(texts), pa.float64())})
+        finally:
+            model.forget()
 
     return id_text(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -513,11 +525,16 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         give_back()
-        own = [t or "" for t in texts]
-        # a batch may be long; scores are found some hundred texts at a time
-        return pd.Series([x for i in range(0, len(own), 1_000) for x in shared.value.scores(own[i : i + 1_000])], dtype="float64")
+        model: Model = shared.value
+        try:
+            for texts in parts:
+                own = [t or "" for t in texts]
+                # a batch may be long; scores are found some hundred texts at a time
+                yield pd.Series([x for i in range(0, len(own), 1_000) for x in model.scores(own[i : i + 1_000])], dtype="float64")
+        finally:
+            model.forget()
 
     return docs.where(scored("text") < threshold)
 

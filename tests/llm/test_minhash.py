@@ -168,3 +168,11 @@ def test_rows_that_share_an_id_are_one_node(spark):
     a, b = "a b c d e f g h", "r s t u v w x y"
     df = spark.createDataFrame([(1, a), (9, a), (9, b), (4, b), (5, "else where")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in M.near_duplicates(df, 4).collect()} == {1: 1, 9: 1, 4: 1, 5: 5}
+
+
+def test_wordless_rows_of_an_id_in_a_large_cluster(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(12)] + [(i, t) for i in (0, 3, 11) for t in ("", " \n", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got_ = M.near_duplicates(df, 4, cell_docs=2).where("n_shingles > 0").collect()
+    assert {(r.doc_id, r.component_id) for r in got_} == {(i, 0) for i in range(12)}
