@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marginalia.llm.common import id_text, ragged, record_batch, table, text_blocks
 
