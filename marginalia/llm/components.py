@@ -10,13 +10,18 @@ from marginalia.llm.common import written
 
 #: A node with more than this share of all edges is a hub; there are at most twice its inverse.
 HUB = 1 / 500
+#: Edges up to which hubs need no care: a join task takes them all (16 bytes each), and plans stay small on the driver.
+HUB_EDGES = 1_000_000
 
 
 def _with_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """(edges (a, b) with m, the least b of their a; a, m of all nodes).
 
-    The edges of a hub meet its row by broadcast, of at most 2 / HUB rows, so that no join task gets a hub.
+    Beyond HUB_EDGES the edges of a hub meet its row by broadcast, of at most 2 / HUB rows, so that no join task gets a hub.
     """
+    if total <= HUB_EDGES:
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        return edges.join(least, "a"), least
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("edges"))
     hubs = F.broadcast(least.where(F.col("edges") > max(total * HUB, 1_000)).select("a", F.col("m").alias("hub_m")))
     own = edges.join(hubs, "a", "left")

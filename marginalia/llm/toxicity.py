@@ -26,6 +26,7 @@ both classes every text scores 0; empty tables give empty results; other columns
 
 from __future__ import annotations
 
+import gc
 import re
 import string
 import unicodedata
@@ -501,6 +502,7 @@ def train(docs: DataFrame, labels: DataFrame, sizes: Sizes = Sizes()) -> Model:
     share = lambda k: taken.get(k, 0) / max(1, counts.get(k, 0))
     read = (([(x.words, x.windows) for x in r.sentences], r.toxic) for r in rows.toLocalIterator())
     model = fit_strings(read, common, min(10.0, share(1) / max(share(0), 1e-9)), sizes=sizes)
+    gc.collect()
     give_back()
     return model
 

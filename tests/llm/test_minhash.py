@@ -120,8 +120,10 @@ def test_both_sides_shuffled(spark, monkeypatch):
         assert {r.doc_id for r in without(df, lost, most=most).collect()} == {i for i, x in want.items() if x[2]}
 
 
-def test_components_with_hubs(spark, monkeypatch):
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_components_with_hubs(spark, monkeypatch, few):
     monkeypatch.setattr(components, "HUB", 1 / 20)
+    monkeypatch.setattr(components, "HUB_EDGES", few)
     rng = random.Random(13)
     edges = [(0, i) for i in range(1, 4000)] + [(9000 + i, 9001 + i) for i in range(60)] + [(rng.randrange(4000, 9000), 4000) for _ in range(3000)] + [(7, 4001), (5, 5)]
     root = {}
