@@ -28,4 +28,16 @@ link AS (SELECT a.doc_id a, b.doc_id b FROM sh a JOIN sh b ON a.s = b.s AND a.do
 reach AS (SELECT doc_id a, doc_id b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
 c AS (SELECT a doc_id, min(b) component_id FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) n_shingles, component_id, doc_id = component_id kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op11_filter_audit": rf"""WITH d AS (SELECT doc_id, coalesce(source, '') part, coalesce(text, '') t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM d),
+f AS (SELECT part, len(ws) < 50 a, 100 * len(list_distinct(ws)) < 65 * len(ws) b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) c, regexp_matches(t, '[#$%&*|]') d, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) e, coalesce(good, 0) good, coalesce(toxic, 0) toxic
+  FROM w LEFT JOIN (SELECT doc_id, CAST(max(CAST(quality = 1 AS INTEGER)) AS BIGINT) good, CAST(max(CAST(toxic = 1 AS INTEGER)) AS BIGINT) toxic FROM labels GROUP BY 1) USING (doc_id)),
+cell AS (SELECT part, [a, b, c, d, e] x, count(*) n, sum(good) good, sum(toxic) toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) i),
+o AS (SELECT [p.i, q.i, r.i, s.i, t.i] o FROM l p, l q, l r, l s, l t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+st AS (SELECT o, array_to_string(list_transform(o, lambda i: substr('ABCDE', CAST(i AS BIGINT), 1)), '') filter_order, i step, o[1:i - 1] earlier, o[i] own FROM o, l),
+m AS (SELECT *, x[own] fails, len(list_filter(earlier, lambda j: x[j])) > 0 gone FROM cell, st),
+g AS (SELECT part, filter_order, own, step, sum(n) FILTER (NOT fails AND NOT gone) kept, sum(n) FILTER (fails AND NOT gone) removed, sum(n) FILTER (fails AND gone) redundant, sum(n) FILTER (fails AND len(list_filter(x, lambda y: y)) = 1) unique_fails, sum(good) FILTER (fails AND NOT gone) good_lost, sum(toxic) FILTER (fails AND NOT gone) toxic_lost FROM m GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) step, CAST(coalesce(kept, 0) AS BIGINT) kept, CAST(coalesce(removed, 0) AS BIGINT) removed, CAST(coalesce(redundant, 0) AS BIGINT) redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) shapley FROM g""",
 }
