@@ -6,6 +6,7 @@ import corpus_pipeline
 from marginalia.llm.byte_bpe import op9_byte_bpe
 from marginalia.llm.decontaminate import op5_benchmark_decontamination
 from marginalia.llm.filter_audit import op11_filter_audit
+from marginalia.llm.language_id import op12_language_id
 from marginalia.llm.minhash import op10_minhash
 from marginalia.llm.oracle import ORACLE
 from marginalia.llm.pii import op1_pii
@@ -22,7 +23,7 @@ def queries():
         f.__name__: f
         for f in (
             op1_pii, op2_toxicity, op3_quality_rules, op4_secret_scans, op5_benchmark_decontamination, op6_token_files,
-            op7_quality_classifier, op8_suffix_dedup, op9_byte_bpe, op10_minhash, op11_filter_audit,
+            op7_quality_classifier, op8_suffix_dedup, op9_byte_bpe, op10_minhash, op11_filter_audit, op12_language_id,
         )
     }
     return own | {"pipeline": corpus_pipeline.run}
