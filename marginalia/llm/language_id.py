@@ -11,7 +11,7 @@ each distinct word is parsed once and documents are sums over their words; all w
 one byte a step. Words are runs of letters after lower-casing; ASCII characters that aren't letters part them.
 
 The sample is the only bounded thing, and only in rows (`Sample`): labelled rows of at most `row_bytes` are taken in the order of a
-hash until there are `rows` of a language, or `bytes` of text. So an automaton, a task that builds one and what is
+hash until there are `rows` of a language, or `bytes` of text; only rows of low hashes, some four times those, are ordered. So an automaton, a task that builds one and what is
 broadcast have a bound, whatever the corpus. More than `languages` labels raise an error, none is dropped.
 Every text is parsed whole, in its own partition, without a shuffle.
 
@@ -209,13 +209,16 @@ def sample(labelled: DataFrame, sizes: Sample = Sample()) -> DataFrame:
     size = F.octet_length("text")
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), size.alias("size"))
     rows = rows.where(F.col("lang").isNotNull() & (F.trim("text") != "") & (size <= sizes.row_bytes))
-    # keys and sizes alone are ordered, and each partition passes on no more than `rows` of a language
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if counts.count() > sizes.languages:
+        raise ValueError(f"more than {sizes.languages} languages are labelled")
+    # a share of the keys that holds about four times the rows wanted: of it alone, without texts, keys are ordered
+    low = (F.col("key") / 2.0**64 + 0.5) * F.col("n") < 4 * sizes.rows
+    some = rows.select("lang", "key", "size").join(F.broadcast(counts), "lang").where(low).drop("n")
     by_key = Window.partitionBy("lang").orderBy("key", "size")
-    first = rows.select("lang", "key", "size").withColumn("i", F.row_number().over(by_key)).where(F.col("i") <= sizes.rows)
+    first = some.withColumn("i", F.row_number().over(by_key)).where(F.col("i") <= sizes.rows)
     kept = first.withColumn("total", F.sum("size").over(by_key)).where(F.col("total") <= sizes.bytes)
     keys = written(kept.select("lang", "key").distinct(), "sample")
-    if keys.select("lang").distinct().count() > sizes.languages:
-        raise ValueError(f"more than {sizes.languages} languages are labelled")
     return rows.select("lang", "key", "text").join(F.broadcast(keys), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"]).select("lang", "text")
 
 
