@@ -14,6 +14,7 @@ from marginalia.llm.quality_model import op7_quality_classifier
 from marginalia.llm.quality_rules import op3_quality_rules
 from marginalia.llm.secrets import op4_secret_scans
 from marginalia.llm.suffix_dedup import op8_suffix_dedup
+from marginalia.llm.token_alignment import op13_token_alignment
 from marginalia.llm.token_file import op6_token_files
 from marginalia.llm.toxicity import op2_toxicity
 
@@ -24,6 +25,7 @@ def queries():
         for f in (
             op1_pii, op2_toxicity, op3_quality_rules, op4_secret_scans, op5_benchmark_decontamination, op6_token_files,
             op7_quality_classifier, op8_suffix_dedup, op9_byte_bpe, op10_minhash, op11_filter_audit, op12_language_id,
+            op13_token_alignment,
         )
     }
     return own | {"pipeline": corpus_pipeline.run}
