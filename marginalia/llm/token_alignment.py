@@ -4,8 +4,8 @@ A is a byte-level BPE file of the tokenizers library, B a sentencepiece model. W
 is a shared cut; cuts part a text into groups, and within a group an A and a B token are linked if their bytes overlap.
 
 Groups are found by divide and conquer (`groups_of`): a common end near the middle is looked for by bisection, both halves are
-treated alike, and an interval without one is a group. Every search crosses a stretch without a cut, and a
-stretch is crossed three times at most, so the work is n log n in the tokens of a text.
+treated alike, and an interval without one is a group. Halves of one depth are treated together, as arrays. Every search crosses a stretch
+without a cut, and a stretch is crossed a few times at most, so the work is n log n in the tokens of a text.
 
 A text is cut before each single blank or line end between two visible characters first. No token of either vocabulary crosses such a
 place, so these are shared cuts already; each distinct part is encoded (many joined to one string, for speed) and aligned once and remembered by its task up to a bound
@@ -27,7 +27,6 @@ import hashlib
 import json
 import os
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import ragged, record_batch, table, text_blocks, written
 
 BLOCK = 8 << 20
-MOST_PARTS, MOST_BYTES = 300_000, 48 << 20
+MOST_PARTS, MOST_BYTES = 500_000, 48 << 20
 BROADCAST_PAIRS = 4_000_000
 #: Bytes of parts that are encoded as one string; distinct pairs that a task holds before it gives them away.
 JOINED, HELD_PAIRS = 32_768, 1_000_000
@@ -46,46 +45,60 @@ JOINED, HELD_PAIRS = 32_768, 1_000_000
 _SIDE_BY_SIDE = regex.compile(r"[\s\x1c-\x1f]{2}|[\s\x1c-\x1f]$")
 _CUT = regex.compile(r"(?V1)(?<=[^\s\x1c-\x1f])(?= [^\s\x1c-\x1f])")
 _PLAIN = regex.compile(r"[ \n][^\s\x1c-\x1f](?:.*[^\s\x1c-\x1f])?", regex.S)
+_FAR = np.int64(2**62)
 _CROSSING = re.compile(rb"[^ ] |[^\n]\n|\n[^\n]")
 _BLANK_MARK = "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def groups_of(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first A, end A, first B, end B) of each group in order. Both lists ascend and end alike."""
-    out, stack = [], [(0, len(a_ends), 0, len(b_ends))]
-    while stack:
-        a0, a1, b0, b1 = stack.pop()
-        cut = None
-        if a1 - a0 > 1 and b1 - b0 > 1:
-            last, middle = b1 - 1, (a0 + a1 - 1) // 2  # inner ends are a0..a1-2 and b0..b1-2
-            for step in range(max(middle - a0, a1 - 2 - middle) + 1):
-                for i in (middle - step, middle + step):
-                    if a0 <= i < a1 - 1:
-                        at = bisect_left(b_ends, a_ends[i], b0, last)
-                        if at < last and b_ends[at] == a_ends[i]:
-                            cut = i + 1, at + 1
-                            break
-                if cut:
-                    break
-        if cut:
-            stack += ((cut[0], a1, cut[1], b1), (a0, cut[0], b0, cut[1]))  # the left half comes first
-        else:
-            out.append((a0, a1, b0, b1))
-    return out
-
-
-def links_of(a_ends: list[int], b_ends: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Places (A, B) of tokens of a group whose bytes overlap."""
-    a, a1, b, b1 = group
-    out = [(a, b)]
-    while a + 1 < a1 or b + 1 < b1:
-        if a_ends[a] < b_ends[b]:
-            a += 1
-        else:
-            b += 1
-        out.append((a, b))
-    return out
+def groups_of(a_ends: np.ndarray, b_ends: np.ndarray, a_cuts=None, b_cuts=None) -> np.ndarray:
+    """(first A, end A, first B, end B) of each group in order, a row each. Both arrays ascend and end alike.
+
+    a_cuts and b_cuts: ends of intervals that are known to be apart, as numbers of tokens; else all is one. Intervals of
+    one depth are treated at once: of each the ends around its middle are looked up by bisection, in widening rings.
+    """
+    a1 = np.array([len(a_ends)] if a_cuts is None else a_cuts, np.int64)
+    b1 = np.array([len(b_ends)] if b_cuts is None else b_cuts, np.int64)
+    a0, b0 = (np.concatenate((np.zeros(min(1, len(x)), np.int64), x[:-1])) for x in (a1, b1))
+    step, done = np.zeros(len(a1), np.int64), []
+    while len(a0):
+        middle = (a0 + a1 - 1) // 2  # inner ends are a0 .. a1 - 2
+        reach = np.where((a1 - a0 > 1) & (b1 - b0 > 1), np.maximum(middle - a0, a1 - 2 - middle) + 1 - step, 0)
+        over = reach <= 0
+        if over.any():
+            done.append(np.stack((a0[over], a1[over], b0[over], b1[over]), 1))
+            a0, a1, b0, b1, step, middle, reach = (x[~over] for x in (a0, a1, b0, b1, step, middle, reach))
+            if not len(a0):
+                break
+        width = np.minimum(np.maximum(step, 1), reach)
+        owner, off = np.repeat(np.arange(len(a0)), width), ragged(step, width)
+        best = np.full(len(off), _FAR)
+        for side, at in enumerate((middle[owner] - off, middle[owner] + off)):
+            inside = np.flatnonzero((at >= a0[owner]) & (at < a1[owner] - 1))
+            ends = a_ends[at[inside]]
+            common = inside[b_ends[np.searchsorted(b_ends, ends)] == ends]
+            best[common] = np.minimum(best[common], 2 * off[common] + side)
+        nearest = np.minimum.reduceat(best, np.cumsum(width) - width)
+        split = nearest < _FAR
+        step += width
+        if split.any():
+            near = nearest[split]
+            ca = middle[split] + np.where(near % 2 == 1, near // 2, -(near // 2)) + 1
+            cb = np.searchsorted(b_ends, a_ends[ca - 1]) + 1
+            rest = ~split
+            new = np.zeros(len(ca), np.int64)
+            a0, a1, b0, b1, step = (
+                np.concatenate(x) for x in ((a0[rest], a0[split], ca), (a1[rest], ca, a1[split]), (b0[rest], b0[split], cb), (b1[rest], cb, b1[split]), (step[rest], new, new))
+            )
+    found = np.concatenate(done) if done else np.zeros((0, 4), np.int64)
+    return found[np.argsort(found[:, 0], kind="stable")]
+
+
+def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of A, places of B, end) of all tokens whose bytes overlap: each stretch between two ends lies in one of both."""
+    ends = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")
+    ends = ends[np.concatenate((ends[1:] != ends[:-1], [True]))] if len(ends) else ends
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), ends
 
 
 class Tokenizers:
@@ -112,18 +125,25 @@ class Tokenizers:
         #: Whether no token crosses a single blank or line end between visible characters; else texts are one part each.
         self.apart = byte_level and not any(_CROSSING.search(x) for x in b_bytes)
         self.size_b = len(b_bytes)
-        self.sides = [(np.fromiter(map(len, x), np.int64, len(x)), x) for x in (a_bytes, b_bytes)]
+        #: Of A and of B: length of each id, its bytes, where they begin in all bytes of the side, and those.
+        self.sides = []
+        for x in (a_bytes, b_bytes):
+            sizes = np.fromiter(map(len, x), np.int64, len(x))
+            self.sides.append((sizes, x, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(x), np.uint8)))
+        # ids as text: of A inside and at the end of its part of a group, then of B
+        self.spelled = [b"%d%b" % (i, mark) for side, marks in zip(self.sides, ((b",", b"|"), (b",", b";"))) for mark in marks for i in range(len(side[1]))]
+        self.spelled_sizes = np.fromiter(map(len, self.spelled), np.int64, len(self.spelled))
 
     def _piece(self, i: int) -> bytes:
         return bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(_BLANK_MARK, " ").encode()
 
-    def encode(self, text: str) -> list[list[int]]:
-        """Ids of a text that begins with a blank."""
-        return [self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])]
+    def encode(self, text: str) -> list[np.ndarray]:
+        """Ids of A and of B of a text that begins with a blank."""
+        return [np.array(x, np.int64) for x in (self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]))]
 
     def whole(self, text: str, found: list[list[int]]) -> bool:
-        data = text.encode()
-        return all(b"".join(map(side[1].__getitem__, ids)) == data for side, ids in zip(self.sides, found))
+        data = np.frombuffer(text.encode(), np.uint8)
+        return all(np.array_equal(own[ragged(starts[ids], sizes[ids])], data) for (sizes, _, starts, own), ids in zip(self.sides, found))
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -187,22 +207,19 @@ class Parts(dict):
         return out
 
     def _encoded(self, parts: list[str]):
-        """(index, ids of A, ids of B) of parts that are given back whole: many joined, odd ones alone."""
+        """(indices of parts, ids of A, ids of B): parts that are given back whole, many joined, odd ones alone."""
         alone, joined, size = [], [], 0
 
         def flush():
-            text = " x" + "".join(parts[i] for i in joined)  # begins with a blank, as B needs
+            text = " x" + "".join([parts[i] for i in joined])  # begins with a blank, as B needs
             found = self.own.encode(text)
-            if not self.own.whole(text, found):
+            if self.own.whole(text, found):
+                yield joined, *(ids[self._after(side[0], ids, 2) :] for side, ids in zip(self.own.sides, found))
+            else:
                 alone.extend(joined)
-                return
-            cuts = np.cumsum([2, *(len(parts[i].encode()) for i in joined)])
-            at = [np.searchsorted(np.cumsum(side[0][ids]), cuts) + 1 for side, ids in zip(self.own.sides, found)]
-            for i, a0, a1, b0, b1 in zip(joined, at[0].tolist(), at[0][1:].tolist(), at[1].tolist(), at[1][1:].tolist()):
-                yield i, found[0][a0:a1], found[1][b0:b1]
 
         for i, part in enumerate(parts):
-            if not self.own.apart or _BLANK_MARK in part or len(part) > JOINED or not _PLAIN.fullmatch(part):
+            if not self.own.apart or len(part) > JOINED or _BLANK_MARK in part or not _PLAIN.fullmatch(part):
                 alone.append(i)
                 continue
             joined.append(i)
@@ -217,44 +234,70 @@ class Parts(dict):
             before = "" if parts[i][0] == " " else " x"
             found = self.own.encode(before + parts[i])
             if self.own.whole(before + parts[i], found):
-                skip = [int(np.searchsorted(np.cumsum(side[0][ids[:4]]), len(before))) + 1 if before else 0 for side, ids in zip(self.own.sides, found)]
-                yield i, found[0][skip[0] :], found[1][skip[1] :]
+                yield [i], *(ids[self._after(side[0], ids, len(before)) :] for side, ids in zip(self.own.sides, found))
+
+    @staticmethod
+    def _after(sizes: np.ndarray, ids: np.ndarray, n: int) -> int:
+        """The first token after n bytes."""
+        return int(np.searchsorted(np.cumsum(sizes[ids[:8]]), n)) + 1 if n else 0
 
     def learn(self) -> None:
         new, self.new = self.new, []
-        counts, lossy = np.zeros((len(new), len(COUNTS)), np.int64), np.ones(len(new), bool)
-        codes: list = [()] * len(new)
-        spelled = [b""] * len(new)
-        (a_sizes, _), (b_sizes, _), size_b = *self.own.sides, self.own.size_b
-        for i, a, b in self._encoded(new):
-            lossy[i] = False
-            if len(a) == 1 or len(b) == 1:
-                groups = [(0, len(a), 0, len(b))]
-                codes[i] = [x * size_b + y for x in a for y in b]
-            else:
-                a_ends, b_ends = np.cumsum(a_sizes[a]).tolist(), np.cumsum(b_sizes[b]).tolist()
-                groups = groups_of(a_ends, b_ends)
-                codes[i] = [a[x] * size_b + b[y] for g in groups for x, y in links_of(a_ends, b_ends, g)]
-            counts[i, :3] = len(a), len(b), len(groups)
-            if self.spell:
-                spelled[i] = ";".join([f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}" for a0, a1, b0, b1 in groups]).encode()
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-        flat = np.fromiter((c for x in codes for c in x), np.int64, int(sizes.sum()))
-        counts[:, 3] = sizes
+        order, ids = [], ([], [])
+        for some, a, b in self._encoded(new):
+            order += some
+            ids[0].append(a)
+            ids[1].append(b)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ids)
+        sizes = np.fromiter((len(new[i].encode()) for i in order), np.int64, len(order))
+        part_ends, (a_ends, b_ends) = np.cumsum(sizes), (np.cumsum(side[0][x]) for side, x in zip(self.own.sides, (a, b)))
+        a_cuts, b_cuts = np.searchsorted(a_ends, part_ends) + 1, np.searchsorted(b_ends, part_ends) + 1
+        groups = groups_of(a_ends, b_ends, a_cuts, b_cuts)
+        a_at, b_at, ends = links_of(a_ends, b_ends)
+        codes, cuts = a[a_at] * self.own.size_b + b[b_at], np.searchsorted(ends, part_ends, "right")
+        place = np.full(len(new), -1)
+        place[order] = np.arange(len(order))
+        counts, lossy = np.zeros((len(new), len(COUNTS)), np.int64), place < 0
+        group_cuts = np.searchsorted(groups[:, 1], a_cuts, "right")
+        for i, x in enumerate((a_cuts, b_cuts, group_cuts, cuts)):
+            counts[order, i] = np.diff(x, prepend=0)
         if self.pairs is not None:
             known, n, best = self.pairs
-            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
-            found = known[at] == flat if len(known) else np.zeros(len(flat), bool)
-            owner = np.repeat(np.arange(len(new)), sizes)[found]
-            np.add.at(counts[:, 4], owner, best[at[found]].astype(np.int64))
-            np.add.at(counts[:, 5], owner, n[at[found]])
+            at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
+            found = known[at] == codes if len(known) else np.zeros(len(codes), bool)
+            owner = np.repeat(order, np.diff(cuts, prepend=0))
+            np.add.at(counts[:, 4], owner[found], best[at[found]].astype(np.int64))
+            np.add.at(counts[:, 5], owner[found], n[at[found]])
             # what stays in codes are links that the table of pairs lacks
-            flat, sizes = flat[~found], np.bincount(np.repeat(np.arange(len(new)), sizes)[~found], minlength=len(new))
+            cuts = np.concatenate(([0], np.cumsum(~found)))[cuts]
+            codes = codes[~found]
+        own_sizes = np.zeros(len(new), np.int64)
+        own_sizes[order] = np.diff(cuts, prepend=0)
+        first = np.zeros(len(new), np.int64)
+        first[order] = cuts - np.diff(cuts, prepend=0)
         self.counts = np.concatenate((self.counts, counts))
         self.lossy = np.concatenate((self.lossy, lossy))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-        self.codes = np.concatenate((self.codes, flat))
-        self.spelled += spelled
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(own_sizes)))
+        self.codes = np.concatenate((self.codes, codes[ragged(first, own_sizes)]))
+        if self.spell:
+            spelled, bounds = self._spelled(a, b, groups, a_cuts + b_cuts)
+            self.spelled += [spelled[bounds[p] : bounds[p + 1]] if p >= 0 else b"" for p in place.tolist()]
+
+    def _spelled(self, a: np.ndarray, b: np.ndarray, groups: np.ndarray, cuts: np.ndarray) -> tuple[bytes, list[int]]:
+        """(groups as text, each with a mark behind, where the text of each part begins and the last one ends)."""
+        a0, a1, b0, b1 = groups.T
+        size_a = len(self.own.sides[0][1])
+        keys = np.zeros(len(a) + len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[a1 - 1] = last_b[b1 - 1] = 1
+        keys[np.arange(len(a)) + np.repeat(b0, a1 - a0)] = a + last_a * size_a
+        keys[np.arange(len(b)) + np.repeat(a1, b1 - b0)] = b + last_b * self.own.size_b + 2 * size_a
+        ends = np.concatenate(([0], np.cumsum(self.own.spelled_sizes[keys])))
+        return b"".join(map(self.own.spelled.__getitem__, keys.tolist())), [0, *ends[cuts].tolist()]
+
+    def text(self, rows: np.ndarray) -> bytes:
+        """The groups of a text's parts."""
+        return b"".join(map(self.spelled.__getitem__, rows.tolist()))[:-1]
 
     def links(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, number of their links) of rows, each as often as it is given."""
@@ -328,7 +371,7 @@ def _align(a_path: str, b_path: str, held):
                     numbers.append(rows[:0])
                     continue
                 counts[i] = parts.counts[rows].sum(0)
-                digests.append(hashlib.sha256(b";".join(map(parts.spelled.__getitem__, rows.tolist()))).hexdigest())
+                digests.append(hashlib.sha256(parts.text(rows)).hexdigest())
                 rest = parts.links(rows)
                 codes.append(rest[0])
                 numbers.append(rest[1])
@@ -381,7 +424,7 @@ def _spell(a_path: str, b_path: str):
             out = []
             for rows in parts.rows(texts):
                 broken = not len(rows) or parts.lossy[rows].any()
-                out.append(None if broken else b";".join(map(parts.spelled.__getitem__, rows.tolist())).decode())
+                out.append(None if broken else parts.text(rows).decode())
             yield record_batch({"doc_id": part.column(0), "groups": pa.array(out, pa.string())})
 
     return run
