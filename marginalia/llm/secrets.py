@@ -48,7 +48,6 @@ _HEX_RUN = re.compile(r"[0-9a-fA-F]{64,}+(?:\r?\n[ \t]*+[0-9a-fA-F]++)*+")
 #: What a private key begins with: a SEQUENCE and its length, then a version of 0 to 2.
 _KEY_HEAD = re.compile(rb"\x30(?:[\x00-\x7f]|\x81[\x80-\xff]|\x82[\x01-\xff][\x00-\xff]|\x83[\x01-\xff][\x00-\xff]{2})\x02\x01[\x00-\x02]")
 _MAGIC = b"openssh-key-v1\0"
-_NOT_TEXT = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _URL = str.maketrans("-_", "+/")
 
 
@@ -160,9 +159,36 @@ def _runs(text: str):
                     yield m.start() + first, end, kind
 
 
+def _marks_backwards(said: str, block: int = 1 << 16):
+    for end in range(len(said), 0, -block):
+        yield from reversed([m.start() for m in _MARKS.finditer(said, max(0, end - block), end)])
+
+
+def _opening(said: str) -> int:
+    """Where the object begins that the last character closes; -1 where it closes none.
+
+    Backwards from there, quotes that aren't escaped open and close strings, in which braces don't count.
+    """
+    depth, quoted = 0, False
+    for at in _marks_backwards(said):
+        mark = said[at]
+        if mark == '"':
+            before = at
+            while before and said[before - 1] == "\\":
+                before -= 1
+            quoted ^= (at - before) % 2 == 0
+        elif not quoted:
+            depth += 1 if mark == "}" else -1
+            if depth == 0:
+                return at
+    return -1
+
+
 def _token_head(part: str) -> int | None:
-    """Where in a part the first JSON object in base64url begins that ends with the part and names an `alg`."""
+    """Where in a part the JSON object in base64url begins that ends with the part and names an `alg`; of several alignments the first."""
     best = None
+    if len(part) < _SHORTEST:
+        return best
     for shift in range(4):
         at = part.find("eyJ")
         while at >= 0 and at % 4 != shift:
@@ -170,25 +196,22 @@ def _token_head(part: str) -> int | None:
         if at < 0 or (len(part) - at) % 4 == 1:
             continue
         said = _base64(part[at:].translate(_URL)).decode("latin-1")
-        # an object has no control characters, and those that begin within strings of another fail at once
-        begin = 0
-        for m in _NOT_TEXT.finditer(said):
-            begin = m.end()
-        begin = said.find('{"', begin)
-        while begin >= 0:
-            try:
-                found, end = _JSON.raw_decode(said, begin) if begin % 3 == 0 else (None, 0)
-            except (ValueError, RecursionError):
-                found, end = None, 0
-            if end == len(said) and isinstance(found, dict) and isinstance(found.get("alg"), str):
-                place = at + begin // 3 * 4
-                best = place if best is None else min(best, place)
-                break
-            begin = said.find('{"', begin + 1)
+        begin = _opening(said) if said.endswith("}") else -1
+        if begin < 0 or begin % 3 or not said.startswith('{"', begin):
+            continue
+        try:
+            found = json.loads(said[begin:])
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(found.get("alg"), str):
+            place = at + begin // 3 * 4
+            best = place if best is None else min(best, place)
     return best
 
 
-_JSON = json.JSONDecoder()
+_MARKS = re.compile(r'["{}]')
+#: Characters of base64url of the shortest object with an `alg`.
+_SHORTEST = len('{"alg":""}') * 4 // 3 + 1
 
 
 def _tokens(text: str):
