@@ -2,41 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources.stores import Store, merge
+
 IDLE_SECONDS = 3600
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by an arrival column."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _one(rows, keys, F.max_by, order)
 
 
 def first_arrival(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _one(rows, keys, F.min_by, order)
+
+
+def _one(rows: DataFrame, keys: list[str], pick, order: str) -> DataFrame:
+    """An aggregate that map tasks begin, in place of a sort of all rows; an order that is null comes first."""
+    one = rows.groupBy(*keys).agg(pick(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.struct(order)).alias("_row"))
+    return one.select("_row.*")
+
 
+def newer(old: Column, new: Column) -> Column:
+    return new
 
-def upsert_sessions(target: DataFrame, batch: DataFrame, order: str) -> DataFrame:
-    """Insert by id; an existing session takes title and last_activity of the batch only."""
-    new = latest(batch, ["session_id"], order).select(*target.columns)
-    t, n = target.alias("t"), new.alias("n")
-    merged = t.join(n, F.col("t.session_id") == F.col("n.session_id"), "full_outer")
-    replaced = ("title", "last_activity")
 
-    def pick(c: str) -> Column:
-        kept = F.col(f"n.{c}") if c in replaced else F.col(f"t.{c}")
-        return F.when(F.col("n.session_id").isNull(), F.col(f"t.{c}")).when(F.col("t.session_id").isNull(), F.col(f"n.{c}")).otherwise(kept).alias(c)
+def upsert_sessions(spark: SparkSession, store: Store, version: int, batch: DataFrame, order: str) -> set[int]:
+    """Insert by id; an existing session takes title and last_activity of the batch only, of several rows the last.
 
-    return merged.select(*map(pick, target.columns))
+    Writes version + 1 of the store, of the buckets that the batch touches, and returns those.
+    """
+    return merge(spark, store, version, latest(batch, store.keys, order), {"title": newer, "last_activity": newer})
 
 
-def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """target and the rows of batch whose key isn't there yet; of several the first to arrive."""
-    new = first_arrival(batch, keys, order).join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(new.select(*target.columns))
+def insert_ignore(spark: SparkSession, store: Store, version: int, batch: DataFrame, order: str) -> set[int]:
+    """Rows of batch whose key isn't in the store yet; of several the first to arrive. Writes version + 1 of the buckets that get
+    a row, and returns those."""
+    return merge(spark, store, version, first_arrival(batch, store.keys, order))
 
 
 def persist_turn(answers: DataFrame) -> DataFrame:

@@ -167,10 +167,15 @@ SELECT rule, count(*) n, min(key) least FROM x GROUP BY 1""",
     "stream_last_activity": "SELECT user_id session_id, max(ts) last_activity FROM events GROUP BY 1",
     "stream_sessions": """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END b FROM events), y AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) g FROM x)
 SELECT user_id session_id, min(ts) started, max(ts) last_activity, count(*) n_events FROM y GROUP BY user_id, g HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(date_trunc('millisecond', ts)) FROM events)""",
-    "stream_session_state": """WITH x AS (SELECT user_id, event_id, epoch_us(ts) // 1000 t, ts, event_type k, CASE WHEN event_type = 'signup' OR epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w > 3600000 THEN 1 ELSE 0 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-y AS (SELECT *, sum(b) OVER w g, sum(CASE WHEN k = 'purchase' THEN 1 ELSE 0 END) OVER w c FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-z AS (SELECT user_id, max(g) g, max(c) c, max(t) t FROM y GROUP BY 1)
-SELECT y.user_id session_id, make_timestamp(any_value(z.t) * 1000) last_activity, count(*) FILTER (y.k IN ('view', 'error') AND y.c = z.c) n_messages, count(*) FILTER (y.k = 'click') n_documents FROM y JOIN z ON y.user_id = z.user_id AND y.g = z.g GROUP BY 1""",
+    "stream_session_state": """WITH RECURSIVE e AS (SELECT *, CASE WHEN act IN ('message', 'clear', 'delete') THEN NULL ELSE 'd' || event_id % 5 END doc, row_number() OVER (PARTITION BY u ORDER BY us, event_id) k
+  FROM (SELECT user_id u, event_id, epoch_us(ts) us, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'message' WHEN 'error' THEN 'detach' WHEN 'purchase' THEN ['clear', 'delete', 'attach'][event_id % 3 + 1] ELSE 'attach' END act FROM events)),
+s AS (SELECT DISTINCT u, CAST(0 AS BIGINT) k, CAST(NULL AS BIGINT) last_us, CAST(0 AS BIGINT) n, CAST([] AS VARCHAR[]) docs, CAST(NULL AS BIGINT) seq, CAST(NULL AS BIGINT) event_id, CAST(NULL AS VARCHAR) reason FROM e
+  UNION ALL SELECT u, k, CASE WHEN reason IS NOT NULL THEN last_us WHEN act = 'delete' THEN NULL ELSE greatest(us, last_us) END, CASE WHEN reason IS NOT NULL THEN n WHEN act IN ('create', 'clear') THEN 0 WHEN act = 'message' THEN n + 1 ELSE n END,
+    CASE WHEN reason IS NOT NULL THEN docs WHEN act = 'create' THEN [doc] WHEN act = 'attach' THEN list_append(docs, doc) WHEN act = 'detach' THEN list_filter(docs, lambda x: x <> doc) ELSE docs END, CASE WHEN reason IS NULL THEN event_id ELSE seq END, event_id, reason
+  FROM (SELECT *, CASE WHEN act = 'create' THEN NULL WHEN last_us IS NULL THEN 'session not found: ' || u WHEN act = 'attach' AND list_contains(docs, doc) THEN 'document already exists in session: ' || doc WHEN act = 'detach' AND NOT list_contains(docs, doc) THEN 'document not found in session: ' || doc END reason
+    FROM (SELECT e.u, e.k, e.us, e.act, e.doc, e.event_id, s.n, s.docs, s.seq, CASE WHEN e.us - s.last_us <= 172800000000 THEN s.last_us END last_us FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1)))
+SELECT u session_id, seq, 'state' outcome, n n_messages, array_to_string(docs, '|') documents, last_us FROM s WHERE last_us IS NOT NULL AND k = (SELECT max(k) FROM e WHERE e.u = s.u) AND (SELECT max(us) FROM e) - last_us <= 172800000000
+UNION ALL SELECT u, event_id, reason, NULL, NULL, NULL FROM s WHERE reason IS NOT NULL""",
     "docs_per_user": f"WITH {SESSIONS}, {FILES} SELECT count(DISTINCT user_id) users, CAST(count(*) AS BIGINT) documents FROM f JOIN ses USING (session_id)",
     "weekly_active_share": "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(DISTINCT user_id) active, round(count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events), 6) share FROM events GROUP BY 1",
     "upload_success_rate": f"WITH {DOCS}, {PAGES} SELECT count(*) uploads, count(*) FILTER (text IS NULL) failures, round(avg(CASE WHEN text IS NULL THEN 0 ELSE 1 END), 6) rate FROM pg",

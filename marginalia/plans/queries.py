@@ -17,6 +17,8 @@ from marginalia.operators import retrieval as R
 from marginalia.operators import tables as B
 from marginalia.plans.tables import Tables
 from marginalia.sources import uploads as U
+from marginalia.sources.stores import Store, create, read
+from marginalia.streaming import sessions as Q
 from marginalia.streaming import streams as S
 
 QUERIES = {}
@@ -407,13 +409,23 @@ def reassemble_stream(t):
 # Tables
 
 
+def stored_keys(t: Tables, rows: DataFrame, key: str) -> Store:
+    """A store in buckets with these rows as its version 0."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    store = Store(shared_path(t.spark, "store"), schema, [key], buckets=16)
+    create(store, rows)
+    return store
+
+
 @query
 def upsert_sessions(t):
     s = t.sessions
     changed = s.where("session_id % 3 = 0").select("session_id", F.lit(-1).cast("long").alias("user_id"), F.lit("changed").alias("title"), "created_at", (F.col("last_activity") + F.expr("interval 1 day")).alias("last_activity"), F.lit(2).alias("seq"))
     older = changed.withColumns({"title": F.lit("older"), "seq": F.lit(1)})
     new = s.where("session_id % 5 = 0").select((-F.col("session_id") - 1).alias("session_id"), "user_id", "title", "created_at", "last_activity", F.lit(1).alias("seq"))
-    return B.upsert_sessions(s, older.unionByName(changed).unionByName(new), "seq")
+    store = stored_keys(t, s, "session_id")
+    B.upsert_sessions(t.spark, store, 0, older.unionByName(changed).unionByName(new), "seq")
+    return read(t.spark, store, 1)
 
 
 @query
@@ -421,7 +433,9 @@ def insert_ignore(t):
     first = F.struct("uploaded_at", "filename", "pages")
     files = t.files.withColumn("at", first)
     target = files.where("session_id % 2 = 0").groupBy("doc_id").agg(F.max("at").alias("x")).select("doc_id", "x.filename")
-    return B.insert_ignore(target, files, ["doc_id"], "at")
+    store = stored_keys(t, target, "doc_id")
+    B.insert_ignore(t.spark, store, 0, files, "at")
+    return read(t.spark, store, 1)
 
 
 @query
@@ -617,37 +631,60 @@ def text_cuts(t):
 @query
 def stream_chunks(t):
     docs = S.read_stream(t.spark, t.sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return S.drained(S.stream_chunks(docs).select("doc_id", "chunk_id", "chunk_index"))
+    return S.drained(S.stream_chunks(docs).select("doc_id", "chunk_id", "chunk_index")).drop("batch")
 
 
 @query
 def stream_dedup_messages(t):
+    """Messages once by id, merged into a store batch by batch."""
     events = S.read_stream(t.spark, t.sf_dir, "events").select(F.floor(F.col("event_id") / 4).cast("string").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))
-    return S.drained(S.stream_dedup_messages(events, delay="60 days").select("id"))
+    store = Store(shared_path(t.spark, "store"), "id string, created_at timestamp", ["id"], buckets=16)
+    create(store, t.spark.createDataFrame([], store.schema))
+    batches = []
+    sink = S.merge_messages(store)
+
+    def counted(rows, batch):
+        sink(rows, batch)
+        batches.append(batch)
+
+    S.run_all(S.stream_dedup_messages(events, delay="60 days"), counted)
+    return read(t.spark, store, max(batches, default=-1) + 1).select("id")
 
 
 @query
 def stream_last_activity(t):
     events = S.read_stream(t.spark, t.sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return S.drained(S.stream_last_activity(events), "complete")
+    return S.latest_versions(S.drained(S.stream_last_activity(events), "update"))
 
 
 @query
 def stream_sessions(t):
     """Spells over by the end of the stream."""
     events = S.read_stream(t.spark, t.sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return S.drained(S.stream_sessions(events))
+    return S.drained(S.stream_sessions(events)).drop("batch")
+
+
+STATE_IDLE = 2 * 86_400
+
+
+def session_actions(events: DataFrame) -> DataFrame:
+    """Kinds of events stand for actions on the session of their user."""
+    kind, third = F.col("event_type"), F.col("event_id") % 3
+    action = F.when(kind == "signup", "create").when(kind == "view", "message").when(kind == "error", "detach")
+    action = action.when((kind == "purchase") & (third == 0), "clear").when((kind == "purchase") & (third == 1), "delete").otherwise("attach")
+    doc = F.when(~action.isin("message", "clear", "delete"), F.concat(F.lit("d"), (F.col("event_id") % 5).cast("string")))
+    return events.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), action.alias("action"), doc.alias("doc_id"))
 
 
 @query
 def stream_session_state(t):
-    """The last state of each session; kinds of events stand for actions."""
-    kind = F.col("event_type")
-    action = F.when(kind == "signup", "create").when(kind == "click", "attach").when(kind == "purchase", "clear").otherwise("message")
-    events = S.read_stream(t.spark, t.sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), action.alias("action"))
-    seen = S.drained(S.stream_session_state(events, "60 days"), "update")
-    last = seen.groupBy("session_id").agg(F.max(F.struct("last_activity", "n_messages", "n_documents")).alias("x"))
-    return last.select("session_id", "x.*")
+    """Sessions alive at the end of the log, with an idle limit of two days, and all actions that were refused."""
+    with Q.rocksdb(t.spark):
+        seen = S.drained(Q.stream_session_state(session_actions(S.read_stream(t.spark, t.sf_dir, "events")), "0 seconds", STATE_IDLE), "update")
+    end = t.activity.agg(F.max(F.col("ts").cast("timestamp")).alias("end"))
+    live = Q.live_sessions(seen, end, STATE_IDLE).select("session_id", "seq", F.lit("state").alias("outcome"), "n_messages", joined("documents").alias("documents"), F.unix_micros("last_activity").alias("last_us"))
+    refused = seen.where("kind = 'refused'").select("session_id", "seq", F.col("reason").alias("outcome"), F.lit(None).cast("long").alias("n_messages"), F.lit(None).cast("string").alias("documents"), F.lit(None).cast("long").alias("last_us"))
+    return live.unionByName(refused)
 
 
 # Figures

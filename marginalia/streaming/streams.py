@@ -1,18 +1,16 @@
-"""Continuous jobs: chunks of new files, messages once by id, last activity, spells, session state."""
+"""Continuous jobs: chunks of new files, messages once by id, last activity, spells."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marginalia.functions.shared import shared_path
 from marginalia.operators.chunking import chunk_rows
 from marginalia.operators.tables import first_arrival
+from marginalia.sources.stores import Store, merge
 
 IDLE = "1 hour"
-IDLE_MS = 3_600_000
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -24,17 +22,24 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return stream.parquet(f"{folder}/{name}.parquet")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives once all that is there is read. Batches are written side by side in the shared folder;
-    a repeated batch overwrites itself."""
-    spark, path = stream.sparkSession, shared_path(stream.sparkSession, "stream")
+def run_all(stream: DataFrame, sink, mode: str = "append", progress: str | None = None) -> None:
+    """Reads all that is there, from where `progress` (a checkpoint folder) ends."""
+    progress = progress or shared_path(stream.sparkSession, "progress")
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).foreachBatch(sink).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def drained(stream: DataFrame, mode: str = "append", path: str | None = None, progress: str | None = None) -> DataFrame:
+    """What a stream gives once all that is there is read, with the number of its batch. Batches are written side by side in
+    a folder; a repeated batch overwrites itself."""
+    spark = stream.sparkSession
+    path = path or shared_path(spark, "stream")
 
     def sink(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else f'batch={batch}'}")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "progress")).foreachBatch(sink).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path + ("/all" if mode == "complete" else "/batch=*"))
+    run_all(stream, sink, mode, progress)
+    return spark.read.schema(stream.schema.add("batch", "long")).option("basePath", path).parquet(f"{path}/batch=*")
 
 
 def stream_chunks(docs: DataFrame) -> DataFrame:
@@ -47,70 +52,30 @@ def stream_dedup_messages(messages: DataFrame, ts: str = "created_at", delay: st
     return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def merge_messages(target_path: str, schema: str):
-    """A sink for foreachBatch that appends the messages whose id isn't in the table at target_path yet, of several the first.
+def merge_messages(store: Store):
+    """A sink for foreachBatch that inserts the messages whose id isn't in the store yet, of several the first.
 
-    Each batch is a folder of its own, which a repeated batch writes anew; of what is there only ids are read.
+    Batch n reads version n of the store and writes version n + 1, of the buckets that get a message only. A repeated
+    batch writes the same again.
     """
 
     def sink(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        before = spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
-        if batch:
-            before = spark.read.schema(f"{schema}, batch long").option("ignoreMissingFiles", "true").parquet(target_path).where(F.col("batch") < batch)
-        new = first_arrival(rows, ["id"], "created_at").join(before.select("id"), "id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{target_path}/batch={batch}")
+        merge(rows.sparkSession, store, batch, first_arrival(rows, store.keys, "created_at"))
 
     return sink
 
 
 def stream_last_activity(messages: DataFrame, ts: str = "ts", key: str = "session_id") -> DataFrame:
-    """For complete or update mode."""
+    """For update mode: a batch gives the sessions whose time it changed. `latest_versions` reads what `drained` wrote of it."""
     return messages.groupBy(key).agg(F.max(ts).alias("last_activity"))
 
 
+def latest_versions(changes: DataFrame, key: str = "session_id") -> DataFrame:
+    """The newest row of each key among the changes of all batches (column batch)."""
+    return changes.groupBy(key).agg(F.max_by("last_activity", "batch").alias("last_activity"))
+
+
 def stream_sessions(activity: DataFrame, ts: str = "ts", key: str = "session_id", delay: str = "0 seconds") -> DataFrame:
     """Spells of activity that an hour without any ends; append mode gives a spell when it is over."""
     spells = activity.withWatermark(ts, delay).groupBy(F.session_window(ts, IDLE).alias("w"), key).agg(F.count("*").alias("n_events"), F.max(ts).alias("last_activity"))
     return spells.select(key, F.col("w.start").alias("started"), "last_activity", "n_events")
-
-
-STATE = "session_id long, last_activity timestamp, n_messages long, n_documents long"
-
-
-def fold_actions(key: tuple, batches, state: GroupState):
-    """Folds create, message, clear, attach, detach and delete in order of time into counts; an idle hour ends a session.
-
-    State holds counts and a time only. A timer an hour after the last activity drops it.
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last, messages, documents = state.get if state.exists else (0, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    for ts, action in zip(rows["ts"], rows["action"]):
-        now = int(ts.value // 1_000_000)
-        if action == "create" or (last and now - last > IDLE_MS):
-            messages = documents = 0
-        if action == "delete":
-            last, messages, documents = 0, 0, 0
-            continue
-        if action == "clear":
-            messages = 0
-        messages += action == "message"
-        documents = max(0, documents + (action == "attach") - (action == "detach"))
-        last = now
-    if not last:
-        if state.exists:
-            state.remove()
-        return
-    state.update((last, messages, documents))
-    state.setTimeoutTimestamp(max(last + IDLE_MS + 1, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"session_id": [key[0]], "last_activity": [pd.Timestamp(last, unit="ms")], "n_messages": [messages], "n_documents": [documents]})
-
-
-def stream_session_state(actions: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """actions (seq, ts, session_id, action) -> the state of each session after each batch; update mode."""
-    return actions.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(
-        fold_actions, STATE, "last_ms long, n_messages long, n_documents long", "update", GroupStateTimeout.EventTimeTimeout
-    )

@@ -14,7 +14,6 @@ from marginalia.operators import prompts as P
 from marginalia.operators import retrieval as R
 from marginalia.operators import tables as B
 from marginalia.plans.queries import QUERIES
-from marginalia.streaming.streams import merge_messages
 from pyspark.sql import functions as F
 
 ODD = ["", " ", "a b　c\x85d", "a\x1cb c", "é" * 60, "漢" * 40 + "x", "🙂" * 30, "  padded\t\n", None]
@@ -223,16 +222,3 @@ def test_unset_shared_folder_on_a_cluster():
         shared_path(Session, "x")
     Session.sparkContext.master = "local[2]"
     assert shared_path(Session, "x").startswith("file:///")
-
-
-def test_merge_of_late_messages(spark, tmp_path):
-    schema = "id string, created_at timestamp"
-    rows = lambda *x: spark.createDataFrame([(i, datetime.datetime(2024, 1, d)) for i, d in x], schema)
-    sink = merge_messages(str(tmp_path / "t"), schema)
-    sink(rows(("a", 1), ("b", 2), ("a", 3)), 0)
-    for _ in range(2):  # a repeated batch changes nothing
-        sink(rows(("b", 9), ("c", 4), ("c", 3)), 1)
-    sink(rows(("a", 9)), 2)
-    sink(rows(("d", 9), ("c", 1)), 3)
-    got = sorted((r.id, r.created_at.day) for r in spark.read.schema(schema).parquet(str(tmp_path / "t")).collect())
-    assert got == [("a", 1), ("b", 2), ("c", 3), ("d", 9)]
