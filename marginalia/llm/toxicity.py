@@ -27,10 +27,10 @@ both classes every text scores 0; empty tables give empty results; other columns
 from __future__ import annotations
 
 import gc
+import pickle
 import re
 import string
 import unicodedata
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 from heapq import nlargest
@@ -57,8 +57,8 @@ class Sizes:
 
     toxic_texts: int = 1_200
     clean_texts: int = 2_500
-    #: Distinct strings of a sentence, summed over sentences, that are taken from one text; sentences of the smallest hashes first.
-    strings: int = 20_000
+    #: Code points of a labelled text; longer ones are not learnt from.
+    chars: int = 200_000
     landmarks: int = 384
     rounds: int = 3
     #: Positive strings, and of these the ones that are learnt in disguise, too.
@@ -67,8 +67,6 @@ class Sizes:
     #: Negative strings: the most frequent, drawn ones, and the closest ones of so many drawn each round.
     common: int = 3_000
     drawn: int = 6_000
-    #: Words common in harmless texts.
-    frequent: int = 20_000
     hard: int = 5_000
     hard_of: int = 200_000
 
@@ -459,24 +457,35 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _strings(most: int, common):
-    """(doc_id, text) -> words and windows of its sentences, `most` at most: whole sentences, of the smallest hashes first."""
+def _strings(common):
+    """(doc_id, text, toxic) -> words and windows of its sentences, and the label."""
 
     def run(batches):
         for part, texts in text_blocks(batches, 4 << 20):
-            found = []
-            for text in texts:
-                own, left = [{"words": sorted(w), "windows": sorted(p)} for w, p in sentences(text, common.value)], most
-                if sum(len(x["words"]) + len(x["windows"]) for x in own) > most:
-                    own.sort(key=lambda x: zlib.crc32("\n".join(x["words"]).encode("utf-8", "surrogatepass")))
-                kept = []
-                for x in own:
-                    left -= len(x["words"]) + len(x["windows"])
-                    if left < 0:
-                        break
-                    kept.append(x)
-                found.append(kept)
-            yield record_batch({"doc_id": part.column(0), "sentences": pa.array(found, pa.list_(pa.struct([("words", pa.list_(pa.string())), ("windows", pa.list_(pa.string()))])))})
+            found = [[{"words": sorted(w), "windows": sorted(p)} for w, p in sentences(text, common.value)] for text in texts]
+            yield record_batch({
+                "doc_id": part.column(0), "toxic": part.column(2),
+                "sentences": pa.array(found, pa.list_(pa.struct([("words", pa.list_(pa.string())), ("windows", pa.list_(pa.string()))]))),
+            })
+
+    return run
+
+
+def _fit(common, clean_weight: float, sizes: Sizes):
+    """Rows of one task, in order -> the model of all of them, as bytes."""
+
+    def run(batches):
+        def read():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    yield [(x["words"], x["windows"]) for x in row["sentences"]], row["toxic"]
+
+        model = fit_strings(read(), common.value, clean_weight, sizes=sizes)
+        yield record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+        del model
+        gc.collect()
+        give_back()
 
     return run
 
@@ -489,22 +498,23 @@ def train(docs: DataFrame, labels: DataFrame, sizes: Sizes = Sizes()) -> Model:
     sample = known.where("toxic = 1").orderBy(*order).limit(sizes.toxic_texts).unionAll(known.where("toxic = 0").orderBy(*order).limit(sizes.clean_texts))
     sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     spark = docs.sparkSession
-    texts = written(id_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "sample")  # at most toxic_texts + clean_texts ids
+    short = id_text(docs).where(F.length("text") <= sizes.chars)
+    texts = written(short.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "sample")  # at most toxic_texts + clean_texts ids
     clean = texts.where("toxic = 0")
     seen = clean.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).groupBy("w").count().where(F.length("w") <= WINDOW_PART)
     n_clean = clean.count()
-    seen = seen.where(F.col("count") >= max(2, COMMON * n_clean)).orderBy(F.desc("count"), "w").limit(sizes.frequent)
-    common = frequent(seen.collect(), n_clean)
-    schema = "doc_id long, sentences array<struct<words:array<string>,windows:array<string>>>"
-    strings_ = texts.select("doc_id", "text").mapInArrow(_strings(sizes.strings, spark.sparkContext.broadcast(common)), schema)
-    rows = strings_.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "sentences").orderBy("doc_id", "toxic", F.xxhash64("sentences"))
+    common = frequent(seen.where(F.col("count") >= max(2, COMMON * n_clean)).collect(), n_clean)
+    shared = spark.sparkContext.broadcast(common)
+    rows = texts.mapInArrow(_strings(shared), "doc_id long, toxic int, sentences array<struct<words:array<string>,windows:array<string>>>")
+    rows = written(rows, "strings")
     taken = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     share = lambda k: taken.get(k, 0) / max(1, counts.get(k, 0))
-    read = (([(x.words, x.windows) for x in r.sentences], r.toxic) for r in rows.toLocalIterator())
-    model = fit_strings(read, common, min(10.0, share(1) / max(share(0), 1e-9)), sizes=sizes)
-    gc.collect()
-    give_back()
-    return model
+    weight = min(10.0, share(1) / max(share(0), 1e-9))
+    # one task learns from the sample, which the bounds of `sizes` hold small; the driver gets the model alone
+    one = rows.orderBy("doc_id", "toxic", F.xxhash64("sentences")).coalesce(1).select("toxic", "sentences")
+    found = one.mapInArrow(_fit(shared, weight, sizes), "model binary").collect()
+    shared.destroy()
+    return pickle.loads(found[0].model) if found else Model()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
