@@ -10,7 +10,8 @@ PDF_QUOTA, QUESTION_QUOTA = 10, 50
 
 def docs_per_user(documents: DataFrame, sessions: DataFrame) -> DataFrame:
     own = documents.join(sessions.select("session_id", "user_id"), "session_id")
-    return own.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("users"), F.sum("n").alias("documents"))
+    of_user = own.groupBy("user_id").agg(F.count("*").alias("n"))
+    return of_user.agg(F.count("*").alias("users"), F.sum("n").alias("documents"), F.round(F.avg("n"), 6).alias("average"))
 
 
 def weekly_active_share(activity: DataFrame, n_users: int | DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ s AS (SELECT DISTINCT u, CAST(0 AS BIGINT) k, CAST(NULL AS BIGINT) last_us, CAST
     FROM (SELECT e.u, e.k, e.us, e.act, e.doc, e.event_id, s.n, s.docs, s.seq, CASE WHEN e.us - s.last_us <= 172800000000 THEN s.last_us END last_us FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1)))
 SELECT u session_id, seq, 'state' outcome, n n_messages, array_to_string(docs, '|') documents, last_us FROM s WHERE last_us IS NOT NULL AND k = (SELECT max(k) FROM e WHERE e.u = s.u) AND (SELECT max(us) FROM e) - last_us <= 172800000000
 UNION ALL SELECT u, event_id, reason, NULL, NULL, NULL FROM s WHERE reason IS NOT NULL""",
-    "docs_per_user": f"WITH {SESSIONS}, {FILES} SELECT count(DISTINCT user_id) users, CAST(count(*) AS BIGINT) documents FROM f JOIN ses USING (session_id)",
+    "docs_per_user": f"WITH {SESSIONS}, {FILES} SELECT count(DISTINCT user_id) users, CAST(count(*) AS BIGINT) documents, round(count(*) / count(DISTINCT user_id), 6) average FROM f JOIN ses USING (session_id)",
     "weekly_active_share": "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(DISTINCT user_id) active, round(count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events), 6) share FROM events GROUP BY 1",
     "upload_success_rate": f"WITH {DOCS}, {PAGES} SELECT count(*) uploads, count(*) FILTER (text IS NULL) failures, round(avg(CASE WHEN text IS NULL THEN 0 ELSE 1 END), 6) rate FROM pg",
     "answer_found_rate": f"{VERDICT} SELECT count(*) answers, round(avg(CASE WHEN contains(lower(answer), 'not found') OR contains(lower(answer), 'not available') OR contains(lower(answer), 'cannot find') THEN 0 ELSE 1 END), 6) rate FROM v",
