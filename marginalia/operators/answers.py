@@ -107,11 +107,6 @@ def session_summaries(requests: DataFrame, sessions: DataFrame, docs: DataFrame)
     )
 
 
-def with_answers(prompts: DataFrame, answer_fn, schema: str) -> DataFrame:
-    """Answers by a given function of pandas batches, run through mapInPandas; the mock rules are the default."""
-    return prompts.mapInPandas(answer_fn, schema)
-
-
 def token_groups(rows: DataFrame, text: str) -> DataFrame:
     """rows with pos and piece: three words and the white space before and between them at a time; all join to the text."""
     rest = [c for c in rows.columns if c != text]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.shared import shared_path
 from marginalia.functions.text import byte_prefix, fields, trim_space
 from marginalia.operators import answers as A
+from marginalia.operators import asking as N
 from marginalia.operators import chunking as K
 from marginalia.operators import context as C
 from marginalia.operators import metrics as M
@@ -335,19 +335,23 @@ def mock_answer(t):
     return q.select("question_id", found.alias("found"), A.mock_answer(found, F.col("message")).alias("answer"))
 
 
-@query
-def with_answers(t):
-    """The mock rules as a given function of batches."""
+def reply(request: dict) -> str:
+    """The mock rules as an answer function."""
+    head = request["context_head"]
+    return f"Based on {head}: {request['message']}" if len(head) % 2 else "nothing found"
 
-    def reply(batches):
-        for rows in batches:
-            found = rows["context_head"].str.len() % 2 == 1
-            text = ("Based on " + rows["context_head"] + ": " + rows["message"]).where(found, "nothing found")
-            yield pd.DataFrame({"question_id": rows["question_id"], "response": text})
 
+@query
+def with_answers(t):
+    """Every question answered through a store of answers; the second run finds all of them there."""
     head = t.documents.groupBy("session_id").agg(F.min("filename").alias("context_head"))
-    prompts = t.questions.join(head, "session_id").select("question_id", "message", "context_head")
-    return A.with_answers(prompts, reply, "question_id string, response string")
+    path = shared_path(t.spark, "prompts")
+    t.questions.join(head, "session_id").select("question_id", "message", "context_head").write.parquet(path)
+    prompts, store = t.spark.read.parquet(path), N.answer_store(shared_path(t.spark, "answers"), buckets=16)
+    create(store, t.spark.createDataFrame([], store.schema))
+    _, version = N.with_stored_answers(prompts, ["message", "context_head"], reply, store, 0)
+    answers, _ = N.with_stored_answers(prompts, ["message", "context_head"], reply, store, version)
+    return answers.select("question_id", "response")
 
 
 @query
