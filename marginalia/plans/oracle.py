@@ -69,6 +69,8 @@ def body(system: str, user: str, limits: tuple[int, float]) -> str:
 ORACLE = {
     "src_upload_dir": f"WITH {DOCS} SELECT doc_id, CAST(strlen(text) AS INTEGER) bytes, md5(text) digest FROM docs",
     "src_text": f"WITH {DOCS} SELECT doc_id, CAST(strlen(text) AS INTEGER) bytes, md5(text) digest FROM docs",
+    "src_upload_source": f"WITH {DOCS} SELECT doc_id, CAST(strlen(text) AS INTEGER) bytes, md5(text) digest FROM docs",
+    "src_upload_stream": f"WITH {DOCS} SELECT doc_id, CAST(strlen(text) AS INTEGER) bytes, md5(text) digest FROM docs",
     "snk_tables": f"""WITH {SESSIONS}, {FILES}, {MSG}, {USERS} SELECT 'sessions' AS name, CAST(session_id AS VARCHAR) AS key, title AS value FROM ses UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), filename FROM f
 UNION ALL SELECT 'messages', id, md5(content) FROM msg UNION ALL SELECT 'users', CAST(id AS VARCHAR), email FROM us""",
     "src_tables": f"WITH {SESSIONS}, {FILES}, {USERS} SELECT session_id, us.name, (SELECT count(*) FROM f WHERE f.session_id = ses.session_id) n FROM ses LEFT JOIN us ON us.id = ses.user_id",

@@ -16,6 +16,7 @@ from marginalia.operators import prompts as P
 from marginalia.operators import retrieval as R
 from marginalia.operators import tables as B
 from marginalia.plans.tables import Tables
+from marginalia.sources import upload_source as V
 from marginalia.sources import uploads as U
 from marginalia.sources.stores import Store, create, read
 from marginalia.streaming import sessions as Q
@@ -84,6 +85,24 @@ def src_text(t):
     return digests(U.text_documents(t.spark, stored(t)).select(unpacked(F.col("text")).alias("line")))
 
 
+def upload_rows(files: DataFrame) -> DataFrame:
+    return digests(files.where("reject_reason is null").select(unpacked(F.decode("content", "UTF-8")).alias("line")))
+
+
+@query
+def src_upload_source(t):
+    """Stored files through the data source of uploads."""
+    V.register(t.spark)
+    return upload_rows(t.spark.read.format("uploads").options(path=stored(t), pattern="part-*", mime="*").load())
+
+
+@query
+def src_upload_stream(t):
+    """The same files as a stream, in one batch or more."""
+    V.register(t.spark)
+    return upload_rows(S.drained(t.spark.readStream.format("uploads").options(path=stored(t), pattern="part-*", mime="*").load()))
+
+
 @query
 def snk_tables(t):
     path = shared_path(t.spark, "tables")
