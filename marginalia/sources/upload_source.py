@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from marginalia.sources.uploads import MAX_BYTES, MIME
 
 SCHEMA = "path string, filename string, modified timestamp, length long, reject_reason string, content binary"
+#: Content and rows of an Arrow batch.
+BATCH_BYTES, BATCH_ROWS = 4 * 1024 * 1024, 10_000
 
 
 class Stored(NamedTuple):
@@ -106,6 +108,22 @@ class Folder:
                     reason = "unreadable"
             yield path, name, datetime.fromtimestamp(micros / 1_000_000, timezone.utc), length, reason, content
 
+    def batches(self, files: Iterable[Stored]) -> Iterator:
+        """The rows as Arrow batches of BATCH_BYTES of content, or of one file, so that a task doesn't hold its files at once."""
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string(), pa.binary()]
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        held, size = [], 0
+        for row in self.rows(files):
+            held.append(row)
+            size += len(row[-1] or b"")
+            if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+
 
 class UploadReader(DataSourceReader):
     def __init__(self, folder: Folder):
@@ -114,8 +132,8 @@ class UploadReader(DataSourceReader):
     def partitions(self) -> list[Pack]:
         return self.folder.packed(self.folder.settled()) or [Pack([])]
 
-    def read(self, partition: Pack) -> Iterator[tuple]:
-        return self.folder.rows(partition.files)
+    def read(self, partition: Pack) -> Iterator:
+        return self.folder.batches(partition.files)
 
 
 class UploadStream(DataSourceStreamReader):
@@ -137,8 +155,8 @@ class UploadStream(DataSourceStreamReader):
         low, high = (start["micros"], start["path"]), (end["micros"], end["path"])
         return self.folder.packed(f for f in self.folder.listed() if low < (f.micros, f.path) <= high)
 
-    def read(self, partition: Pack) -> Iterator[tuple]:
-        return self.folder.rows(partition.files)
+    def read(self, partition: Pack) -> Iterator:
+        return self.folder.batches(partition.files)
 
 
 class UploadSource(DataSource):
