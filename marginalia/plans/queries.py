@@ -100,7 +100,7 @@ def src_upload_source(t):
 def src_upload_stream(t):
     """The same files as a stream, in one batch or more."""
     V.register(t.spark)
-    return upload_rows(S.drained(t.spark.readStream.format("uploads").options(path=stored(t), pattern="part-*", mime="*").load()))
+    return S.drained(upload_rows(t.spark.readStream.format("uploads").options(path=stored(t), pattern="part-*", mime="*").load())).drop("batch")
 
 
 @query
