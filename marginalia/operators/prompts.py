@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import cut
+from marginalia.operators.histories import history_blocks, with_history
 
 # Fixed values.
 INSTRUCTION = (
@@ -54,16 +55,12 @@ LAST = 4
 
 
 def history_lines(messages: DataFrame, last: int | None = None) -> DataFrame:
-    """For each user message its id, session_id, content and history: lines of earlier messages (the last few).
+    """For each user message its id, session_id, msg_seq, content and history: lines of earlier messages (the last few).
 
-    Roles other than user and assistant are dropped before lines are counted. A bounded history keeps the window
-    small; the full one grows with the session.
+    Roles other than user and assistant are dropped before lines are counted. The full history grows with the session; where
+    no text is written, `histories.history_blocks` keeps it in rows that grow with the messages.
     """
-    own = messages.where(F.col("role").isin("user", "assistant"))
-    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), "content")
-    before = Window.partitionBy("session_id").orderBy("msg_seq").rowsBetween(-last if last else Window.unboundedPreceding, -1)
-    out = own.withColumn("history", F.collect_list(line).over(before))
-    return out.where(F.col("role") == "user").select("id", "session_id", "msg_seq", "content", "history")
+    return with_history(*history_blocks(messages), last).drop("n_lines")
 
 
 def question_prompt(context: Column, history: Column, question: Column) -> Column:

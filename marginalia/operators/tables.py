@@ -124,11 +124,22 @@ def clear_messages(messages: DataFrame, clears: DataFrame) -> DataFrame:
     return messages.join(last, "session_id", "left").where("_clear is null or msg_seq > _clear").drop("_clear")
 
 
+def clear_sessions(sessions: DataFrame, messages: DataFrame, clears: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """clears (session_id, clear_seq, created_at) -> (sessions with the clearing as activity, messages that stay)."""
+    return touch_last_activity(sessions, clears), clear_messages(messages, clears)
+
+
+def _attachable(current: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(batch with _n, its number among requests of its link; those of _n = 1 whose link isn't there yet)."""
+    keys = ["session_id", "doc_id"]
+    ranked = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("seq")))
+    return ranked, ranked.where("_n = 1").join(current.select(*keys), keys, "left_anti")
+
+
 def attach_documents(current: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """current (session_id, doc_id, doc_pos) and batch (session_id, doc_id, seq) -> (links, duplicates refused)."""
     keys = ["session_id", "doc_id"]
-    ranked = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("seq")))
-    new = ranked.where("_n = 1").join(current.select(*keys), keys, "left_anti")
+    ranked, new = _attachable(current, batch)
     refused = ranked.join(new.select(*keys, "seq"), [*keys, "seq"], "left_anti").drop("_n")
     size = current.groupBy("session_id").agg((F.max("doc_pos") + 1).alias("_size"))
     place = F.coalesce("_size", F.lit(0)) + F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1
@@ -136,6 +147,14 @@ def attach_documents(current: DataFrame, batch: DataFrame) -> tuple[DataFrame, D
     return current.select(*keys, "doc_pos").unionByName(added), refused
 
 
+def attach_to_sessions(sessions: DataFrame, current: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """batch (session_id, doc_id, seq, created_at) -> (sessions with what was attached as activity, links, duplicates refused).
+
+    A refused request leaves its session as it was.
+    """
+    return touch_last_activity(sessions, _attachable(current, batch)[1]), *attach_documents(current, batch)
+
+
 def detach_documents(current: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links that stay, requests whose link isn't there)."""
     keys = ["session_id", "doc_id"]
@@ -143,8 +162,13 @@ def detach_documents(current: DataFrame, gone: DataFrame) -> tuple[DataFrame, Da
 
 
 def session_document_count(documents: DataFrame) -> DataFrame:
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "filename", "pages"))), lambda x: F.concat_ws(":", x["doc_id"], x["filename"], x["pages"].cast("string"))), ",")
-    return documents.groupBy("session_id").agg(F.count("*").alias("n_documents"), listed.alias("documents"))
+    """session_id, n_documents, doc_id, filename, pages: a row a document, with the number of documents of its session.
+
+    Numbers are broadcast or joined as Spark sees fit; no session is gathered.
+    """
+    n = documents.groupBy(F.col("session_id").alias("_session")).agg(F.count("*").alias("n_documents"))
+    out = documents.join(n, F.col("session_id").eqNullSafe(F.col("_session")))
+    return out.select("session_id", "n_documents", "doc_id", "filename", "pages")
 
 
 def session_history(messages: DataFrame, sessions: DataFrame, docs: DataFrame) -> DataFrame:
@@ -178,37 +202,6 @@ def lookup_users(users: DataFrame, requests: DataFrame, key: str = "email") -> D
     return users.join(requests.select(key).distinct(), key, "left_semi").drop("password_hash")
 
 
-def constraint_audit(users: DataFrame, sessions: DataFrame, documents: DataFrame, messages: DataFrame) -> DataFrame:
-    """rule, key of every row (or duplicated key) that breaks a rule of the tables."""
-
-    def broken(rule, rows, key):
-        return rows.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
-
-    def repeated(rule, rows, key):
-        return broken(rule, rows.groupBy(key).count().where("count > 1"), key)
-
-    def orphans(rule, rows, key, parents, parent):
-        return broken(rule, rows.join(parents.select(F.col(parent).alias(key)), key, "left_anti"), key)
-
-    parts = [
-        broken("users.email null", users.where("email is null"), "id"),
-        repeated("users.id repeated", users, "id"),
-        repeated("users.email repeated", users, "email"),
-        repeated("sessions.session_id repeated", sessions, "session_id"),
-        orphans("sessions.user_id orphan", sessions, "user_id", users, "id"),
-        broken("documents.filename null", documents.where("filename is null"), "doc_id"),
-        repeated("documents.doc_id repeated", documents, "doc_id"),
-        orphans("documents.session_id orphan", documents, "session_id", sessions, "session_id"),
-        broken("messages.role unknown", messages.where("role not in ('user', 'assistant')"), "id"),
-        broken("messages.content null", messages.where("content is null"), "id"),
-        repeated("messages.id repeated", messages, "id"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def relative_date(ts: Column, now: Column) -> Column:
     days = F.floor((F.unix_micros(now) - F.unix_micros(ts)) / 86_400_000_000)
     return F.when(days == 0, "Today").when(days == 1, "Yesterday").when(days < 7, F.concat(days.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(ts, "M/d/yyyy"))

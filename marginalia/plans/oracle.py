@@ -101,10 +101,12 @@ a AS (SELECT q.*, c.previews, len(list_filter({WORDS.format('lq')}, lambda x: st
 SELECT question_id, session_id, CASE WHEN ok THEN CASE WHEN found THEN {text(A.MOCK_FOUND[0])} || message || {text(A.MOCK_FOUND[1])} ELSE {text(A.MOCK_NOT_FOUND)} END END response, CASE WHEN ok THEN found END answer_found,
   CASE WHEN ok THEN previews END relevant_chunks, CASE WHEN ok THEN 1 END n_citations, CASE WHEN NOT ok THEN 'SESSION_NOT_FOUND' END error FROM k""",
     "history_lines": f"WITH {HIST} SELECT id, CAST(len(lines) AS INTEGER) n, md5(array_to_string(lines, '|')) digest FROM h",
+    "history_blocks": f"WITH {HIST} SELECT session_id, CAST((p - 1) // 32 AS BIGINT) block, CAST(count(*) AS INTEGER) n, md5(string_agg(line, '|' ORDER BY p)) digest FROM own GROUP BY 1, 2",
+    "history_lengths": f"WITH {HIST} SELECT id, session_id, CAST(p - 1 AS BIGINT) n_lines FROM own WHERE role = 'user'",
     "question_prompt": f"""{RANKED}, c AS (SELECT question_id id, 'Document Context:' || chr(10) || chr(10) || string_agg({PART}, '' ORDER BY rank) context FROM rk GROUP BY 1), {HIST},
 p AS (SELECT id, coalesce(context, 'Document Context:' || chr(10) || chr(10)) || chr(10) || chr(10) || CASE WHEN len(lines) > 0 THEN 'Previous conversation:' || chr(10) || array_to_string(list_transform(lines[-4:], lambda x: '- ' || x || chr(10)), '') || chr(10) ELSE '' END || 'Question: ' || content || {text(chr(10) * 2 + P.INSTRUCTION)} prompt FROM h LEFT JOIN c USING (id))
 SELECT id, CAST(strlen(prompt) AS INTEGER) bytes, md5(prompt) digest FROM p""",
-    "chat_messages_array": f"""WITH {DOCS}, {HIST}, t AS (SELECT session_id, arg_max(text, (strlen(text), no)) t FROM docs GROUP BY 1), x AS (SELECT h.id, h.content, h.lines, coalesce(t.t, '') t FROM h LEFT JOIN t ON t.session_id = 'src' || (CAST(split_part(h.id, '-', 1) AS BIGINT) % 20))
+    "chat_messages_array": f"""{RANKED}, c AS (SELECT question_id id, 'Document Context:' || chr(10) || chr(10) || string_agg({PART}, '' ORDER BY rank) t FROM rk GROUP BY 1), {HIST}, x AS (SELECT h.id, h.content, h.lines, coalesce(c.t, 'Document Context:' || chr(10) || chr(10)) t FROM h LEFT JOIN c USING (id))
 SELECT id, CAST(n AS INTEGER) n, role, md5(content) digest FROM (SELECT id, 0 n, 'system' AS role, {text(P.SYSTEM_HEAD)} || {cut('t', P.CHAT_BYTES, P.CHAT_SUFFIX)} || {text(P.SYSTEM_TAIL_CHAT)} content FROM x
   UNION ALL SELECT id, i, CASE WHEN i % 2 = 0 THEN 'assistant' ELSE 'user' END, lines[i] FROM x, LATERAL (SELECT unnest(range(1, len(lines) + 1)) i) UNION ALL SELECT id, len(lines) + 1, 'user', content FROM x)""",
     "chat_single_turn": f"WITH {DOCS} SELECT doc_id, 0 n, 'system' AS role, md5({text(P.SYSTEM_HEAD)} || text || {text(P.SYSTEM_TAIL_SINGLE)}) digest FROM docs UNION ALL SELECT doc_id, 1, 'user', md5('What is this about?') FROM docs",
@@ -116,7 +118,8 @@ UNION ALL SELECT doc_id, 'chat', {body(f"{text(P.SYSTEM_HEAD)} || text || {text(
     "parse_completion": f"WITH {MSG}, x AS (SELECT *, (session_id + msg_seq) % 4 n FROM msg WHERE role = 'assistant') SELECT id, CASE WHEN n = 3 THEN {TRIM.format('content')} END answer, CASE n WHEN 0 THEN 'no choices' WHEN 1 THEN 'quota' WHEN 2 THEN 'malformed' END error FROM x",
     "answer_found_a": f"{VERDICT} SELECT id, NOT contains(lower(answer), 'cannot find') AND NOT contains(lower(answer), 'not in the document') found FROM v",
     "answer_found_b": f"{VERDICT} SELECT id, NOT contains(lower(answer), 'not found') AND NOT contains(lower(answer), 'not available') AND NOT contains(lower(answer), 'cannot find') found FROM v",
-    "mock_answer": f"""WITH {QUESTIONS}, t AS (SELECT source session_id, lower(min(text)) t FROM documents GROUP BY 1), x AS (SELECT question_id, message, len(list_filter({WORDS.format('lq')}, lambda x: strlen(x) > 3 AND contains(t.t, x))) > 0 found FROM q JOIN t USING (session_id))
+    "mock_answer": f"""{RANKED}, c AS (SELECT question_id, lower('Document Context:' || chr(10) || chr(10) || string_agg({PART}, '' ORDER BY rank)) t FROM rk GROUP BY 1),
+x AS (SELECT q.question_id, message, len(list_filter({WORDS.format('lq')}, lambda x: strlen(x) > 3 AND contains(coalesce(t, 'document context:' || chr(10) || chr(10)), x))) > 0 found FROM q LEFT JOIN c USING (question_id))
 SELECT question_id, found, CASE WHEN found THEN {text(A.MOCK_FOUND[0])} || message || {text(A.MOCK_FOUND[1])} ELSE {text(A.MOCK_NOT_FOUND)} END answer FROM x""",
     "mock_summary": f"WITH {DOCS}, x AS (SELECT doc_id, CAST(len({WORDS.format('text')}) AS VARCHAR) n FROM docs) SELECT doc_id, replace({text(A.MOCK_SUMMARY)}, '%d', n) summary, replace({text('|'.join(A.MOCK_TAKEAWAYS))}, '%d', n) takeaways, {text('|'.join(A.MOCK_TOPICS))} topics FROM x",
     "with_answers": f"WITH {QUESTIONS}, t AS (SELECT source session_id, min('doc_' || doc_id || '.pdf') t FROM documents GROUP BY 1) SELECT question_id, CASE WHEN length(t) % 2 = 1 THEN 'Based on ' || t || ': ' || message ELSE 'nothing found' END response FROM q JOIN t USING (session_id)",
@@ -145,11 +148,13 @@ SELECT session_id, CASE WHEN text IS NOT NULL THEN replace({text(A.MOCK_SUMMARY)
     "touch_last_activity": f"WITH {SESSIONS}, {FILES} SELECT ses.session_id, greatest(any_value(ses.last_activity), max(f.uploaded_at)) last_activity FROM ses LEFT JOIN f USING (session_id) GROUP BY 1",
     "expire_inactive": f"WITH {SESSIONS} SELECT CASE WHEN last_activity < TIMESTAMP '1997-06-01' THEN 'gone' ELSE 'kept' END AS name, CAST(session_id AS VARCHAR) AS key FROM ses",
     "clear_messages": f"WITH {MSG}, c AS (SELECT session_id, max(msg_seq) s FROM msg WHERE msg_seq IN (1, 3) AND session_id % 2 = 0 GROUP BY 1) SELECT id FROM msg LEFT JOIN c USING (session_id) WHERE s IS NULL OR msg_seq > s",
+    "clear_sessions": f"WITH {SESSIONS}, {MSG}, c AS (SELECT session_id, max(TIMESTAMP '1997-01-01' + to_days(CAST(msg_seq AS INTEGER))) ts FROM msg WHERE msg_seq IN (1, 3) AND session_id % 2 = 0 GROUP BY 1) SELECT session_id, greatest(last_activity, ts) last_activity FROM ses LEFT JOIN c USING (session_id)",
     "attach_documents": f"WITH {ATTACH} SELECT session_id, doc_id, doc_pos FROM cur UNION ALL SELECT session_id, doc_id, CAST(coalesce(m, 0) + row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS INTEGER) FROM fresh LEFT JOIN (SELECT session_id, max(doc_pos) + 1 m FROM cur GROUP BY 1) USING (session_id)",
+    "attach_to_sessions": f"WITH {SESSIONS}, {ATTACH}, c AS (SELECT session_id, max(uploaded_at) ts FROM f JOIN fresh USING (session_id, doc_id) WHERE pages > 20 GROUP BY 1) SELECT session_id, greatest(last_activity, ts) last_activity FROM ses LEFT JOIN c USING (session_id)",
     "attach_refused": f"WITH {ATTACH} SELECT session_id, doc_id, seq FROM bat ANTI JOIN fresh USING (session_id, doc_id, seq)",
     "detach_documents": f"WITH {ATTACH} SELECT session_id, doc_id, doc_pos FROM cur ANTI JOIN bat USING (session_id, doc_id)",
     "detach_refused": f"WITH {ATTACH} SELECT session_id, doc_id, seq FROM bat ANTI JOIN cur USING (session_id, doc_id)",
-    "session_document_count": f"WITH {DOCS} SELECT session_id, count(*) n_documents, string_agg(doc_id || ':' || filename || ':1', ',' ORDER BY doc_id) documents FROM docs GROUP BY 1",
+    "session_document_count": f"WITH {DOCS} SELECT session_id, count(*) OVER (PARTITION BY session_id) n_documents, doc_id, filename, pages FROM docs",
     "session_history": f"WITH {DOCS}, {MSG} SELECT id, 'src' || (session_id % 20) session_id, role, p.filename, p.pages FROM msg JOIN (SELECT session_id k, arg_min(filename, no) filename, 1 pages FROM docs GROUP BY 1) p ON p.k = 'src' || (msg.session_id % 20)",
     "document_store": f"WITH {FILES}, x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY uploaded_at DESC, filename DESC, pages DESC) n FROM f) SELECT doc_id, filename text, CASE WHEN pages > 10 THEN uploaded_at ELSE {NOW} END created_at, {NOW} updated_at FROM x WHERE n = 1",
     "register_users": f"WITH {REGISTER} SELECT email, name, seq FROM good WHERE ok",

@@ -9,8 +9,10 @@ from marginalia.functions.shared import shared_path
 from marginalia.functions.text import byte_prefix, fields, trim_space
 from marginalia.operators import answers as A
 from marginalia.operators import asking as N
+from marginalia.operators import audit as D
 from marginalia.operators import chunking as K
 from marginalia.operators import context as C
+from marginalia.operators import histories as H
 from marginalia.operators import metrics as M
 from marginalia.operators import prompts as P
 from marginalia.operators import retrieval as R
@@ -264,6 +266,19 @@ def history_lines(t):
     return history(t, None).select("id", F.size("history").alias("n"), F.md5(joined("history")).alias("digest"))
 
 
+@query
+def history_blocks(t):
+    """The blocks that questions share."""
+    blocks = H.history_blocks(t.messages)[1]
+    return blocks.select("session_id", "block", F.size("lines").alias("n"), F.md5(joined("lines")).alias("digest"))
+
+
+@query
+def history_lengths(t):
+    """What a question holds of its history."""
+    return H.history_blocks(t.messages)[0].select("id", "session_id", "n_lines")
+
+
 @query
 def question_prompt(t):
     """Every question with the chunks found for it and the last lines before it."""
@@ -275,11 +290,11 @@ def question_prompt(t):
 
 @query
 def chat_messages_array(t):
-    """Every question about the longest document of its session, with the whole history."""
-    longest = t.documents.groupBy("session_id").agg(F.max_by("text", F.struct(F.octet_length("text"), "no")).alias("text"))
-    h = history(t, None).withColumn("session_id", F.concat(F.lit("src"), (F.col("session_id") % 20).cast("string")))
-    m = P.chat_messages_array(F.coalesce("text", F.lit("")), F.col("history"), F.col("content"))
-    return h.join(longest, "session_id", "left").select("id", F.posexplode(m).alias("n", "m")).select("id", "n", "m.role", F.md5("m.content").alias("digest"))
+    """Every question with the chunks found for it and the whole history; the context may be cut."""
+    context = C.build_context(ranked_text(t)).withColumnRenamed("question_id", "id")
+    m = P.chat_messages_array(F.coalesce("context", F.lit(C.CONTEXT_HEAD)), F.col("history"), F.col("content"))
+    h = history(t, None).join(context, "id", "left")
+    return h.select("id", F.posexplode(m).alias("n", "m")).select("id", "n", "m.role", F.md5("m.content").alias("digest"))
 
 
 @query
@@ -349,8 +364,9 @@ def answer_found_b(t):
 
 @query
 def mock_answer(t):
-    q = t.questions.join(t.documents.select(F.col("session_id"), "text").groupBy("session_id").agg(F.min("text").alias("text")), "session_id")
-    found = A.mock_found(F.col("text"), F.col("message"))
+    """Every question about the chunks found for it."""
+    q = t.questions.join(C.build_context(ranked_text(t)), "question_id", "left")
+    found = A.mock_found(F.coalesce("context", F.lit(C.CONTEXT_HEAD)), F.col("message"))
     return q.select("question_id", found.alias("found"), A.mock_answer(found, F.col("message")).alias("answer"))
 
 
@@ -549,6 +565,13 @@ def clear_messages(t):
     return B.clear_messages(t.messages, clears).select("id")
 
 
+@query
+def clear_sessions(t):
+    """Sessions of which those of even ids are cleared a day or more after 1997 began."""
+    clears = t.messages.where("msg_seq in (1, 3) and session_id % 2 = 0").select("session_id", F.col("msg_seq").alias("clear_seq"), F.timestamp_seconds(F.lit(852076800) + F.col("msg_seq") * 86400).cast("timestamp_ntz").alias("created_at"))
+    return B.clear_sessions(t.sessions, t.messages, clears)[0].select("session_id", "last_activity")
+
+
 def attach_case(t: Tables):
     w = Window.partitionBy("session_id").orderBy("doc_id")
     current = t.files.where("pages <= 25").select("session_id", "doc_id").distinct().withColumn("doc_pos", F.row_number().over(w) - 1)
@@ -561,6 +584,13 @@ def attach_documents(t):
     return B.attach_documents(*attach_case(t))[0]
 
 
+@query
+def attach_to_sessions(t):
+    current, batch = attach_case(t)
+    at = t.files.where("pages > 20").groupBy("session_id", "doc_id").agg(F.max("uploaded_at").alias("created_at"))
+    return B.attach_to_sessions(t.sessions, current, batch.join(at, ["session_id", "doc_id"]))[0].select("session_id", "last_activity")
+
+
 @query
 def attach_refused(t):
     return B.attach_documents(*attach_case(t))[1]
@@ -620,7 +650,9 @@ def lookup_users(t):
 @query
 def constraint_audit(t):
     users = t.users.withColumn("email", F.when(F.col("id") % 50 == 0, None).otherwise(F.format_string("c%d@example.com", F.floor(F.col("id") / 2))))
-    return B.constraint_audit(users, t.sessions.where("session_id % 7 != 0"), t.files, t.messages).groupBy("rule").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    broken = D.constraint_audit({"users": users, "sessions": t.sessions.where("session_id % 7 != 0"), "documents": t.files, "messages": t.messages})
+    rows = F.when(F.col("rule").endswith("repeated"), 1).otherwise(F.col("n"))
+    return broken.groupBy("rule").agg(F.sum(rows).alias("n"), F.min("key").alias("least"))
 
 
 @query

@@ -222,3 +222,19 @@ def test_unset_shared_folder_on_a_cluster():
         shared_path(Session, "x")
     Session.sparkContext.master = "local[2]"
     assert shared_path(Session, "x").startswith("file:///")
+
+
+def test_activity_of_clearing_and_attaching(spark):
+    sessions = spark.createDataFrame([(1, 10), (2, 10), (3, 50)], "session_id int, last_activity int")
+    messages = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "session_id int, msg_seq int")
+    clears = spark.createDataFrame([(1, 1, 20), (3, 0, 40)], "session_id int, clear_seq int, created_at int")
+    touched, left = B.clear_sessions(sessions, messages, clears)
+    assert sorted(map(tuple, touched.collect())) == [(1, 20), (2, 10), (3, 50)]
+    assert sorted((r.session_id, r.msg_seq) for r in left.collect()) == [(1, 2), (2, 1)]
+    current = spark.createDataFrame([(1, "a", 0)], "session_id int, doc_id string, doc_pos int")
+    batch = spark.createDataFrame([(1, "a", 1, 99), (2, "a", 2, 30), (2, "a", 3, 98), (1, "b", 4, 25)], "session_id int, doc_id string, seq int, created_at int")
+    touched, links, refused = B.attach_to_sessions(sessions, current, batch)
+    # a refused request is no activity
+    assert sorted(map(tuple, touched.collect())) == [(1, 25), (2, 30), (3, 50)]
+    assert sorted(map(tuple, links.collect())) == [(1, "a", 0), (1, "b", 1), (2, "a", 0)]
+    assert sorted(r.seq for r in refused.collect()) == [1, 3]
