@@ -7,29 +7,21 @@ written. So what is kept grows with the messages, not with their square.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.numbering import numbered
+
 #: Lines of a block.
 BLOCK = 32
-#: Values of msg_seq that are numbered in one task.
+#: Values of msg_seq whose messages are numbered in one task.
 RANGE = 1024
 
 
 def numbered_lines(messages: DataFrame, span: int = RANGE) -> DataFrame:
-    """id, session_id, msg_seq, role, content, pos (long, from 0) of the messages of users and assistants.
-
-    Numbers go by msg_seq, then id. They are counted within ranges of msg_seq, and only the sizes of the ranges are summed
-    along a session, so no task holds the messages of a whole session; msg_seq is expected to number them.
-    """
+    """id, session_id, msg_seq, role, content, pos of the messages of users and assistants, by msg_seq, then id."""
     own = messages.where(F.col("role").isin("user", "assistant")).select("id", "session_id", "msg_seq", "role", "content")
-    own = own.withColumn("_range", F.floor(F.col("msg_seq") / span))
-    sizes = own.groupBy(F.col("session_id").alias("_session"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_session").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_session", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = own.withColumn("_in", F.row_number().over(Window.partitionBy("session_id", "_range").orderBy("msg_seq", "id")) - 1)
-    same = F.col("session_id").eqNullSafe(F.col("_session")) & F.col("_range").eqNullSafe(F.col("_r"))
-    return placed.join(starts, same).select("id", "session_id", "msg_seq", "role", "content", (F.col("_start") + F.col("_in")).alias("pos"))
+    return numbered(own, "session_id", "msg_seq", "id", span)
 
 
 def history_blocks(messages: DataFrame, size: int = BLOCK, span: int = RANGE) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.numbering import numbered
 from marginalia.operators.chunking import CHUNK_BYTES, chunk_rows
 
 
@@ -31,8 +32,8 @@ class Tables:
 
     @property
     def session_documents(self) -> DataFrame:
-        w = Window.partitionBy("session_id").orderBy("no")
-        return self.documents.select("session_id", "doc_id", "filename", "pages", "no").withColumn("doc_pos", F.row_number().over(w) - 1)
+        own = numbered(self.documents.select("session_id", "doc_id", "filename", "pages", "no"), "session_id", "no", name="doc_pos")
+        return own.withColumn("doc_pos", F.col("doc_pos").cast("int"))
 
     @property
     def text_sessions(self) -> DataFrame:
