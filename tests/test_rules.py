@@ -238,3 +238,12 @@ def test_activity_of_clearing_and_attaching(spark):
     assert sorted(map(tuple, touched.collect())) == [(1, 25), (2, 30), (3, 50)]
     assert sorted(map(tuple, links.collect())) == [(1, "a", 0), (1, "b", 1), (2, "a", 0)]
     assert sorted(r.seq for r in refused.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("most", [(500_000, 64 << 20), (0, 64 << 20), (500_000, 0)])
+def test_texts_of_a_ranking(spark, most):
+    ranked = spark.createDataFrame([("q1", 1, "c1"), ("q2", 1, "c1"), ("q1", 2, "c2")], "question_id string, rank int, chunk_id string").withColumn("path", F.lit(None).cast("string"))
+    chunks = spark.createDataFrame([("c1", 1, "a"), ("c2", 2, None), ("c3", 3, "c")], "chunk_id string, page_number int, text string")
+    rows = R.with_text(ranked, chunks, *most)
+    assert sorted((r.question_id, r.rank, r.chunk_id, r.page_number, r.text) for r in rows.collect()) == [("q1", 1, "c1", 1, "a"), ("q1", 2, "c2", 2, None), ("q2", 1, "c1", 1, "a")]
+    assert R.with_text(ranked.where("rank > 5"), chunks, *most).count() == 0
