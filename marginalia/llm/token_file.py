@@ -18,9 +18,11 @@ the shared folder, through any file system that pyarrow knows by URI. Only tasks
 manifest (a table that Spark commits), so a lost executor leaves unused files at worst. First ids of the
 parts follow from the manifest's counts. Readers take one part each and verify every checksum.
 
-Encoding is by the tokenizers library, part by part between single blanks, which its pattern never
-crosses; each distinct part is encoded once per worker and kept in a cache of two halves of about `CACHE` parts. A text
-that may hold the string of a special token, which the library then takes for that token, is given to it whole.
+Encoding is by the tokenizers library, part by part, where no word crosses the cut: before a blank, and between a letter or
+digit and marks that end there. Texts are cut as arrays; each distinct part of a block is looked up once, encoded once per
+worker and kept in a cache of two halves of about `CACHE` parts. Parts of letters go to the library `JOINED` at once,
+and are told apart by the ids that end a word. A text that may hold the string of a special token, which the library then
+takes for that token, and any text with a vocabulary of other rules, is given to it whole.
 
 Defined cases: null and empty texts are records with the end id alone; the string of a special token is that token; rows of equal doc_id are written side by
 side in the order of their texts' hashes; a null doc_id comes first; an empty table gives an empty manifest.
@@ -28,11 +30,12 @@ side in the order of their texts' hashes; a null doc_id comes first; an empty ta
 
 from __future__ import annotations
 
+import json
 import os
 import string
 import struct
 import zlib
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +44,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import id_text, new_path, record_batch, table, text_blocks, written
+from marginalia.llm.common import id_text, new_path, ragged, record_batch, table, text_blocks, written
 
 MAGIC = b"MGTOKEN1"
 MASK = 0xA282EAD8
 NO_ID = -(2**63)
 END_ID = 1
 CACHE = 600_000
+#: Parts of letters that the library gets as one text.
+JOINED = 100
 
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u4")])
-_STOPS = frozenset(".,!?;:")
-_LETTERS = frozenset(string.ascii_letters)
+#: Rules of a vocabulary that let texts be cut into parts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": _WORDS, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+_IS_MARK = np.isin(np.arange(256), list(string.punctuation.encode()))
+#: Last two bytes of letters and digits that stay one letter or digit when texts are normalised.
+_BEFORE_MARKS = np.zeros((256, 256), bool)
+_BEFORE_MARKS[:, list((string.ascii_letters + string.digits).encode())] = True
+for _c in map(chr, range(0xC0, 0x250)):
+    if _c.isalpha() and len(_c.lower()) == 1:
+        _BEFORE_MARKS[tuple(_c.encode())] = True
 
 
 def masked_crc(data: bytes) -> int:
@@ -73,60 +90,103 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        #: Whether words end where `cut_parts` cuts; a text goes to the library whole, else.
+        self.cuts = rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER
         #: How the strings of special tokens begin.
         self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {"": b""}
+        self.cache: dict[str, bytes] = {" ": b""}
         self.old: dict[str, bytes] = {}
         self.most = most
         self.end = np.array([END_ID], self.dtype).tobytes()
-
-    def _fill(self, parts: set[str]) -> None:
-        """Parts that aren't known yet. A stop after an ASCII letter is a token of its own, and case is dropped."""
-        cache, old = self.cache, self.old
-        roots, new = [], set()
+        #: Of each id, whether it ends a word.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix := self.tokenizer.model.end_of_word_suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, parts: list[str], ids: np.ndarray, sizes) -> None:
+        data = ids.tobytes()
+        ends = (np.cumsum(sizes, dtype=np.int64) * self.dtype.itemsize).tolist()
+        self.cache.update(zip(parts, (data[s:e] for s, e in zip([0, *ends], ends))))
+
+    def _learn(self, parts: list[str]) -> None:
+        """Parts that aren't known yet. Those of letters go to the library `JOINED` at once. Each gives one word or more:
+        where as many words come back as went, each is one, and ends where a word ends. Others go alone."""
+        letters, alone = [], []
         for part in parts:
-            if part in old:
-                cache[part] = old[part]
-                continue
-            body, tail = part, ""
-            if part[-1] in _STOPS and part[-2:-1] in _LETTERS:
-                body, tail = part[:-1], part[-1]
-                if tail not in cache:
-                    new.add(tail)
-            if body.isascii():
-                body = body.lower()
-            if body in old:
-                cache[body] = old[body]
-            elif body not in cache:
-                new.add(body)
-            if tail or body != part:
-                roots.append((part, body, tail))
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            ids = np.fromiter(chain.from_iterable(found), self.dtype).tobytes()
-            ends = list(accumulate(len(x) * self.dtype.itemsize for x in found))
-            cache.update(zip(some, (ids[s:e] for s, e in zip([0, *ends], ends))))
-        for part, body, tail in roots:
-            cache[part] = cache[body] + cache[tail]
+            if part in self.old:
+                self.cache[part] = self.old[part]
+            else:
+                (letters if part.lstrip(" ").isalpha() else alone).append(part)
+        for at in range(0, len(letters), 100 * JOINED):
+            some = letters[at : at + 100 * JOINED]
+            lines = [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
+            found = self._ids(list(map(" ".join, lines)))
+            flat = np.fromiter(chain.from_iterable(found), self.dtype)
+            together = np.count_nonzero(self.ends[flat]) == len(some)
+            for words, ids in [(some, flat)] if together else zip(lines, (np.array(x, self.dtype) for x in found)):
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) == len(words):
+                    self._keep(words, ids, np.diff(ends, prepend=0))
+                else:
+                    alone += words
+        for at in range(0, len(alone), 10_000):
+            some = alone[at : at + 10_000]
+            found = self._ids(some)
+            self._keep(some, np.fromiter(chain.from_iterable(found), self.dtype), list(map(len, found)))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        special = {i: self._whole(t) + self.end for i, t in enumerate(texts) if any(m in t for m in self.marks)}
-        lists = [[] if i in special else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
+        special = {i: self._whole(t) + self.end for i, t in enumerate(texts) if not self.cuts or any(m in t for m in self.marks)}
+        parts, numbers, bounds = cut_parts(["" if i in special else t for i, t in enumerate(texts)])
         if len(self.cache) > self.most:  # the older half goes
-            self.cache, self.old = {"": b""}, self.cache
-        seen: set[str] = set()
-        for x in lists:
-            seen.update(x)
-        if new := seen.difference(self.cache):
-            self._fill(new)
-        get = self.cache.__getitem__
-        return [special[i] if i in special else b"".join((*map(get, x), self.end)) for i, x in enumerate(lists)]
+            self.cache, self.old = {" ": b""}, self.cache
+        found = list(map(self.cache.get, parts))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([parts[i] for i in new])
+        for i in new:
+            found[i] = self.cache[parts[i]]
+        size = self.dtype.itemsize
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // size
+        starts, ids = np.cumsum(counts) - counts, np.frombuffer(b"".join(found), self.dtype)
+        steps = (numbers[i : i + 500_000] for i in range(0, len(numbers), 500_000))
+        data = b"".join(ids[ragged(starts[x], counts[x])].tobytes() for x in steps)
+        ends = (np.concatenate(([0], np.cumsum(counts[numbers])))[bounds] * size).tolist()
+        return [special[i] if i in special else data[s:e] + self.end for i, (s, e) in enumerate(zip(ends, ends[1:]))]
+
+
+def cut_parts(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct parts of texts, the number of each part in order, and the bounds of each text among those.
+
+    A text is cut before every blank or line feed, and before marks that end at such a cut and follow a letter or digit;
+    no word of the vocabulary crosses these. Parts in ASCII are in lower case.
+    """
+    array = pa.array(texts, pa.large_string())
+    offsets = np.frombuffer(array.buffers()[1], np.int64, len(texts) + 1)
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8, offsets[-1])
+    data = np.where(data == 10, np.uint8(32), data)
+    cut = np.empty(len(data) + 1, bool)
+    np.equal(data, 32, out=cut[:-1])
+    cut[offsets] = True
+    marks = np.zeros(len(data) + 1, bool)
+    marks[:-1] = _IS_MARK[data]
+    # a run of marks is broken where a text ends, and ends where the next byte isn't one
+    edge = np.flatnonzero((marks[1:] != marks[:-1]) | (cut[1:] & marks[:-1])) + 1
+    begin = edge[:-1][marks[edge[:-1]] & cut[edge[1:]] & ~cut[edge[:-1]]]
+    begin = begin[begin > 1]
+    cut[begin[_BEFORE_MARKS[data[begin - 2], data[begin - 1]]]] = True
+    cuts = np.flatnonzero(cut)
+    ascii_part = np.repeat(np.maximum.reduceat(data, cuts[:-1]) < 128, np.diff(cuts))
+    data |= (ascii_part & (data - np.uint8(65) < 26)).view(np.uint8) << 5
+    parts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+    return parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy(), np.searchsorted(cuts, offsets)
 
 
 _encoders: dict[str, PartEncoder] = {}

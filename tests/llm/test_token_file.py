@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -41,6 +42,53 @@ def test_strings_of_special_tokens(lib):
     assert lib("<|endoftext|>") == [49407, T.END_ID]
 
 
+def test_parts_are_cut_where_words_end(lib):
+    rng = random.Random(5)
+    letters = ["a", "B", "w", "W", "ß", "É", "é", "İ", "ı", "I", "ſ", "\u212a", "Σ", "ς", "ŉ", "ǰ", "ɏ", "ɐ", "×", "÷", "ª", "5", "٣", "漢", "ﬁ", "\U0001e030", "\u0378"]
+    others = [*".,!?'\"<>=_^`|~#*&%$-()@", "'s", "'LL", "\u030a", "\u0307", "\u0338", "\xa0", "\u2028", "\x1c", "\t", "\r", "\x00", "🙂"]
+    texts = ["".join(rng.choice(rng.choice((letters, letters, others, [" ", "\n"]))) for _ in range(rng.randint(0, 14))) for _ in range(30_000)]
+    own = T.PartEncoder(P.path("word_bpe_49k.json"), most=3000)
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        for text, found in zip(some, own.encode(some)):
+            assert np.frombuffer(found, own.dtype).tolist() == lib(text), repr(text)
+    assert own.encode([]) == [] and own.encode(["", ""]) == [own.end] * 2 and own.encode(["."])[0] != own.end
+
+
+class Counted:
+    """A tokenizer that keeps what it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_each_word_is_encoded_once_and_with_others(lib):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefg") for _ in range(9)) + rng.choice("hhhhhhhhhü") for _ in range(5000)]
+    texts = [" ".join(f(w) + tail for w in words[at : at + 50]) for at in range(0, len(words), 50) for f in (str, str.capitalize) for tail in ("", "***", ".,", "$$$\n")]
+    own = T.PartEncoder(P.path("word_bpe_49k.json"))
+    own.tokenizer = counted = Counted(own.tokenizer)
+    found = own.encode(texts)
+    assert all(np.frombuffer(x, own.dtype).tolist() == lib(t) for x, t in zip(found, texts))
+    # capitals in ASCII, words with marks and words in other lines are the same words
+    assert sum(len(t.split()) for t in counted.given) < 1.3 * len(words) and len(counted.given) < 0.02 * len(words)
+
+
+def test_vocabulary_of_other_rules(tmp_path):
+    rules = json.load(open(P.path("word_bpe_49k.json"), encoding="utf-8"))
+    rules["normalizer"]["normalizers"].pop()  # case is kept
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(rules, f)
+    texts = ["Some TEXT in capitals. And more", "", "lower"]
+    cased, own = Tokenizer.from_file(path), T.PartEncoder(path)
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [[*cased.encode(t, add_special_tokens=False).ids, T.END_ID] for t in texts]
+
+
 def test_many_rows_of_one_id(spark):
     docs = spark.range(3000).selectExpr("if(id % 2 = 0, null, 7) doc_id", "concat('text ', id) text")
     name = "spark.sql.adaptive.coalescePartitions.enabled"
