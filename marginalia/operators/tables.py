@@ -137,12 +137,15 @@ def _attachable(current: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def attach_documents(current: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """current (session_id, doc_id, doc_pos) and batch (session_id, doc_id, seq) -> (links, duplicates refused)."""
+    """current (session_id, doc_id, doc_pos) and batch (session_id, doc_id, seq) -> (links, duplicates refused).
+
+    Requests of one seq enter their session by doc_id, so that positions are the same on every run.
+    """
     keys = ["session_id", "doc_id"]
     ranked, new = _attachable(current, batch)
     refused = ranked.join(new.select(*keys, "seq"), [*keys, "seq"], "left_anti").drop("_n")
     size = current.groupBy("session_id").agg((F.max("doc_pos") + 1).alias("_size"))
-    place = F.coalesce("_size", F.lit(0)) + F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1
+    place = F.coalesce("_size", F.lit(0)) + F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "doc_id")) - 1
     added = new.join(size, "session_id", "left").select(*keys, place.cast("int").alias("doc_pos"))
     return current.select(*keys, "doc_pos").unionByName(added), refused
 

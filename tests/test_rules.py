@@ -240,6 +240,15 @@ def test_activity_of_clearing_and_attaching(spark):
     assert sorted(r.seq for r in refused.collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_documents_attached_at_once_go_by_id(spark, parts):
+    current = spark.createDataFrame([(1, 5, 0)], "session_id int, doc_id int, doc_pos int")
+    batch = [(1, d, 10) for d in (9, 3, 7, 1, 8, 2)] + [(1, 4, 9)]
+    links, refused = B.attach_documents(current, spark.createDataFrame(batch, "session_id int, doc_id int, seq int").repartition(parts))
+    assert [r.doc_id for r in links.orderBy("doc_pos").collect()] == [5, 4, 1, 2, 3, 7, 8, 9]
+    assert refused.count() == 0
+
+
 @pytest.mark.parametrize("most", [(500_000, 64 << 20), (0, 64 << 20), (500_000, 0)])
 def test_texts_of_a_ranking(spark, most):
     ranked = spark.createDataFrame([("q1", 1, "c1"), ("q2", 1, "c1"), ("q1", 2, "c2")], "question_id string, rank int, chunk_id string").withColumn("path", F.lit(None).cast("string"))
