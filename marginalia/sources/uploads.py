@@ -30,11 +30,12 @@ def upload_gate(files: DataFrame) -> DataFrame:
 def upload_batch(files: DataFrame) -> DataFrame:
     """(batch_id, file_no, filename, ok) -> the files that enter the session of their batch, with doc_pos.
 
-    The first file makes the session; if it fails the batch is given up, while a later failure is skipped.
+    The first file makes the session; if it fails the batch is given up, while a later failure is skipped. Files of one number
+    go by name, so that the first one and all positions are the same on every run.
     """
-    first = files.groupBy("batch_id").agg(F.min_by("ok", "file_no").alias("first_ok"))
+    first = files.groupBy("batch_id").agg(F.min_by("ok", F.when(F.col("file_no").isNotNull(), F.struct("file_no", "filename", "ok"))).alias("first_ok"))
     kept = files.join(first.where("first_ok"), "batch_id").where("ok")
-    return kept.select("batch_id", "filename", (F.row_number().over(Window.partitionBy("batch_id").orderBy("file_no")) - 1).alias("doc_pos"))
+    return kept.select("batch_id", "filename", (F.row_number().over(Window.partitionBy("batch_id").orderBy("file_no", "filename")) - 1).alias("doc_pos"))
 
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:

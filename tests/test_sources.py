@@ -1,3 +1,4 @@
+import pytest
 from marginalia.sources import uploads as U
 
 
@@ -9,6 +10,13 @@ def test_upload_folder(spark, tmp_path):
     assert [tuple(r) for r in U.text_documents(spark, str(tmp_path / "c.txt")).collect()] == [("c.txt", "text of c.txt")]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_files_of_one_number_go_by_name(spark, parts):
+    files = [(1, 5, n, True) for n in "eacdb"] + [(1, 6, "0", False), (2, 1, "b", True), (2, 1, "a", False), (3, 1, "b", False), (3, 1, "a", True)]
+    batch = U.upload_batch(spark.createDataFrame(files, "batch_id int, file_no int, filename string, ok boolean").repartition(parts))
+    assert sorted(map(tuple, batch.collect())) == [*((1, n, i) for i, n in enumerate("abcde")), (3, "a", 0)]
+
+
 def test_tables_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
     for _ in range(2):
